@@ -17,7 +17,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tidebar.functions.expr import dbl, dot
-from tidebar.operators.series import BLK, KEYS, block_of, halo, in_blocks
+from tidebar.operators.series import BLK, KEYS, halo, in_blocks, spread
 
 THRESHOLD = 1e-4
 P_LIMIT = 0.05
@@ -184,7 +184,7 @@ def adf(long: DataFrame, orders: Sequence[float] = (0.0,), keys: Sequence[str] =
     part_schema = T.StructType(key_fields + [
         T.StructField("d_no", T.IntegerType()), T.StructField("cls", T.IntegerType()),
         T.StructField("part", T.ArrayType(T.DoubleType()))])
-    partials = (halo(need, back=back, size=TEST_BLOCK).groupBy(*keys, BLK)
+    partials = (spread(halo(need, back=back, size=TEST_BLOCK), *keys, BLK).groupBy(*keys, BLK)
                 .applyInPandas(lambda pdf: _partials(pdf, keys, nos, tables), part_schema))
     sums = (partials.groupBy(*keys, "d_no", "cls")
             .agg(Summarizer.sum(array_to_vector("part")).alias("part"))
@@ -252,17 +252,19 @@ def apply_ffd(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = KEYS,
     widest = max(map(len, table)) - 1
     chosen = report.groupBy(*keys).pivot("column", cols).agg(F.first("d_no"))
     chosen = chosen.select(*keys, *[F.col(c).alias(f"_d_{c}") for c in cols])
-    # 40 weight vectors at most: a plan constant, joined by its order number
-    lookup = F.array(*[F.array(*[dbl(v) for v in reversed(w)]) for w in table])
+    # one row per order (40): a fixed size, so it is broadcast; joined after the shuffle of the bars
+    lookup = df.sparkSession.createDataFrame(
+        [(i, [float(v) for v in reversed(w)]) for i, w in enumerate(table)], "no int, w array<double>")
 
     def build(b, w):
-        adds = {}
         for c in cols:
-            ws = F.get(lookup, F.col(f"_d_{c}"))
+            small = lookup.select(F.col("no").alias(f"_d_{c}"), F.col("w").alias("_w"))
             window = F.collect_list(F.col(c)).over(w(-widest, 0))
-            aligned = F.slice(window, -F.least(F.size(ws), F.size(window)), F.size(ws))
-            adds[f"{c}_FFD"] = F.when(F.col("bar_idx") >= F.size(ws) - 1, dot(ws, aligned))
-        return b.withColumns(adds)
+            b = b.withColumn("_x", window).join(F.broadcast(small), f"_d_{c}")
+            aligned = F.slice("_x", -F.least(F.size("_w"), F.size("_x")), F.size("_w"))
+            b = b.withColumn(f"{c}_FFD", F.when(F.col("bar_idx") >= F.size("_w") - 1,
+                                                dot(F.col("_w"), aligned))).drop("_w", "_x")
+        return b
 
     out = in_blocks(df.join(chosen, keys), build, keys=keys, back=widest, size=4096)
     drop = [f"_d_{c}" for c in cols] + [c for c in cols if c not in PRICES]

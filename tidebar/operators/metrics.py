@@ -12,6 +12,7 @@ from tidebar.operators.series import path_summary
 
 ANNUAL = math.sqrt(252)
 EULER = 0.5772156649
+TIE = 1e-12
 
 
 def sharpe(mean: Column, std: Column, factor: float = ANNUAL) -> Column:
@@ -67,12 +68,16 @@ def moments(df: DataFrame, keys: Sequence[str], ret: str = "ret") -> DataFrame:
 
 
 def tail_risk(df: DataFrame, keys: Sequence[str], ret: str = "ret", q: float = 0.05) -> DataFrame:
-    """VaR (interpolated quantile) and CVaR (mean of the returns at or below it)."""
+    """VaR (interpolated quantile) and CVaR (mean of the returns at or below it).
+
+    A return that differs from VaR in the last bits only counts as equal, so that rounding does not
+    decide ties.
+    """
     keys = list(keys)
     var = group_quantile(df, keys, ret, q, "var_95")
     return (df.join(var, keys).groupBy(*keys)
             .agg(F.first("var_95").alias("var_95"),
-                 F.coalesce(F.avg(F.when(F.col(ret) <= F.col("var_95"), F.col(ret))), dbl(0.0))
+                 F.coalesce(F.avg(F.when(F.col(ret) <= F.col("var_95") + TIE, F.col(ret))), dbl(0.0))
                  .alias("cvar_95")))
 
 

@@ -86,6 +86,16 @@ def in_blocks(df: DataFrame, build: Callable[[DataFrame, Callable], DataFrame],
     return core(build(halo(df, back, ahead, size, pos), frame), size, pos)
 
 
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Hash-partition by `cols` for a compute-heavy grouped kernel.
+
+    Small shuffles are otherwise merged into few tasks by size, although each group takes seconds.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *cols)
+
+
 # --- two-level scans ----------------------------------------------------------------------------
 
 def running(df: DataFrame, scans: dict[str, tuple[str, str]], *, keys: Sequence[str] = KEYS,

@@ -13,10 +13,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tidebar.operators.series import BLK, KEYS, block_of, halo, log_return, rolling_std
+from tidebar.operators.series import BLK, KEYS, halo, log_return, rolling_std, spread
 
 MAX_VOL, MIN_VOL = 5.0, 1e-6
-FIT_BLOCK = 512
+FIT_BLOCK = 256
 
 
 def hist_vol(df: DataFrame, window: int = 500, col: str = "close", out: str = "hist_vol",
@@ -73,20 +73,29 @@ def _egarch(x: np.ndarray, var: np.ndarray) -> np.ndarray:
     return np.exp(np.take_along_axis(lh, np.argmin(ll, axis=1)[:, None], axis=1)[:, 0])
 
 
-def forecast_rows(ret: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(EGARCH, GARCH) deviation forecasts for positions window..len(ret)-1."""
+def _sane(v: np.ndarray) -> np.ndarray:
+    with np.errstate(invalid="ignore"):
+        return np.isfinite(v) & (v <= MAX_VOL) & (v >= MIN_VOL)
+
+
+def forecast_rows(ret: np.ndarray, window: int, both: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(EGARCH, GARCH) deviation forecasts for positions window..len(ret)-1.
+
+    The second model is fitted only for rows whose first forecast is not sane, unless `both`.
+    """
     view = np.lib.stride_tricks.sliding_window_view(ret, window)[:-1]
-    out_e, out_g = [], []
-    for lo in range(0, len(view), 256):
-        part = view[lo:lo + 256]
+    eg, ga = np.full(len(view), np.nan), np.full(len(view), np.nan)
+    for lo in range(0, len(view), 128):
+        part = view[lo:lo + 128]
         x = part - part.mean(axis=1, keepdims=True)
         var = x.var(axis=1)
-        ok = var > 0
-        safe = np.where(ok, var, 1.0)
+        ok = np.flatnonzero(var > 0)
         with np.errstate(all="ignore"):
-            out_e.append(np.where(ok, np.sqrt(_egarch(x, safe)), np.nan))
-            out_g.append(np.where(ok, np.sqrt(_garch(x, safe)), np.nan))
-    return np.concatenate(out_e), np.concatenate(out_g)
+            eg[lo + ok] = np.sqrt(_egarch(x[ok], var[ok]))
+            todo = ok if both else ok[~_sane(eg[lo + ok])]
+            if len(todo):
+                ga[lo + todo] = np.sqrt(_garch(x[todo], var[todo]))
+    return eg, ga
 
 
 def conditional_vol(df: DataFrame, window: int = 500, col: str = "close", out: str = "EGARCH_Vol",
@@ -103,11 +112,12 @@ def conditional_vol(df: DataFrame, window: int = 500, col: str = "close", out: s
         pdf = pdf.sort_values("bar_idx")
         if len(pdf) <= window:
             return pd.DataFrame({f.name: [] for f in schema})
-        eg, ga = forecast_rows(pdf["_lr"].to_numpy(float), window)
+        eg, ga = forecast_rows(pdf["_lr"].to_numpy(float), window, keep_parts)
         res = pdf.iloc[window:][[*keys, "bar_idx", BLK]].assign(_eg=eg, _ga=ga)
         return res[res[BLK] == res["bar_idx"] // FIT_BLOCK].drop(columns=BLK)
 
-    fits = halo(need, back=window, size=FIT_BLOCK).groupBy(*keys, BLK).applyInPandas(fit, schema)
+    blocks = spread(halo(need, back=window, size=FIT_BLOCK), *keys, BLK)
+    fits = blocks.groupBy(*keys, BLK).applyInPandas(fit, schema)
     res = (base.join(fits, [*keys, "bar_idx"])
            .withColumn(out, choose(F.col("_eg"), F.col("_ga"), F.col("_hv"))))
     if keep_parts:
