@@ -1 +1,229 @@
-"""..."""
+"""Features, models and monitors."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidebar.catalog.base import ctes, query, r
+from tidebar.catalog.series import EMA_SQL, RSI_SQL
+from tidebar.catalog.trading import LABEL_SQL, all_trades, bars_vol, labelled, oos_probs
+from tidebar.functions.expr import dbl, r6
+from tidebar.operators import features, indicators, models, monitors, series, trades
+from tidebar.plans import backtest
+from tidebar.session import cut, scratch_path
+from tidebar.sources import market
+
+COLS = ("MACD_Hist", "RSI", "ATR", "EGARCH_Vol")
+LAGS = 10
+N_IN = LAGS * len(COLS)
+
+
+def labelled_features(spark, sf):
+    """Labelled rows with indicator columns, renumbered from the first row with volatility."""
+    d = indicators.add_indicators(bars_vol(spark, sf)).filter("EGARCH_Vol is not null")
+    from tidebar.operators.barriers import label
+    return series.with_bar_idx(label(series.with_bar_idx(d)))
+
+
+def windows(spark, sf, lags=LAGS):
+    """Training frame: vector of the lags, label, train flag; materialised once for many fits."""
+    d = features.train_split(features.as_vector(features.lag_windows(labelled_features(spark, sf), COLS, look_back=lags)))
+    n_train = F.floor(F.col("n_bars") * 4 / 5)
+    return cut(d.select("symbol", "bar_idx", "n_bars", "Label", "is_train", "features",
+                        (F.col("bar_idx") - n_train).alias("test_idx")))
+
+
+@query("w18_lag_windows", ctes("bars") + f"""
+SELECT a.symbol, a.bar_idx, CAST(count(*)*2 AS INTEGER) AS size, {r('sum(b.close)')} AS sum_close, {r('sum(b.tick_volume)')} AS sum_volume,
+       {r('arg_min(b.close, b.bar_idx)')} AS oldest, {r('arg_max(b.close, b.bar_idx)')} AS newest
+FROM bars a JOIN bars b ON b.symbol=a.symbol AND b.bar_idx BETWEEN a.bar_idx-60 AND a.bar_idx-1 WHERE a.bar_idx>=60 GROUP BY 1, 2""")
+def _(spark, sf):
+    d = features.lag_windows(market.bars_d1(spark, sf), ("close", "tick_volume"), label=None)
+    part = lambda k: F.aggregate(F.filter("window", lambda x, i: i % 2 == k), dbl(0.0), lambda s, x: s + x)
+    return d.select("symbol", "bar_idx", F.size("window").alias("size"), r6(part(0)).alias("sum_close"), r6(part(1)).alias("sum_volume"),
+                    r6(F.get("window", F.lit(0))).alias("oldest"), r6(F.get("window", F.lit(118))).alias("newest"))
+
+
+@query("j12_exogenous_block", ctes("rets") + f""",
+x AS (SELECT symbol, bar_idx, ret, lag(tick_volume) OVER (PARTITION BY symbol ORDER BY bar_idx) AS v, lag(log_ret) OVER (PARTITION BY symbol ORDER BY bar_idx) AS l FROM rets)
+SELECT symbol, bar_idx, {r('ret')} AS ret, v AS tick_volume, {r('l')} AS log_ret FROM x WHERE v IS NOT NULL AND l IS NOT NULL""")
+def _(spark, sf):
+    d = series.log_return(series.simple_return(market.bars_d1(spark, sf)))
+    d = features.exogenous_block(d, "ret", ["tick_volume", "log_ret"])
+    return d.select("symbol", "bar_idx", r6("ret").alias("ret"), "tick_volume", r6("log_ret").alias("log_ret"))
+
+
+@query("m1_standardise", ctes("rets") + f""",
+st AS (SELECT symbol, avg(log_ret) AS m, stddev_pop(log_ret) AS s FROM rets WHERE bar_idx*5<n_bars*4 GROUP BY 1)
+SELECT symbol, bar_idx, {r('greatest(-3::DOUBLE, least(3::DOUBLE, (log_ret-m)/CASE WHEN s>0 THEN s ELSE 1 END))')} AS log_ret_z FROM rets JOIN st USING (symbol)""")
+def _(spark, sf):
+    d = features.train_split(series.log_return(market.bars_d1(spark, sf)))
+    return features.standardise(d, ["log_ret"], bound=3.0).select("symbol", "bar_idx", r6("log_ret_z").alias("log_ret_z"))
+
+
+def _fit_score(kind, **params):
+    def run(spark, sf):
+        d = windows(spark, sf)
+        m = models.fit(d.filter("is_train"), kind, N_IN, **params)
+        return models.score(m, d.filter("not is_train"), ("symbol", "bar_idx", "Label"))
+    return run
+
+
+query("m2_random_forest")(_fit_score("RANDOM_FOREST", numTrees=20, maxDepth=5))
+query("m3_gradient_boosting")(_fit_score("XGBOOST", maxIter=5, maxDepth=3, subsamplingRate=0.8))
+query("m4_sequence_net")(_fit_score("LSTM", units=8, maxIter=20))
+query("m4b_logistic")(_fit_score("LOGISTIC", maxIter=20))
+query("m4c_latent_forest")(_fit_score("LSTM_RF", components=6, numTrees=10, maxDepth=4))
+
+
+@query("m5_purged_search")
+def _(spark, sf):
+    d = windows(spark, sf).filter("is_train")
+    d = cut(d.withColumn("train_idx", F.col("bar_idx") - LAGS)
+            .withColumn("n_train", F.floor(F.col("n_bars") * 4 / 5) - LAGS))
+    return models.search(d, "RANDOM_FOREST", N_IN, {"numTrees": [5, 10], "maxDepth": [3, 5]}, trials=2)
+
+
+@query("m6_walk_forward")
+def _(spark, sf):
+    """Every test row is scored; a fit serves 60 bars of every series."""
+    d = windows(spark, sf)
+    last = d.agg(F.floor(F.max("test_idx") / 180)).first()[0]          # one number: how many refits
+    return models.walk_forward(d, "LOGISTIC", N_IN, range(int(last) + 1), step=180, label_horizon=11, maxIter=10)
+
+
+@query("m7_in_sample_probabilities")
+def _(spark, sf):
+    d = windows(spark, sf).filter("is_train")
+    return models.score(models.fit(d, "LOGISTIC", N_IN, maxIter=10), d)
+
+
+@query("m8_fast_refit")
+def _(spark, sf):
+    d = windows(spark, sf)
+    recent = d.filter(F.col("bar_idx") >= F.col("n_bars") - 1000)
+    return models.score(models.fit(recent, "LOGISTIC", N_IN, maxIter=10), recent)
+
+
+@query("m9_model_round_trip")
+def _(spark, sf):
+    """Score with a model that was saved and loaded; the largest change must be 0."""
+    d = windows(spark, sf)
+    m = models.fit(d.filter("is_train"), "RANDOM_FOREST", N_IN, numTrees=5, maxDepth=4)
+    path = scratch_path(spark, "model")
+    m.save(path)
+    a = models.score(m, d)
+    b = models.score(models.Fitted.load(path), d).withColumnRenamed("prob", "prob2")
+    return a.join(b, ["symbol", "bar_idx"]).groupBy("symbol").agg(F.max(F.abs(F.col("prob") - F.col("prob2"))).alias("max_diff"))
+
+
+@query("m10_training_matrix")
+def _(spark, sf):
+    """Models x banks over all symbols in one frame each; test-set report per cell."""
+    banks = {"Tecnicos": COLS, "Momentum": COLS[:2]}
+    base = cut(labelled_features(spark, sf))
+    out = None
+    for bank, cols in banks.items():
+        d = cut(features.train_split(features.as_vector(features.lag_windows(base, cols, look_back=LAGS)))
+                .select("symbol", "bar_idx", "Label", "is_train", "features"))
+        for kind, params in (("LOGISTIC", {"maxIter": 10}), ("RANDOM_FOREST", {"numTrees": 5, "maxDepth": 3})):
+            m = models.fit(d.filter("is_train"), kind, LAGS * len(cols), **params)
+            rep = models.class_report(m.transform(d.filter("not is_train")), ["symbol"]).withColumns(
+                {"model": F.lit(kind), "bank": F.lit(bank)})
+            out = rep if out is None else out.unionByName(rep)
+    return out
+
+
+@query("m13_score_newest")
+def _(spark, sf):
+    d = windows(spark, sf)
+    m = models.fit(d.filter("is_train"), "LOGISTIC", N_IN, maxIter=10)
+    return models.score(m, series.last_n(d, 1))
+
+
+@query("m14_rescore_recent")
+def _(spark, sf):
+    """Newest 300 bars of each series; bars without a full window stay unscored (NULL)."""
+    d = windows(spark, sf)
+    m = models.fit(d.filter("is_train"), "LOGISTIC", N_IN, maxIter=10)
+    bars = series.last_n(series.with_bar_idx(labelled_features(spark, sf).drop("bar_idx", "n_bars")), 300)
+    return bars.select("symbol", "bar_idx").join(models.score(m, series.last_n(d, 300)), ["symbol", "bar_idx"], "left")
+
+
+@query("a21_f1_accuracy", LABEL_SQL + f""",
+x AS (SELECT p.symbol, p.model, p.bank, l."Label" AS y, CASE WHEN prob>0.5 THEN 1 ELSE 0 END AS p FROM (SELECT p.* FROM
+      (SELECT b.symbol, model, bank, bar_idx, ((bar_idx*7919+symbol_no*104729+model_no*1299709+bank_no*15485863)%1000)/CAST(1000 AS DOUBLE) AS prob
+       FROM bars b JOIN (SELECT symbol, rank() OVER (ORDER BY symbol)-1 AS symbol_no FROM (SELECT DISTINCT symbol FROM bars)) USING (symbol),
+       (VALUES ('RANDOM_FOREST',0,'Precio_Puro',0),('RANDOM_FOREST',0,'Tecnicos',1),('XGBOOST',1,'Precio_Puro',0),('XGBOOST',1,'Tecnicos',1)) g(model,model_no,bank,bank_no)
+       WHERE bar_idx*5>=n_bars*4) p) p JOIN lab l USING (symbol, bar_idx)),
+c AS (SELECT symbol, model, bank, count(*) FILTER (WHERE y=1 AND p=1) AS tp, count(*) FILTER (WHERE y=0 AND p=1) AS fp,
+             count(*) FILTER (WHERE y=1 AND p=0) AS fn, count(*) FILTER (WHERE y=0 AND p=0) AS tn FROM x GROUP BY ALL)
+SELECT symbol, model, bank, tp, fp, fn, tn, {r('(tp+tn)/CAST(tp+fp+fn+tn AS DOUBLE)')} AS accuracy,
+       {r('(2*tp/CAST(2*tp+fp+fn AS DOUBLE)+2*tn/CAST(2*tn+fp+fn AS DOUBLE))/2')} AS f1_macro FROM c""")
+def _(spark, sf):
+    p = oos_probs(spark, sf).select("symbol", "model", "bank", "bar_idx", F.when(F.col("prob") > 0.5, 1).otherwise(0).alias("prediction"))
+    d = labelled(spark, sf).select("symbol", "bar_idx", "Label").join(p, ["symbol", "bar_idx"])
+    rep = models.class_report(d, ["symbol", "model", "bank"])
+    return rep.withColumns({"accuracy": r6("accuracy"), "f1_macro": r6("f1_macro")})
+
+
+@query("a22_feature_importance")
+def _(spark, sf):
+    d = windows(spark, sf)
+    return models.importance(models.fit(d.filter("is_train"), "RANDOM_FOREST", N_IN, numTrees=10, maxDepth=4), COLS, spark)
+
+
+def _macro_bars(spark, sf):
+    from tidebar.sources.ingest import join_macro
+    return join_macro(bars_vol(spark, sf), market.macro_daily(spark, sf), ["VIX_close", "DXY_close", "Yield10Y"])
+
+
+@query("a29_regimes")
+def _(spark, sf):
+    d = monitors.regimes(features.train_split(_macro_bars(spark, sf)), ["VIX_close", "DXY_close", "Yield10Y"], train="is_train")
+    return d.select("symbol", "bar_idx", "regime", "is_crisis", "risk_mult")
+
+
+def trade_errors(spark, sf):
+    """Reconstruction error of every trade's (return, duration, win); trained on the first half of trades."""
+    t = backtest.numbered_trades(cut(all_trades(spark, sf)))
+    t = t.withColumns({"dur": F.col("duration").cast("double"), "win": F.when(F.col("ret") > 0, 1.0).otherwise(0.0),
+                       "is_train": F.col("trade_no") * 2 < F.col("n_trades")})
+    e = monitors.reconstruction_error(t, ["ret", "dur", "win"], k=1, train="is_train")
+    return e.select(*trades.STRATEGY, "trade_no", "n_trades", "is_train", "mse")
+
+
+@query("a30_reconstruction_error")
+def _(spark, sf):
+    e = cut(trade_errors(spark, sf))
+    th = monitors.error_thresholds(e.filter("is_train"), trades.STRATEGY)
+    return e.join(th, list(trades.STRATEGY)).withColumn("anomalous", F.col("mse") > F.col("p99"))
+
+
+ERR_SQL = ctes("trades") + """,
+er AS (SELECT *, count(*) OVER (PARTITION BY symbol, model, bank, threshold) AS n_trades, pow(100*ret, 2)+duration/CAST(10 AS DOUBLE) AS mse FROM trades)"""
+
+
+def _proxy_errors(spark, sf):
+    """A closed-form error per trade, so that the threshold and drift steps can be checked in SQL."""
+    t = backtest.numbered_trades(cut(all_trades(spark, sf)))
+    return cut(t.withColumn("mse", F.pow(100 * F.col("ret"), dbl(2.0)) + F.col("duration") / dbl(10.0)))
+
+
+@query("a30b_error_thresholds", ERR_SQL + f""" SELECT symbol, model, bank, threshold, {r('quantile_cont(mse, CAST(0.9 AS DOUBLE))')} AS p90,
+{r('quantile_cont(mse, CAST(0.99 AS DOUBLE))')} AS p99 FROM er WHERE trade_no*2<n_trades GROUP BY ALL""")
+def _(spark, sf):
+    e = _proxy_errors(spark, sf).filter("trade_no * 2 < n_trades")
+    d = monitors.error_thresholds(e, trades.STRATEGY)
+    return d.select(*trades.STRATEGY, r6("p90").alias("p90"), r6("p99").alias("p99"))
+
+
+@query("a31_concept_drift", ERR_SQL + f""",
+th AS (SELECT symbol, model, bank, threshold, quantile_cont(mse, CAST(0.9 AS DOUBLE)) AS p90 FROM er WHERE trade_no*2<n_trades GROUP BY ALL),
+rc AS (SELECT symbol, model, bank, threshold, median(mse) AS median_mse FROM er WHERE n_trades>=30 AND trade_no>=n_trades-30 GROUP BY ALL)
+SELECT symbol, model, bank, threshold, {r('median_mse')} AS median_mse, median_mse>p90 AS drift FROM rc JOIN th USING (symbol, model, bank, threshold)""")
+def _(spark, sf):
+    e = _proxy_errors(spark, sf)
+    th = monitors.error_thresholds(e.filter("trade_no * 2 < n_trades"), trades.STRATEGY)
+    d = monitors.concept_drift(e, th, trades.STRATEGY)
+    return d.select(*trades.STRATEGY, r6("median_mse").alias("median_mse"), "drift")

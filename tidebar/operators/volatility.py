@@ -111,7 +111,7 @@ def conditional_vol(df: DataFrame, window: int = 500, col: str = "close", out: s
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("bar_idx")
         if len(pdf) <= window:
-            return pd.DataFrame({f.name: [] for f in schema})
+            return pdf.iloc[:0][[*keys, "bar_idx"]].assign(_eg=0.0, _ga=0.0)
         eg, ga = forecast_rows(pdf["_lr"].to_numpy(float), window, keep_parts)
         res = pdf.iloc[window:][[*keys, "bar_idx", BLK]].assign(_eg=eg, _ga=ga)
         return res[res[BLK] == res["bar_idx"] // FIT_BLOCK].drop(columns=BLK)
