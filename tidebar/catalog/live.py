@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidebar.catalog.base import ctes, ntz, query, r
-from tidebar.catalog.trading import bars_vol, oos_probs
+from tidebar.catalog.trading import bars_vol, probs_of
 from tidebar.functions import signals as rules
 from tidebar.functions.expr import dbl, r6
 from tidebar.operators import barriers, trades
@@ -39,8 +39,9 @@ SELECT concat(symbol, '/', model, '/', bank) AS symbol, bar_idx AS entry_idx, ex
 FROM free WHERE threshold=CAST(0.6 AS DOUBLE)""")
 def _(spark, sf):
     """Signals at 0.6 of every (symbol, model, bank), replayed as a stream of bar files."""
-    p = oos_probs(spark, sf)
-    b = bars_vol(spark, sf).drop("bilateral", "n_bars")
+    bv = bars_vol(spark, sf)
+    p = probs_of(spark, sf, bv)
+    b = bv.drop("bilateral", "n_bars")
     d = b.join(p.select("symbol", "model", "bank", "bar_idx", "n_bars", "prob", "bilateral"), ["symbol", "bar_idx"])
     open_ok = (F.col("bar_idx") < F.col("n_bars") - 11) & F.col("EGARCH_Vol").isNotNull()
     d = d.select(F.concat_ws("/", "symbol", "model", "bank").alias("symbol"), "bar_idx", "open", "high", "low", "close",
@@ -56,9 +57,9 @@ def _(spark, sf):
 @query("t4_monitor_events")
 def _(spark, sf):
     """Newest 300 bars of every strategy replayed as one micro-batch; status changes become events."""
-    from tidebar.catalog.learning import trade_errors  # noqa: F401  (same trades, other monitor input)
-    b = bars_vol(spark, sf).filter("bar_idx >= n_bars - 300")
-    p = oos_probs(spark, sf).filter("bar_idx >= n_bars - 300")
+    bv = bars_vol(spark, sf)
+    b = bv.filter("bar_idx >= n_bars - 300")
+    p = probs_of(spark, sf, bv).filter("bar_idx >= n_bars - 300")
     path = scratch_path(spark, "monitor")
     p.write.parquet(f"{path}/probs")
     table = smon.VersionedTable(spark, f"{path}/state", smon.STATUS)

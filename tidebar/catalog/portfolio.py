@@ -8,7 +8,7 @@ from tidebar.catalog.base import ctes, query, r
 from tidebar.catalog.series import metrics_sql
 from tidebar.functions.expr import dbl, r6
 from tidebar.operators import allocate, metrics, series
-from tidebar.plans import backtest
+from tidebar.session import cut
 from tidebar.sources import market
 
 
@@ -18,7 +18,7 @@ def strategies(spark, sf):
     curves = d.select(F.col("symbol").alias("strategy"), F.col("time").alias("date"), F.col("cum_ret").alias("equity"))
     a = allocate.align(curves).withColumn("_pos", series.day_number("date"))
     r_ = series.simple_return(a, "equity", keys=["strategy"], pos="_pos")
-    return r_.select("date", "strategy", "equity", "ret")
+    return cut(allocate.numbered_returns(r_.select("date", "strategy", "equity", "ret")))
 
 
 ALIGN_SQL = ctes("rets") + """,
@@ -51,8 +51,8 @@ def _(spark, sf):
 
 
 def _arrays(spark, sf):
-    win = allocate.windows(allocate.numbered_returns(strategies(spark, sf)))
-    return win, allocate.window_arrays(win)
+    win = allocate.windows(strategies(spark, sf))
+    return win, cut(allocate.window_arrays(win))
 
 
 @query("a23_covariance_windows", ALIGN_SQL + f" SELECT window_id, a, b, {r('cov', 12)} AS cov, {r('corr')} AS corr FROM co")
@@ -104,7 +104,7 @@ pr AS MATERIALIZED (SELECT date, i, 'HRP' AS portfolio, sum(wm*ret) AS ret FROM
 
 def held(spark, sf, base="ivp"):
     """Strategies with the weights in force and a price-trend signal of the day before."""
-    s = strategies(spark, sf).select("date", "strategy", "ret")
+    s = strategies(spark, sf).drop("equity")
     w, t = allocate.rebalance(s, base=base)
     h = allocate.hold_weights(s, w, t)
     b = series.sma(market.bars_d1(spark, sf), 200)
@@ -148,7 +148,7 @@ pa AS (SELECT date, i, portfolio, ret FROM pr UNION ALL SELECT date, i, 'INDEX',
 SELECT portfolio, """ + ", ".join(f"{r(c)} AS {c}" for c in X3_COLS) + " FROM met")
 def _(spark, sf):
     from tidebar.sources.ingest import asof_backward
-    p = allocate.portfolio_returns(held(spark, sf), "trend_on")
+    p = cut(allocate.portfolio_returns(held(spark, sf), "trend_on"))
     index = series.sma(market.bars_d1(spark, sf).filter(F.col("symbol") == INDEX), 200).select("time", "close", "sma")
     days = p.select(F.col("date").alias("time"), "i").distinct()
     a = asof_backward(days, index, ["close", "sma"], backfill=False).withColumn("_all", F.lit(0))

@@ -13,6 +13,7 @@ from tidebar.functions.expr import dbl, norm_cdf, norm_ppf, r6
 from tidebar.operators import barriers, bootstrap, cv, metrics, series, trades, volatility
 from tidebar.operators.champion import champions
 from tidebar.plans import backtest
+from tidebar.session import cut
 from tidebar.sources import market
 
 S = "PARTITION BY symbol ORDER BY bar_idx"
@@ -21,30 +22,36 @@ N_TRIALS = 24
 
 
 def bars_vol(spark, sf):
-    """Bars with rolling volatility and parameters."""
+    """Bars with rolling volatility and parameters, written once: every step below starts from them."""
     b = volatility.hist_vol(market.bars_d1(spark, sf), out="EGARCH_Vol")
-    return market.with_params(b)
+    return cut(market.with_params(b))
+
+
+def probs_of(spark, sf, bars):
+    return market.with_params(market.probs(spark, sf, bars)).filter("split = 'oos'").drop("k_up", "k_down", "cost")
 
 
 def oos_probs(spark, sf):
-    return market.with_params(market.probs(spark, sf)).filter("split = 'oos'").drop("k_up", "k_down", "cost")
+    return probs_of(spark, sf, cut(market.bars_d1(spark, sf)))
 
 
-def oos_bars(spark, sf):
-    return bars_vol(spark, sf).filter(market.is_oos())
+def oos_bars(bars):
+    return bars.filter(market.is_oos())
 
 
-def outcomes(spark, sf):
-    return barriers.outcomes(bars_vol(spark, sf))
+def trades_of(spark, sf, bars):
+    """Trades of all strategies, written once."""
+    return cut(backtest.run_trades(bars, probs_of(spark, sf, bars)))
 
 
 def all_trades(spark, sf):
-    return backtest.run_trades(bars_vol(spark, sf), oos_probs(spark, sf))
+    return trades_of(spark, sf, bars_vol(spark, sf))
 
 
 def scored_bars(spark, sf):
     """Bars joined with their scores."""
-    return bars_vol(spark, sf).join(oos_probs(spark, sf).select("symbol", "model", "bank", "bar_idx", "prob"), ["symbol", "bar_idx"])
+    b = bars_vol(spark, sf)
+    return b.join(probs_of(spark, sf, b).select("symbol", "model", "bank", "bar_idx", "prob"), ["symbol", "bar_idx"])
 
 
 PB = ctes("vol", "probs") + """,
@@ -161,7 +168,7 @@ def _(spark, sf):
 @query("w15_barrier_outcomes", ctes("outc") + f"""
 SELECT symbol, bar_idx, side, exit_kind, duration, exit_idx, {r('tp')} AS tp, {r('sl')} AS sl, {r('raw_ret')} AS raw_ret, {r('ret')} AS ret FROM outc""")
 def _(spark, sf):
-    return outcomes(spark, sf).select("symbol", "bar_idx", "side", "exit_kind", "duration", "exit_idx",
+    return barriers.outcomes(bars_vol(spark, sf)).select("symbol", "bar_idx", "side", "exit_kind", "duration", "exit_idx",
                                       *[r6(c).alias(c) for c in ("tp", "sl", "raw_ret", "ret")])
 
 
@@ -195,7 +202,8 @@ SELECT {K}, entry_idx, exit_idx, {r('ret')} AS ret FROM st WHERE entry_idx IS NO
 
 @query("w16b_trades_with_cooldown", COOL_SQL)
 def _(spark, sf):
-    c = trades.candidates(trades.signals(oos_probs(spark, sf)), outcomes(spark, sf))
+    b = bars_vol(spark, sf)
+    c = trades.candidates(trades.signals(probs_of(spark, sf, b)), barriers.outcomes(b))
     c = c.withColumn("anomalous", (F.col("exit_kind") == "SL") & (F.col("duration") <= 2))
     c = c.select(*trades.STRATEGY, "bar_idx", "exit_idx", "ret", "anomalous")
     return trades.with_cooldown(c).select(*trades.STRATEGY, "entry_idx", "exit_idx", r6("ret").alias("ret"))
@@ -266,7 +274,8 @@ ev AS MATERIALIZED (SELECT *, CASE WHEN days<=0 THEN 0 WHEN total_ret<=-1 THEN -
 
 
 def evaluated(spark, sf):
-    return backtest.evaluate(all_trades(spark, sf), oos_bars(spark, sf), N_TRIALS)
+    b = bars_vol(spark, sf)
+    return backtest.evaluate(trades_of(spark, sf, b), oos_bars(b), N_TRIALS)
 
 
 @query("a15_cagr", EVAL_SQL + f" SELECT {K}, {r('total_ret')} AS total_ret, {r('cagr')} AS cagr, {r('market_cagr')} AS market_cagr FROM ev")
@@ -306,13 +315,13 @@ FINAL_SQL = CHAMP_SQL + champion_sql("(SELECT * EXCLUDE (score) FROM pm)", "symb
 
 @query("r2_champion_per_model", CHAMP_SQL + f" SELECT {K}, n, {r('alpha')} AS alpha, {r('score')} AS score FROM pm")
 def _(spark, sf):
-    d, _ = backtest.pick_champions(evaluated(spark, sf))
+    d, _ = backtest.pick_champions(cut(evaluated(spark, sf)))
     return d.select(*trades.STRATEGY, "n", r6("alpha").alias("alpha"), r6("score").alias("score"))
 
 
 @query("r2b_champion_per_symbol", FINAL_SQL + f" SELECT {K}, n, {r('alpha')} AS alpha, {r('score')} AS score FROM fc")
 def _(spark, sf):
-    _, d = backtest.pick_champions(evaluated(spark, sf))
+    _, d = backtest.pick_champions(cut(evaluated(spark, sf)))
     return d.select(*trades.STRATEGY, "n", r6("alpha").alias("alpha"), r6("score").alias("score"))
 
 
@@ -341,10 +350,9 @@ SELECT symbol, name, bank, threshold, is_dead, n, """ + ", ".join(f"{r(c)} AS {c
 
 @query("x1_tournament_report", X1_SQL)
 def _(spark, sf):
-    b = oos_bars(spark, sf)
-    bench_bars = series.with_bar_idx(b)
-    ev = backtest.evaluate(all_trades(spark, sf), b, N_TRIALS)
-    d = backtest.tournament_report(ev, bench_bars)
+    b = bars_vol(spark, sf)
+    ev = cut(backtest.evaluate(trades_of(spark, sf, b), oos_bars(b), N_TRIALS))
+    d = backtest.tournament_report(ev, cut(series.with_bar_idx(oos_bars(b))))
     return d.select("symbol", "name", "bank", "threshold", "is_dead", "n", *[r6(c).alias(c) for c in X_COLS])
 
 
@@ -390,7 +398,7 @@ SPEC = f", spec AS (SELECT {K}, count(*) AS n FROM trades GROUP BY ALL)"
 
 @query("a14_bootstrap_mdd", TRADES + SPEC + boot_sql("trades", "spec") + f" SELECT {K}, {r('mc_mdd_95')} AS mc_mdd_95 FROM mc")
 def _(spark, sf):
-    t = backtest.numbered_trades(all_trades(spark, sf))
+    t = cut(backtest.numbered_trades(all_trades(spark, sf)))
     specs = t.groupBy(*trades.STRATEGY).agg(F.count(F.lit(1)).alias("n"))
     d = bootstrap.bootstrap_mdd(t, specs, trades.STRATEGY, n_sims=SIMS)
     return d.select(*trades.STRATEGY, r6("mc_mdd_95").alias("mc_mdd_95"))
@@ -402,7 +410,7 @@ RISK = "greatest(0.01, least({cap}::DOUBLE, 0.20::DOUBLE/greatest(0.05, abs({m})
 @query("p14_risk_budget", TRADES + SPEC + boot_sql("trades", "spec") + f"""
 SELECT {K}, {r(RISK.format(cap='0.0675', m='mc_mdd_95'))} AS optimal_risk_pct, {r('least(-0.20::DOUBLE, 1.2::DOUBLE*mc_mdd_95)')} AS kill_switch_mdd FROM mc""")
 def _(spark, sf):
-    t = backtest.numbered_trades(all_trades(spark, sf))
+    t = cut(backtest.numbered_trades(all_trades(spark, sf)))
     specs = t.groupBy(*trades.STRATEGY).agg(F.count(F.lit(1)).alias("n"))
     d = bootstrap.bootstrap_mdd(t, specs, trades.STRATEGY, n_sims=SIMS)
     m = F.col("mc_mdd_95")
@@ -435,9 +443,10 @@ combo AS (SELECT a, b, row_number() OVER (ORDER BY a, b)-1 AS path FROM (SELECT
 
 def _cv_rows(spark, sf):
     """Scored out-of-sample bars, renumbered per (symbol, model, bank)."""
-    p = oos_probs(spark, sf).select("symbol", "model", "bank", "bar_idx", "prob")
-    d = series.simple_return(market.bars_d1(spark, sf)).select("symbol", "time", "bar_idx", "ret").join(p, ["symbol", "bar_idx"])
-    return series.with_bar_idx(d, ["symbol", "model", "bank"])
+    b = cut(market.bars_d1(spark, sf))
+    p = probs_of(spark, sf, b).select("symbol", "model", "bank", "bar_idx", "prob")
+    d = series.simple_return(b).select("symbol", "time", "bar_idx", "ret").join(p, ["symbol", "bar_idx"])
+    return cut(series.with_bar_idx(d, ["symbol", "model", "bank"]))
 
 
 @query("j10_path_combinations", CPCV_BASE + " SELECT symbol, model, bank, path, count(*) AS n_test FROM gr JOIN combo ON g IN (a, b) GROUP BY ALL")

@@ -12,6 +12,7 @@ from tidebar.functions.expr import dbl
 from tidebar.operators.metrics import ANNUAL
 from tidebar.operators.screen import array_cov
 from tidebar.operators.series import dense_index, fill, day_number
+from tidebar.session import cut
 
 LOOKBACK, STEP = 100, 20
 SHRINK = 0.85
@@ -172,35 +173,37 @@ def tournament(win: DataFrame, weights: DataFrame, key: str = "strategy",
             .withColumn("use_weighted", F.col("sharpe_weighted") >= F.col("sharpe_equal")))
 
 
-def rebalance(returns: DataFrame, key: str = "strategy", base: str = "hrp") -> tuple[DataFrame, DataFrame]:
-    """(weights per window and strategy, tournament per window).
+def rebalance(days: DataFrame, key: str = "strategy", base: str = "hrp") -> tuple[DataFrame, DataFrame]:
+    """(weights per window and strategy, tournament per window); `days` from `numbered_returns`.
 
     `base` is `hrp`, or `ivp` for inverse variance.  Windows with fewer than two moving strategies
-    have no weights; the ones before stay in force.
+    have no weights; the ones before stay in force.  The window table and the weights are read
+    several times, so each is written once.
     """
-    win = windows(numbered_returns(returns, key))
-    arrays = performance_weights(window_arrays(win, key)).filter("n_valid > 1")
+    win = windows(days)
+    arrays = cut(performance_weights(window_arrays(win, key)).filter("n_valid > 1"))
     if base == "hrp":
         base_w = hrp(arrays, key=key)
     else:
-        base_w = inverse_variance(covariance(arrays, key)).select(
-            "window_id", F.col("strategy").alias(key), F.col("weight").alias("ivp"))
-    weights = shrink(arrays.drop("r").join(base_w, ["window_id", key]), base)
+        w = Window.partitionBy("window_id")
+        inverse = 1 / (F.col("std_ret") * F.col("std_ret"))
+        base_w = arrays.select("window_id", key, (inverse / F.sum(inverse).over(w)).alias("ivp"))
+    weights = cut(shrink(arrays.drop("r").join(base_w, ["window_id", key]), base))
     return weights, tournament(win, weights, key)
 
 
-def hold_weights(returns: DataFrame, weights: DataFrame, contest: DataFrame,
+def hold_weights(days: DataFrame, weights: DataFrame, contest: DataFrame,
                  key: str = "strategy") -> DataFrame:
     """Weights in force on every day from the first rebalance on: `w_main` and `w_contest`.
 
     A window without weights keeps those of the one before; before any, all are 1/N.
     """
-    d = numbered_returns(returns, key).filter(F.col("i") >= LOOKBACK)
-    d = d.withColumn("window_id", F.floor(F.col("i") / STEP))
-    names = returns.select(key).distinct()
+    d = days.filter(F.col("i") >= LOOKBACK).withColumn("window_id", F.floor(F.col("i") / STEP))
+    names = days.select(key).distinct()
     n = F.count(F.lit(1)).over(Window.partitionBy())
+    # the spine is the table of weights itself: windows x strategies
     spine = d.select("window_id").distinct().join(names.withColumn("n_all", n))
-    on = [*(["window_id"]), key]
+    on = ["window_id", key]
     have = contest.select("window_id", "use_weighted")
     w = (spine.join(have, "window_id", "left").join(weights.select(*on, "weight"), on, "left")
          .withColumn("w_main", F.when(F.col("use_weighted").isNotNull(), F.coalesce("weight", dbl(0.0))))
@@ -208,7 +211,7 @@ def hold_weights(returns: DataFrame, weights: DataFrame, contest: DataFrame,
                      .when(~F.col("use_weighted"), 1 / F.col("n_all"))))
     w = fill(w, ["w_main", "w_contest"], keys=[key], pos="window_id", backfill=False)
     equal = 1 / F.col("n_all")
-    w = w.withColumns({"w_main": F.coalesce("w_main", equal), "w_contest": F.coalesce("w_contest", equal)})
+    w = cut(w.withColumns({"w_main": F.coalesce("w_main", equal), "w_contest": F.coalesce("w_contest", equal)}))
     return d.join(w.select(*on, "n_all", "w_main", "w_contest"), on)
 
 

@@ -14,6 +14,7 @@ from tidebar.operators.champion import champions
 from tidebar.operators.metrics import cagr, series_metrics, trade_metrics
 from tidebar.operators.series import (affine_path, dense_index, block_of, equity, in_blocks, path_summary,
                                       simple_return, sma)
+from tidebar.session import cut
 from tidebar.operators.trades import STRATEGY, THRESHOLDS, candidates, signals, simulate
 
 RISK_FREE = 0.05
@@ -120,7 +121,7 @@ def leveraged(trades: DataFrame, keys: Sequence[str] = STRATEGY, risk: float = 0
     Needs prob and threshold.
     """
     keys = list(keys)
-    t = numbered_trades(trades, keys)
+    t = cut(numbered_trades(trades, keys))
     shift = 1 if include_current else 0
     t = t.withColumn("epoch", F.floor((F.col("trade_no") + shift) / EPOCH))
     specs = (t.filter("epoch > 0").select(*keys, "epoch").distinct()

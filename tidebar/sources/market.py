@@ -75,7 +75,7 @@ def macro_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 def probs(spark: SparkSession, sf_dir: str, bars: DataFrame | None = None) -> DataFrame:
     """Deterministic scores per (symbol, model, bank, bar), from integer arithmetic only."""
     bars = bars_d1(spark, sf_dir) if bars is None else bars
-    numbered = (bars.select("symbol").distinct()
+    numbered = (bars.select("symbol").distinct()               # one row per symbol
                 .withColumn("symbol_no", F.rank().over(Window.orderBy("symbol")) - 1))
     grid = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(i).alias("model_no"),
                               F.lit(b).alias("bank"), F.lit(j).alias("bank_no"))
