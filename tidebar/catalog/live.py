@@ -41,8 +41,8 @@ def _(spark, sf):
     """Signals at 0.6 of every (symbol, model, bank), replayed as a stream of bar files."""
     bv = bars_vol(spark, sf)
     p = probs_of(spark, sf, bv)
-    b = bv.drop("bilateral", "n_bars")
-    d = b.join(p.select("symbol", "model", "bank", "bar_idx", "n_bars", "prob", "bilateral"), ["symbol", "bar_idx"])
+    b = bv.drop("bilateral")
+    d = b.join(p.select("symbol", "model", "bank", "bar_idx", "prob", "bilateral"), ["symbol", "bar_idx"])
     open_ok = (F.col("bar_idx") < F.col("n_bars") - 11) & F.col("EGARCH_Vol").isNotNull()
     d = d.select(F.concat_ws("/", "symbol", "model", "bank").alias("symbol"), "bar_idx", "open", "high", "low", "close",
                  F.when(open_ok, rules.side(F.col("prob"), dbl(0.6), F.col("bilateral"))).otherwise(0).alias("side"),
@@ -59,7 +59,7 @@ def _(spark, sf):
     """Newest 300 bars of every strategy replayed as one micro-batch; status changes become events."""
     bv = bars_vol(spark, sf)
     b = bv.filter("bar_idx >= n_bars - 300")
-    p = probs_of(spark, sf, bv).filter("bar_idx >= n_bars - 300")
+    p = probs_of(spark, sf, bv).join(b.select("symbol", "bar_idx"), ["symbol", "bar_idx"], "left_semi")
     path = scratch_path(spark, "monitor")
     p.write.parquet(f"{path}/probs")
     table = smon.VersionedTable(spark, f"{path}/state", smon.STATUS)

@@ -6,12 +6,14 @@ hash of (s, p), so every engine and every retry of a lost task gives the same pa
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F
 
 from tidebar.functions.expr import dbl
-from tidebar.operators.series import path_summary
+from tidebar.operators.series import path_summary, spread
 
 # Fixed values of the hash.
 PRIME = 2147483647
@@ -19,14 +21,32 @@ SHORT = 2048        # histories up to this length travel as one array per path
 SIM_CHUNK = 50
 
 
-def draw(sim: Column, pos: Column, n: Column) -> Column:
-    """Index in 0..n-1: two squarings modulo a Mersenne prime."""
+def draw(sim, pos, n):
+    """Index in 0..n-1: two squarings modulo a Mersenne prime.  Takes columns or integer arrays."""
     h = (sim * 1000003 + pos * 10007 + 12345) % PRIME
     h = (h * h) % PRIME
     h = (h * 48271 + 11) % PRIME
     return ((h * h) % PRIME) % n
 
 
+def _short_paths(batches: Iterator[pd.DataFrame], names: list[str], n_sims: int) -> Iterator[pd.DataFrame]:
+    """Drawdowns of `SIM_CHUNK` paths per input row, as array arithmetic over (simulation, position)."""
+    for pdf in batches:
+        out = []
+        for row in pdf.itertuples(index=False):
+            n, first = int(row.n), int(row[-1])
+            sims = np.arange(first * SIM_CHUNK, min((first + 1) * SIM_CHUNK, n_sims), dtype=np.int64)
+            pick = draw(sims[:, None], np.arange(n, dtype=np.int64)[None, :], n)
+            value = np.cumprod(1 + np.asarray(row[len(names) + 1])[pick], axis=1)
+            mdd = (value / np.maximum.accumulate(value, axis=1) - 1).min(axis=1)
+            part = pd.DataFrame({"sim": sims, "mdd": mdd})
+            for i, c in enumerate(names):
+                part[c] = row[i]
+            out.append(part[[*names, "sim", "mdd"]])
+        if out:
+            yield pd.concat(out)
+
+
 def path_drawdowns(returns: DataFrame, specs: DataFrame, keys: Sequence[str],
                    extra: Sequence[str] = (), n_sims: int = 1000) -> DataFrame:
     """Max drawdown of every simulated path.
@@ -41,30 +61,20 @@ def path_drawdowns(returns: DataFrame, specs: DataFrame, keys: Sequence[str],
               .agg(F.transform(F.sort_array(F.collect_list(F.struct("trade_no", "ret"))),
                                lambda x: x["ret"]).alias("_r")))
 
-    def walk(state, p):
-        r = F.get(F.col("_r"), draw(F.col("sim"), p, F.col("n")).cast("int"))
-        v = state["v"] * (1 + r)
-        m = F.greatest(state["m"], v)
-        return F.struct(v.alias("v"), m.alias("m"), F.least(state["d"], v / m - 1).alias("d"))
-
     chunks = F.explode(F.sequence(F.lit(0), F.lit((n_sims - 1) // SIM_CHUNK)))
     short = (specs.filter(F.col("n").between(1, SHORT)).join(arrays, keys)
-             .withColumn("_chunk", chunks).repartition(*keys, *extra, "_chunk")
-             .withColumn("sim", F.explode(F.sequence(
-                 F.col("_chunk").cast("long") * SIM_CHUNK,
-                 F.least(F.col("_chunk").cast("long") * SIM_CHUNK + SIM_CHUNK - 1,
-                         F.lit(n_sims - 1).cast("long"))))))
-    start = F.struct(dbl(1.0).alias("v"), dbl(0.0).alias("m"), dbl(0.0).alias("d"))
-    short = short.select(*keys, *extra, "sim", F.aggregate(
-        F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1), start, walk,
-        lambda s: s["d"]).alias("mdd"))
+             .select(*keys, *extra, "n", "_r", chunks.alias("_chunk")))
+    types = dict(short.dtypes)
+    schema = ", ".join(f"`{c}` {types[c]}" for c in [*keys, *extra]) + ", sim bigint, mdd double"
+    short = spread(short, *keys, *extra, "_chunk").mapInPandas(
+        lambda batches: _short_paths(batches, [*keys, *extra], n_sims), schema)
 
     long_ = (specs.filter(F.col("n") > SHORT)
-             .withColumn("_p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1)))
+             .withColumn("draw_no", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1)))
              .withColumn("sim", sims)
-             .withColumn("trade_no", draw(F.col("sim"), F.col("_p"), F.col("n")))
+             .withColumn("trade_no", draw(F.col("sim"), F.col("draw_no"), F.col("n")))
              .join(returns.select(*keys, "trade_no", "ret"), [*keys, "trade_no"]))
-    long_ = path_summary(long_, "ret", keys=[*keys, *extra, "sim"], pos="_p").select(
+    long_ = path_summary(long_, "ret", keys=[*keys, *extra, "sim"], pos="draw_no").select(
         *keys, *extra, "sim", "mdd")
     return short.unionByName(long_)
 
