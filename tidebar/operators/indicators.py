@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidebar.functions.expr import dbl
 from tidebar.operators.series import BLK, KEYS, in_blocks
@@ -38,7 +38,7 @@ def ema_in(x: Column, alpha: float, w, back: int, size: int) -> Column:
     beta = dbl(1 - alpha)
     k = (F.col("bar_idx") - F.col(BLK) * size + back).cast("double")
     seeded = F.when(F.col("bar_idx") == 0, x).otherwise(dbl(alpha) * x)
-    running = w().rowsBetween(-(1 << 30), 0)
+    running = w(Window.unboundedPreceding, 0)
     return F.pow(beta, k) * F.sum(seeded * F.pow(beta, -k)).over(running)
 
 

@@ -91,9 +91,9 @@ def fit(train: DataFrame, kind: str, n_inputs: int, **params) -> Fitted:
 
 
 def score(model: Fitted, df: DataFrame, cols: Sequence[str] = ("symbol", "bar_idx")) -> DataFrame:
-    """Probability of class 1."""
+    """Probability of class 1; 0 from a model that has only seen class 0."""
     d = model.transform(df)
-    return d.select(*cols, vector_to_array("probability")[1].alias("prob"))
+    return d.select(*cols, F.coalesce(F.get(vector_to_array("probability"), F.lit(1)), dbl(0.0)).alias("prob"))
 
 
 def class_report(scored: DataFrame, keys: Sequence[str], label: str = "Label",

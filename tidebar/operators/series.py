@@ -110,10 +110,12 @@ def running(df: DataFrame, scans: dict[str, tuple[str, str]], *, keys: Sequence[
     base = df.withColumn(BLK, block_of(pos, size))
     upto = (Window.partitionBy(*keys, BLK).orderBy(pos)
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    onward = (Window.partitionBy(*keys, BLK).orderBy(pos)
-              .rowsBetween(Window.currentRow, Window.unboundedFollowing))
     before = Window.partitionBy(*keys).orderBy(BLK).rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy(*keys).orderBy(BLK).rowsBetween(1, Window.unboundedFollowing)
+    # looking forward is a running frame over the reversed order: frames that end at "unbounded
+    # following" are evaluated anew for every row
+    onward = (Window.partitionBy(*keys, BLK).orderBy(F.desc(pos))
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    after = Window.partitionBy(*keys).orderBy(F.desc(BLK)).rowsBetween(Window.unboundedPreceding, -1)
 
     local, totals, carries = {}, [], []
     for i, (name, (kind, col)) in enumerate(scans.items()):
@@ -127,9 +129,9 @@ def running(df: DataFrame, scans: dict[str, tuple[str, str]], *, keys: Sequence[
             totals.append(F.max_by(c, F.when(c.isNotNull(), F.col(pos))).alias(f"_t{i}"))
             carries.append(F.last(f"_t{i}", ignorenulls=True).over(before).alias(f"_c{i}"))
         elif kind == "next":
-            local[f"_l{i}"] = F.first(c, ignorenulls=True).over(onward)
+            local[f"_l{i}"] = F.last(c, ignorenulls=True).over(onward)
             totals.append(F.min_by(c, F.when(c.isNotNull(), F.col(pos))).alias(f"_t{i}"))
-            carries.append(F.first(f"_t{i}", ignorenulls=True).over(after).alias(f"_c{i}"))
+            carries.append(F.last(f"_t{i}", ignorenulls=True).over(after).alias(f"_c{i}"))
         else:
             raise ValueError(f"unknown scan kind {kind!r}")
 
@@ -192,11 +194,25 @@ def lagged(df: DataFrame, cols: Sequence[str], n: int, suffix: str | None = None
 
 
 def sma(df: DataFrame, n: int, col: str = "close", out: str = "sma", **kw) -> DataFrame:
-    """Simple moving average; NULL until n rows are there."""
+    """Simple moving average; NULL until n rows are there.
+
+    The sum of n rows is the difference of two running sums of the block, so the cost per row does
+    not grow with n.
+    """
     kw.setdefault("size", max(BLOCK, 4 * n))
-    return in_blocks(df, lambda d, w: d.withColumn(
-        out, F.when(F.count(col).over(w(1 - n, 0)) == n, F.avg(col).over(w(1 - n, 0)))),
-        back=n - 1, **kw)
+
+    def build(d, w):
+        upto = w(Window.unboundedPreceding, 0)
+        d = d.withColumns({"_s": F.sum(col).over(upto), "_k": F.count(col).over(upto)})
+        whole = lambda c: F.col(c) - F.coalesce(F.lag(c, n).over(w()), F.lit(0))
+        return (d.withColumns({"_sn": whole("_s"), "_kn": whole("_k")})
+                .withColumn(out, F.when(F.col("_kn") == n, F.col("_sn") / n)).drop("_s", "_k", "_sn", "_kn"))
+    return in_blocks(df, build, back=n, **kw)
+
+
+def log_return_in(col: str, w) -> Column:
+    """Log return in percent inside a block; 0 on the first bar of a series."""
+    return F.when(F.col("bar_idx") == 0, F.lit(0.0)).otherwise(100 * (F.ln(col) - F.lag(F.ln(col)).over(w())))
 
 
 def rolling_std(df: DataFrame, n: int, col: str, out: str, **kw) -> DataFrame:

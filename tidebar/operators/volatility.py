@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tidebar.operators.series import BLK, KEYS, halo, log_return, rolling_std, spread
+from tidebar.operators.series import BLK, BLOCK, KEYS, halo, in_blocks, log_return_in, spread
 
 MAX_VOL, MIN_VOL = 5.0, 1e-6
 FIT_BLOCK = 256
@@ -21,9 +21,16 @@ FIT_BLOCK = 256
 
 def hist_vol(df: DataFrame, window: int = 500, col: str = "close", out: str = "hist_vol",
              keys: Sequence[str] = KEYS) -> DataFrame:
-    """Sample deviation of the previous `window` log returns (in percent)."""
-    ret = log_return(df, col, "log_ret", keys=keys)
-    return rolling_std(ret, window, "log_ret", out, keys=keys).drop("log_ret")
+    """Sample deviation of the previous `window` log returns (in percent), in one shuffle."""
+    return _with_rolling(df, window, col, "_lr", out, keys).drop("_lr")
+
+
+def _with_rolling(df, window, col, ret, out, keys):
+    def build(d, w):
+        d = d.withColumn(ret, log_return_in(col, w))
+        frame = w(-window, -1)
+        return d.withColumn(out, F.when(F.count(ret).over(frame) == window, F.stddev_samp(ret).over(frame)))
+    return in_blocks(df, build, keys=keys, back=window + 1, size=max(BLOCK, 4 * window))
 
 
 def valid(v):
@@ -102,8 +109,7 @@ def conditional_vol(df: DataFrame, window: int = 500, col: str = "close", out: s
                     keys: Sequence[str] = KEYS, keep_parts: bool = False) -> DataFrame:
     """EGARCH -> GARCH -> historical volatility per row; rows before the first window are dropped."""
     keys = list(keys)
-    ret = log_return(df, col, "_lr", keys=keys)
-    base = rolling_std(ret, window, "_lr", "_hv", keys=keys)
+    base = _with_rolling(df, window, col, "_lr", "_hv", keys)
     need = base.select(*keys, "bar_idx", "n_bars", "_lr", "_hv")
     schema = T.StructType([f for f in need.schema if f.name in (*keys, "bar_idx")] + [
         T.StructField("_eg", T.DoubleType()), T.StructField("_ga", T.DoubleType())])
