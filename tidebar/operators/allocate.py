@@ -19,13 +19,20 @@ SHRINK = 0.85
 SHARPE_FLOOR, SHARPE_FLAT = 0.05, 0.1
 
 
+def _with_every_name(rows: DataFrame, source: DataFrame, key: str) -> DataFrame:
+    """Each row once per strategy: a calendar x strategies spine, which is the result's own size.
+
+    The names of a portfolio come as one array on one row (an allocation is N x N in them anyway).
+    """
+    names = source.agg(F.collect_set(key).alias("_names")).withColumn("_all", F.lit(0))
+    return (rows.withColumn("_all", F.lit(0)).join(names, "_all")
+            .withColumn(key, F.explode("_names")).withColumn("n_all", F.size("_names")).drop("_all", "_names"))
+
+
 def align(curves: DataFrame, key: str = "strategy", value: str = "equity") -> DataFrame:
     """Equity curves on the union of all dates, carried forward, 1.0 before the first value."""
-    dates = curves.select("date").distinct()
-    names = curves.select(key).distinct()
-    # the spine is the result's own size: dates x strategies
-    grid = dates.join(names)
-    d = grid.join(curves, ["date", key], "left").withColumn("_pos", day_number("date"))
+    grid = _with_every_name(curves.select("date").distinct(), curves, key)
+    d = grid.drop("n_all").join(curves, ["date", key], "left").withColumn("_pos", day_number("date"))
     return (fill(d, [value], keys=[key], pos="_pos", backfill=False)
             .withColumn(value, F.coalesce(value, dbl(1.0))).drop("_pos"))
 
@@ -199,10 +206,7 @@ def hold_weights(days: DataFrame, weights: DataFrame, contest: DataFrame,
     A window without weights keeps those of the one before; before any, all are 1/N.
     """
     d = days.filter(F.col("i") >= LOOKBACK).withColumn("window_id", F.floor(F.col("i") / STEP))
-    names = days.select(key).distinct()
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    # the spine is the table of weights itself: windows x strategies
-    spine = d.select("window_id").distinct().join(names.withColumn("n_all", n))
+    spine = _with_every_name(d.select("window_id").distinct(), days, key)
     on = ["window_id", key]
     have = contest.select("window_id", "use_weighted")
     w = (spine.join(have, "window_id", "left").join(weights.select(*on, "weight"), on, "left")

@@ -45,7 +45,7 @@ def estimator(kind: str, n_inputs: int, features: str = "scaled", **params):
     raise ValueError(f"unknown model kind {kind!r}")
 
 
-def pipeline(kind: str, n_inputs: int, components: int | None = None, **params) -> Pipeline:
+def stages_of(kind: str, n_inputs: int, components: int | None = None, **params) -> Pipeline:
     """Scaler fitted on the training rows, then the classifier; LSTM_RF is PCA features -> forest."""
     scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True)
     if kind == "LSTM_RF":
@@ -81,7 +81,7 @@ class Fitted:
 
 
 def fit(train: DataFrame, kind: str, n_inputs: int, **params) -> Fitted:
-    scaler, *rest = pipeline(kind, n_inputs, **params).getStages()
+    scaler, *rest = stages_of(kind, n_inputs, **params).getStages()
     models = [scaler.fit(train)]
     d = clip_vector(models[0].transform(train), "scaled", "scaled")
     for stage in rest:

@@ -58,7 +58,8 @@ def track_positions(bars: DataFrame, max_hold: int = 10) -> DataFrame:
                 state.remove()
         else:
             state.update(tuple(pos))
-        yield pd.DataFrame(closed, columns=[c.split()[0] for c in OUT.split(", ")])
+        if closed:
+            yield pd.DataFrame(closed, columns=[c.split()[0] for c in OUT.split(", ")])
 
     return bars.groupBy("symbol").applyInPandasWithState(
         run, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
