@@ -14,7 +14,7 @@ from tidebar.session import cut, scratch_path
 from tidebar.sources import market
 
 COLS = ("MACD_Hist", "RSI", "ATR", "EGARCH_Vol")
-LAGS = 10
+LAGS = features.LOOK_BACK
 N_IN = LAGS * len(COLS)
 
 
