@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidebar.llm import substring_dedup
+from tidebar.llm import bpe, substring_dedup
 from tidebar.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +23,21 @@ def hex256(column: str):
     return F.sha2(F.col(column).cast("binary"), 256)
 
 
+BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+@query
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text, and their decoding."""
+    encode = bpe.encoder(spark, BPE_RANKS, public_tokenizers.PATTERN)
+    decode = bpe.decoder(spark, BPE_RANKS, public_tokenizers.PATTERN)
+    out = read(spark, sf_dir, "documents").select("doc_id", encode("text").alias("ids"))
+    out = out.select("doc_id", "ids", decode("ids").alias("decoded"))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                      F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+                      F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 @query
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of whole documents that lie in a 50-word passage of an earlier document."""
