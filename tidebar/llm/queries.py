@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidebar.llm import bpe, decontaminate, substring_dedup
+from tidebar.llm import bpe, decontaminate, language, quality_lines, substring_dedup
 from tidebar.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,19 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hi
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(d.w), false) AS contaminated
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
 """
+
+
+@query
+def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base figures of whole documents, and whether line-first cleaning keeps them."""
+    out = quality_lines.clean_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+                      "kept", "n_kept_words")
+
+
+@query
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every whole document, learned from four documents in five."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = language.predict(docs.drop("lang"), language.train(docs))
+    return out.select("doc_id", language.held_out("doc_id").alias("held_out"), "lang_pred", "score")
