@@ -7,8 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidebar.llm import bpe, decontaminate, language, quality_lines, substring_dedup
-from tidebar.llm.tables import read
+from tidebar.llm import bpe, chat, decontaminate, language, licences, quality_lines, substring_dedup, token_rollup
+from tidebar.llm.tables import read, written
+from tidebar.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -91,3 +92,81 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = language.predict(docs.drop("lang"), language.train(docs))
     return out.select("doc_id", language.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op4_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation from the view of each participant."""
+    out = chat.rotate(read(spark, sf_dir, "conversations"))
+    spans = F.array_join(F.transform("mask", lambda m: F.concat_ws("-", m["start"], m["stop"])), ",")
+    return out.select("conv_id", "perspective", "segment", F.col("n_turns").cast("long").alias("n_turns"), "rendered",
+                      spans.alias("mask"))
+
+
+ORACLES["op4_chat_rotation"] = f"""
+WITH t AS (SELECT conv_id, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'),
+                                     coalesce(text, '')) - 1 AS "at" FROM conversations),
+p AS (SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> 'system'),
+x AS (SELECT t.conv_id, perspective, "at" // {chat.SEGMENT} AS segment, "at", role = perspective AS mine,
+             '{chat.OPEN}' || CASE WHEN role = perspective THEN 'assistant' WHEN role = 'system' THEN role
+                                   ELSE 'user name=' || role END || chr(10) AS head,
+             text || '<|im_end|>' || chr(10) AS body
+      FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
+y AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective, segment ORDER BY "at") AS stop FROM x)
+SELECT conv_id, perspective, segment, count(*) AS n_turns, string_agg(head || body, '' ORDER BY "at") AS rendered,
+       coalesce(string_agg((stop - length(body))::BIGINT || '-' || stop::BIGINT, ',' ORDER BY "at") FILTER (WHERE mine), '') AS mask
+FROM y GROUP BY 1, 2, 3
+"""
+
+
+@query
+def op5_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after three batches: all documents, toxic ones deleted, poor ones counted anew by another tokenizer."""
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    first = token_rollup.counter(spark, BPE_RANKS, public_tokenizers.PATTERN)
+    second = token_rollup.counter(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    counts = written(token_rollup.counted(docs, first, "byte_bpe_50k"), "counts")
+    rollup = token_rollup.TokenRollup(spark, scratch_path(spark, "rollup"))
+    rollup.commit("load", token_rollup.inserts(counts))
+    toxic = labels.where("toxic = 1").select(F.col("doc_id").alias("doc")).distinct()
+    gone = token_rollup.deletes(counts.join(toxic, "doc", "left_semi"))
+    rollup.commit("toxic", gone)
+    rollup.commit("toxic", gone)                           # a batch sent twice counts once
+    poor = labels.where("quality = 0 and toxic = 0").select("doc_id").distinct()
+    old = counts.join(poor.withColumnRenamed("doc_id", "doc"), "doc", "left_semi")
+    new = token_rollup.counted(docs.join(poor, "doc_id", "left_semi"), second, "byte_bpe_multi_50k")
+    rollup.commit("recount", token_rollup.revisions(old, new))
+    return rollup.totals()
+
+
+@query
+def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and lines that are a known licence or notice."""
+    out = licences.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "whole_licence", F.array_join("licences", ",").alias("licences"), "n_notices")
+
+
+def _canonical_sql(text: str) -> str:
+    line = "lower(l)"
+    for pattern in (licences.COPYRIGHT_LINE, licences.ALL_RIGHTS):
+        line = f"regexp_replace({line}, '{pattern}', '')"
+    for spelling, one in licences.SPELLINGS:
+        line = f"replace({line}, '{spelling}', '{one}')"
+    line = rf"trim(regexp_replace({line}, '[^a-z0-9\x{{80}}-\x{{10FFFF}}]+', ' ', 'g'))"
+    return f"list_filter(list_transform(string_split(coalesce({text}, ''), chr(10)), lambda l: {line}), lambda l: l <> '')"
+
+
+_known = ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in licences.KNOWN)
+ORACLES["op10_licence_scan"] = f"""
+WITH k AS (SELECT array_to_string({_canonical_sql('text')}, ' ') AS unit, min(licence) AS licence
+           FROM (VALUES {_known}) AS v(licence, text) GROUP BY 1),
+d AS (SELECT doc_id, {_canonical_sql('text')} AS lines FROM documents),
+u AS (SELECT doc_id, unnest(lines) AS unit, false AS whole FROM d
+      UNION ALL SELECT doc_id, array_to_string(lines, ' '), true FROM d),
+m AS (SELECT doc_id, min(licence) FILTER (WHERE whole) AS whole_licence,
+             string_agg(DISTINCT licence, ',' ORDER BY licence) AS licences, count(*) FILTER (WHERE NOT whole) AS n_notices
+      FROM u JOIN k USING (unit) GROUP BY 1)
+SELECT doc_id, whole_licence, coalesce(licences, '') AS licences, coalesce(n_notices, 0) AS n_notices
+FROM documents LEFT JOIN m USING (doc_id)
+"""
