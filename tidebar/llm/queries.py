@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidebar.llm import bpe, chat, decontaminate, language, licences, quality_lines, substring_dedup, token_rollup
+from tidebar.llm import bpe, chat, decontaminate, language, licences, perplexity, quality_lines, substring_dedup, token_rollup
 from tidebar.llm.tables import read, written
 from tidebar.session import scratch_path
 
@@ -170,3 +170,10 @@ m AS (SELECT doc_id, min(licence) FILTER (WHERE whole) AS whole_licence,
 SELECT doc_id, whole_licence, coalesce(licences, '') AS licences, coalesce(n_notices, 0) AS n_notices
 FROM documents LEFT JOIN m USING (doc_id)
 """
+
+
+@query
+def op3_perplexity_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of whole documents under a model of all documents labelled good, and whether it is low enough."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return perplexity.classify(docs, read(spark, sf_dir, "labels").where("quality = 1"))

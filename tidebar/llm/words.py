@@ -122,3 +122,15 @@ def sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
 def signed(x: np.ndarray) -> np.ndarray:
     """The same 64 bits as Spark's bigint."""
     return x.view(np.int64)
+
+
+def byte_grams(data: np.ndarray, offsets: np.ndarray, order: int) -> np.ndarray:
+    """For every byte, the `order` bytes before it in its text (zeros before the first) and itself, as one number."""
+    at = np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))
+    grams = data.astype(np.int64)
+    for back in range(1, order + 1):
+        before = np.zeros(len(data), np.int64)
+        before[back:] = data[:-back] if back < len(data) else 0
+        before[at < back] = 0
+        grams |= before << (8 * back)
+    return grams
