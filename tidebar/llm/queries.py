@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidebar.llm import bpe, chat, decontaminate, language, licences, perplexity, quality_lines, substring_dedup, token_rollup
+from tidebar.llm import (bpe, chat, decontaminate, jaccard_join, language, licences, perplexity, quality_lines,
+                         substring_dedup, token_rollup)
 from tidebar.llm.tables import read, written
 from tidebar.session import scratch_path
 
@@ -177,3 +178,24 @@ def op3_perplexity_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Perplexity of whole documents under a model of all documents labelled good, and whether it is low enough."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return perplexity.classify(docs, read(spark, sf_dir, "labels").where("quality = 1"))
+
+
+@query
+def op8_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of whole documents linked by 0.85 of their 4-word n-grams."""
+    return jaccard_join.components(read(spark, sf_dir, "documents"), n=4, percent=85)
+
+
+ORACLES["op8_jaccard_components"] = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                            'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+             ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' '))) END AS g FROM w),
+t AS MATERIALIZED (SELECT doc_id, unnest(g) AS g FROM s),
+e AS MATERIALIZED (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n_both FROM t x JOIN t y ON x.g = y.g AND x.doc_id <> y.doc_id
+                    GROUP BY 1, 2) p
+  JOIN s u ON u.doc_id = a JOIN s v ON v.doc_id = b WHERE 100 * n_both >= 85 * (len(u.g) + len(v.g) - n_both)),
+r AS (SELECT doc_id AS node, doc_id AS reach FROM s UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.reach)
+SELECT s.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, min(reach) AS component_id FROM s JOIN r ON r.node = s.doc_id GROUP BY 1, 2
+"""
