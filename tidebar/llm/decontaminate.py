@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidebar.llm.tables import small_or_shuffled
+from tidebar.llm.tables import fits, small_or_shuffled, written
 
 WINDOW = 13
 SHARE = 20                       # contaminated where at least one word in SHARE is hit
@@ -48,21 +48,18 @@ def windows(items: DataFrame, item_id: str, text: str, window: int = WINDOW) ->
     return starts.select("item", F.slice("w", F.col("s"), F.lit(window)).alias("window")).distinct()
 
 
-def _exploded(docs: DataFrame, *keep) -> DataFrame:
-    return docs.select(*keep, F.posexplode("w").alias("at", "raw"))
-
-
 def keyed(wins: DataFrame, words: DataFrame) -> DataFrame:
     """Each window with its rarest word over all documents (ties: the alphabetically first) and that word's place."""
     vocabulary = wins.select(F.explode("window").alias("word")).distinct()
     vocabulary = small_or_shuffled(vocabulary, F.octet_length("word") + 16)
-    counts = (words.select(F.explode("w").alias("raw")).select(F.lower("raw").alias("word"))
+    counts = (words.select(F.explode_outer("w").alias("raw")).select(F.lower("raw").alias("word"))
               .join(vocabulary.select(F.lower("word").alias("word")).distinct(), "word", "left_semi").groupBy("word").count())
     one = wins.select("item", "window", F.posexplode("window").alias("place", "token"))
     ranked = one.join(counts, F.lower("token") == F.col("word"), "left").select(
         "item", "window", F.struct(F.coalesce("count", F.lit(0)).alias("n"), "token", "place").alias("rank"))
     return (ranked.groupBy("item", "window").agg(F.min("rank").alias("rank"))
-            .select("item", "window", F.lower("rank.token").alias("prefix"), F.col("rank.place").alias("place")))
+            .select("item", F.array_join("window", " ").alias("window"), F.size("window").alias("n"),
+                    F.lower("rank.token").alias("prefix"), F.col("rank.place").alias("place")))
 
 
 def _document(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -73,14 +70,20 @@ def hits(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
          item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """doc (id and text hash), item, start and stop (words) of every occurrence of an item's window."""
     words = _document(docs, doc_id, text)
-    keys = keyed(windows(items, item_id, item_text, window), words)
-    keys = small_or_shuffled(keys, F.aggregate("window", F.lit(40), lambda a, w: a + F.octet_length(w) + 8))
-    at = words.select("doc", "w", F.posexplode("w").alias("at", "raw"))
-    met = at.join(keys, F.lower("raw") == F.col("prefix"))
-    start, n = F.col("at") - F.col("place"), F.size("window")
-    met = met.where((start >= 0) & (start + n <= F.size("w")))
-    met = met.where(F.transform(F.slice("w", start + 1, n), folded) == F.col("window"))
-    return met.select("doc", "item", start.alias("start"), (start + n).alias("stop"))
+    keys = written(keyed(windows(items, item_id, item_text, window), words), "windows")
+    start = F.col("at") - F.col("place")
+    if fits(keys, F.octet_length("window") + 100):
+        # no lambda before the lookup is done: generator and join stay in one compiled stage, and the words of a
+        # document are never copied per word (an outer generator, for an inner one is preceded by a second split)
+        at = words.select("doc", "w", F.posexplode_outer("w").alias("at", "raw"))
+        met = at.join(F.broadcast(keys), F.lower("raw") == F.col("prefix"))
+        met = met.where((start >= 0) & (start + F.col("n") <= F.size("w")))
+    else:
+        at = words.select("doc", F.size("w").alias("size"), F.posexplode_outer("w").alias("at", "raw"))
+        met = at.join(keys, F.lower("raw") == F.col("prefix"))
+        met = met.where((start >= 0) & (start + F.col("n") <= F.col("size"))).join(words.dropDuplicates(["doc"]), "doc")
+    met = met.where(folded(F.array_join(F.slice("w", start + 1, F.col("n")), " ")) == F.col("window"))
+    return met.select("doc", "item", start.alias("start"), (start + F.col("n")).alias("stop"))
 
 
 def summary(found: DataFrame) -> DataFrame:

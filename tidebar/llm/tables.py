@@ -20,8 +20,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fits(df: DataFrame, bytes_per_row, most: int = BROADCAST_BYTES) -> bool:
+    """Whether the measured size of all rows is under the bound of a broadcast."""
+    return (df.select(F.sum(bytes_per_row).alias("n")).first()["n"] or 0) <= most
+
+
 def small_or_shuffled(df: DataFrame, bytes_per_row, most: int = BROADCAST_BYTES) -> DataFrame:
     """`df` marked for broadcast if the measured size of all its rows is under `most`; otherwise left to a
     shuffled join, which the optimizer may split where it is skewed."""
-    size = df.select(F.sum(bytes_per_row).alias("n")).first()["n"] or 0
-    return F.broadcast(df) if size <= most else df
+    return F.broadcast(df) if fits(df, bytes_per_row, most) else df
