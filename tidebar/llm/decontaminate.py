@@ -14,14 +14,15 @@ one row each until they are grouped by document; a document's hits are bounded b
 
 Defined cases: null texts and texts without words have no words, no hits and are not contaminated; items without
 words or without an id are left out; items with the same text are each counted; repeated documents are each
-returned; an empty benchmark hits nothing; extra columns pass through.
+returned; an empty benchmark hits nothing; extra columns pass through, those named like a result
+are replaced.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidebar.llm.tables import fits, small_or_shuffled, written
+from tidebar.llm.tables import carried, fits, small_or_shuffled, written
 
 WINDOW = 13
 SHARE = 20                       # contaminated where at least one word in SHARE is hit
@@ -103,7 +104,7 @@ def annotate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: st
              item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """`docs` with n_words, n_hit, items (ids as strings, sorted) and contaminated."""
     found = summary(hits(docs, items, doc_id, text, item_id, item_text, window))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(text).alias("k"),
+    rows = docs.select(carried(docs, "n_words", "n_hit", "items", "contaminated").alias("row"), F.xxhash64(text).alias("k"),
                        F.size(raw_words(text)).cast("long").alias("n_words"))
     same = (F.col(f"row.{doc_id}").eqNullSafe(F.col(f"doc.{doc_id}"))) & (F.col("k") == F.col("doc.k"))
     n_hit = F.coalesce(F.col("n_hit"), F.lit(0)).cast("long")

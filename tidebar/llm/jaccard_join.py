@@ -104,7 +104,7 @@ def prefixes(docs: DataFrame, n: int, percent: int, counts) -> DataFrame:
                 often = frequency[(grams >> np.uint64(46)).astype(np.int64)]
                 order = np.lexsort((grams, often))[:keep]
                 name = set_id(grams)
-                salt = np.where(often[order] > hot, name % SALTS, 0).astype(np.int32)
+                salt = np.where(often[order] > hot, 1 + name % SALTS, 0).astype(np.int32)
                 out.append((grams[order], salt, np.full(keep, name), np.full(keep, size, np.int32), np.arange(keep) < least))
             if out:
                 token, salt, name, size, short = (np.concatenate(x) for x in zip(*out))
@@ -208,7 +208,7 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: i
     met = Window.partitionBy("token", "salt")
     rows = prefixes(docs, n, percent, counts).distinct()
     rows = rows.withColumn("pivot", F.min("set_id").over(met)).withColumn("last", F.max("set_id").over(met))
-    shared = written(rows.where("pivot < last").drop("last", "salt"), "prefixes")
+    shared = written(rows.where("pivot < last or salt > 0").drop("last", "salt"), "prefixes")   # salted: shared elsewhere
 
     # groups and their parts
     groups = shared.groupBy("set_id").agg(F.min("pivot").alias("group"))

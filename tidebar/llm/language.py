@@ -10,7 +10,8 @@ characters are expected (all of a smaller language).  That and the number of lan
 counted by a grouped sum, and broadcast.  Scoring reads every byte of every text, in one pass without a shuffle.
 
 Defined cases: a text that is null or has no letter gets `und` and score 0; without any training text all get `und`;
-rows with a null language are not learned from; repeated rows are each learned and each scored; extra columns pass.
+rows with a null language are not learned from; repeated rows are each learned and each scored; extra columns pass, but
+those named like a result.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidebar.llm.tables import carried
 from tidebar.llm.words import text_slices
 
 ORDER = 3
@@ -160,5 +162,5 @@ def predict(docs: DataFrame, model: bytes, text: str = "text") -> DataFrame:
         return pa.StructArray.from_arrays([pa.array(pred, pa.string()), pa.array(share)], names=["lang_pred", "score"])
 
     scored = F.arrow_udf(score, "struct<lang_pred:string,score:double>")(F.col(text).cast("string"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), scored.alias("scored"))
+    rows = docs.select(carried(docs, "lang_pred", "score").alias("row"), scored.alias("scored"))
     return rows.select("row.*", "scored.*")

@@ -7,14 +7,15 @@ of its lines (a notice usually stands on a line of its own).  The known side is
 broadcast has a fixed size; a caller's own table is broadcast only under a measured bound.
 
 Defined cases: a null or empty text matches nothing; lines without canonical words match nothing; a licence that
-stands twice in a document is listed once and counted twice; repeated documents are each returned; extra columns pass.
+stands twice in a document is listed once and counted twice; repeated documents are each returned; extra columns pass,
+those named like a result are replaced.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidebar.llm.tables import small_or_shuffled
+from tidebar.llm.tables import carried, small_or_shuffled
 
 #: Identifiers with the texts and notices they are known by.
 KNOWN = (
@@ -86,7 +87,7 @@ def known_digests(spark: SparkSession, texts: DataFrame | None = None) -> DataFr
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", known: DataFrame | None = None) -> DataFrame:
     """`docs` with whole_licence (null: the whole text is none), licences (sorted) and n_notices (matching lines)."""
     digests = small_or_shuffled(known_digests(docs.sparkSession, known), F.lit(120))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).alias("id"), F.xxhash64(text).alias("k"),
+    rows = docs.select(carried(docs, "whole_licence", "licences", "n_notices").alias("row"), F.col(doc_id).alias("id"), F.xxhash64(text).alias("k"),
                        canonical(F.col(text).cast("string")).alias("lines"))
     units = rows.select("id", "k", F.explode(F.concat(
         F.transform("lines", lambda x: F.struct(F.lit(False).alias("whole"), x.alias("unit"))),

@@ -13,7 +13,8 @@ all.  A document above its threshold is not kept.
 
 Defined cases: null and empty texts have no perplexity and are not kept; a null language is a group of its own; without
 trusted documents everything with text is kept and has 256 as perplexity; labels of unknown documents and repeated
-labels change nothing; repeated documents each count and are each returned; columns but the text pass through.
+labels change nothing; repeated documents each count and are each returned; columns but the text
+pass through, those named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -24,13 +25,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidebar.llm.tables import small_or_shuffled, written
+from tidebar.llm.tables import carried, small_or_shuffled, written
 from tidebar.llm.words import byte_grams, text_slices
 
 ORDER = 4
 QUANTILE = 0.995
 FOLDS = 5
 SLACK = 0.2
+LEAST_DISCOUNT = 0.05
 SHARD_GRAMS = 2_000_000
 _COUNT_SLICE = 8 << 20
 
@@ -61,7 +63,8 @@ def _discounts(counts: DataFrame) -> list[float]:
     y = n1 / (n1 + 2 * n2) if n1 else 0.5
     pairs = ((1, n1, n2), (2, n2, n3), (3, n3, n4))
     # where a count of counts is missing, absolute discounting by y stands in
-    return [min(max(k - (k + 1) * y * b / a, 0.0), k) if a and b else min(y, k) for k, a, b in pairs]
+    # and some mass always goes to unseen bytes
+    return [min(max(k - (k + 1) * y * b / a, LEAST_DISCOUNT), k) if a and b else min(y, k) for k, a, b in pairs]
 
 
 def probabilities(grams: DataFrame) -> DataFrame:
@@ -136,8 +139,7 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     trusted documents, in a column named like the documents' id."""
     trusted = labels.select(F.col(doc_id).alias("trusted_id")).where("trusted_id is not null").distinct()
     trusted = small_or_shuffled(trusted, F.lit(24))
-    rest = [c for c in docs.columns if c != text]
-    rows = docs.select(F.struct(*rest).alias("row"), F.col(doc_id).alias("id"), F.col(lang).cast("string").alias("lang"),
+    rows = docs.select(carried(docs, text.lower(), "n_bytes", "perplexity", "threshold", "kept").alias("row"), F.col(doc_id).alias("id"), F.col(lang).cast("string").alias("lang"),
                        F.col(text).cast("string").alias("text"))
     rows = rows.join(trusted, F.col("id") == F.col("trusted_id"), "left").select(
         "row", "lang", "text", F.col("trusted_id").isNotNull().alias("trusted"),

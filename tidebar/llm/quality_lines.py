@@ -12,7 +12,8 @@ Rules for a line with a word; it fails if any holds:
 
 A text is kept if the base figures pass and at least `KEEP_SHARE` of its words stand in lines that stay.  Defined
 cases: a null text is like an empty one (no words, base fails, not kept); lines without a word are no lines; repeated
-documents are each returned; extra columns pass through.  Each text is judged whole, on its own, in one pass.
+documents are each returned; extra columns pass through, and one
+named like a result is replaced by it.  Each text is judged whole, on its own, in one pass.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tidebar.llm.tables import carried
+
 KEEP_SHARE = 0.5
 MIN_WORDS = 10
 REPEAT_SHARE = 20          # per cent of words in repeated windows
@@ -43,6 +46,7 @@ _shout = re.compile(r"[!?]{2,}$")
 _boiler = re.compile("|".join(map(re.escape, BOILERPLATE)))
 FIELDS = "struct<n_words:long,word_chars:long,n_symbols:long,n_dup_lines:long,n_repeat_words:long,base_failed:boolean," \
          "kept:boolean,n_kept_words:long,cleaned:string>"
+NAMES = [field.split(":")[0] for field in FIELDS[7:-1].split(",")]
 
 
 def _split(text: str) -> list[str]:
@@ -94,13 +98,12 @@ def judge(text: str) -> tuple:
 def _judge_all(texts: pa.Array) -> pa.Array:
     rows = [judge(v) for v in texts.to_pylist()]
     kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.int64(), pa.string()]
-    names = [f.split(":")[0] for f in FIELDS[7:-1].split(",")]
     columns = list(zip(*rows)) if rows else [()] * len(kinds)
-    return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+    return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=NAMES)
 
 
 def clean_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with the base figures, base_failed, kept, n_kept_words and cleaned (the lines that stay)."""
     judged = F.arrow_udf(_judge_all, FIELDS)(F.coalesce(F.col(text).cast("string"), F.lit("")))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), judged.alias("judged"))
+    rows = docs.select(carried(docs, *NAMES).alias("row"), judged.alias("judged"))
     return rows.select("row.*", "judged.*")

@@ -17,7 +17,7 @@ smaller id.  How the work is spread:
 
 Defined cases: null and empty texts have no words and lose none; documents under `length` words lose none, windows
 repeated within one document only are kept, a row with a null id loses nothing and is no reference, rows with one id
-count as one document and are each returned, extra columns pass through, an empty table gives an empty result.
+count as one document and are each returned, extra columns pass through (those named like a result are replaced), an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidebar.llm import words as W
-from tidebar.llm.tables import written
+from tidebar.llm.tables import carried, written
 
 LENGTH = 50
 GRAM = 8
@@ -300,15 +300,15 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """`docs` with n_words, n_removed, kept_words (kept words joined by one space) and kept_text (the text without
     the removed words and the white space after them)."""
+    made = ("n_words", "n_removed", "kept_words", "kept_text")
     spans = repeated_spans(docs, doc_id, text, length)
     spans = spans.groupBy("doc", "text_key").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
-    left = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(doc_id).cast("long").alias("doc"),
+    left = docs.select(carried(docs, *made).alias("row"), F.col(text).cast("string").alias("value"), F.col(doc_id).cast("long").alias("doc"),
                        F.xxhash64(text).alias("text_key"))
     joined = left.join(spans, ["doc", "text_key"], "left")
-    value = F.coalesce(F.col(f"row.{text}").cast("string"), F.lit(""))
     kept = F.arrow_udf(_without(), "struct<n_words:long,n_removed:long,kept_words:string,kept_text:string>")
-    out = joined.select("row.*", kept(value, "spans").alias("cut"))
-    return out.select(*docs.columns, "cut.*")
+    out = joined.select("row", kept(F.coalesce("value", F.lit("")), "spans").alias("cut"))
+    return out.select("row.*", "cut.*")
 
 
 def _without():

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidebar.session import scratch_path
 
@@ -13,6 +13,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def carried(docs: DataFrame, *made: str) -> Column:
+    """All columns of `docs` as one struct, but those an operator makes itself: its own replace them."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in made])
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """The rows as a table in the shared folder: computed once, and safe from lost executors."""
     spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
