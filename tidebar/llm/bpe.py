@@ -14,17 +14,18 @@ without a break only a few blocks of token lists are held at a time.
 from __future__ import annotations
 
 import base64
+from array import array
 from functools import lru_cache
-from itertools import chain
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import SparkSession, functions as F
 
 BLOCK = 1 << 16           # bytes of a part whose token lists are held together
 KEEP_PART = 48            # longest part whose ids are kept for its next occurrence
-KEEP_PARTS = 500_000      # parts kept by a worker
+KEEP_PARTS = 400_000      # parts kept by a worker, and as many of the table before
 KEEP_PAIRS = 2_000_000    # answers on token pairs kept by a worker
 
 
@@ -34,6 +35,26 @@ def read_ranks(path: str) -> bytes:
         return f.read()
 
 
+class Parts(dict):
+    """Packed ids of parts met before; a new part is encoded, and kept if it is short.  When the table is full it
+    becomes the old one, from which parts move over as they are met again, so frequent parts stay."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode, self.old = encode, {}
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self.old.get(part)
+        if ids is None:
+            ids = array("i", self.encode(part.encode())).tobytes()
+        if len(part) <= KEEP_PART:
+            if len(self) >= KEEP_PARTS:
+                self.old = dict(self)
+                self.clear()
+            self[part] = ids
+        return ids
+
+
 class Codec:
     """Encoder and decoder over one vocabulary."""
 
@@ -47,7 +68,7 @@ class Codec:
         for token, rank in self.ranks.items():
             self.automaton.add_word(token.decode("latin-1"), (len(token), rank))
         self.automaton.make_automaton()
-        self.parts: dict[str, list[int]] = {}
+        self.parts = Parts(self.part)
         self.pairs: dict[tuple[int, int], bool] = {}
         self.shorter = {}                     # the next shorter token that begins with the same bytes
         for token, rank in self.ranks.items():
@@ -127,21 +148,12 @@ class Codec:
             found[end + 1 - option[0] - base] = option      # ends only grow: the last one is the longest
         return found
 
+    def packed(self, text: str) -> bytes:
+        """Token ids as 32-bit integers."""
+        return b"".join(map(self.parts.__getitem__, self.split(text)))
+
     def encode(self, text: str) -> list[int]:
-        split, parts = self.split(text), self.parts
-        found = list(map(parts.get, split))
-        if None in found:
-            for i, part in enumerate(split):
-                if found[i] is None:
-                    ids = parts.get(part)
-                    if ids is None:
-                        ids = self.part(part.encode())
-                        if len(part) <= KEEP_PART:
-                            if len(parts) >= KEEP_PARTS:
-                                parts.clear()
-                            parts[part] = ids
-                    found[i] = ids
-        return list(chain.from_iterable(found))
+        return array("i", self.packed(text)).tolist()
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -158,30 +170,24 @@ def encoder(spark: SparkSession, ranks_path: str, pattern: str):
 
     def encode(texts: pa.Array) -> pa.Array:
         codec = _codec(ranks.value, pattern)
-        values = [None if v is None else pa.array(codec.encode(v), pa.int32()) for v in texts.to_pylist()]
-        return _lists(values, pa.int32())
+        values = [codec.packed(v) for v in texts.to_pylist()]
+        offsets = np.zeros(len(values) + 1, np.int32)
+        np.cumsum([len(v) // 4 for v in values], out=offsets[1:])
+        flat = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(values))])
+        return pa.ListArray.from_arrays(pa.array(offsets), flat)
 
     udf = F.arrow_udf(encode, "array<int>")
     return lambda text: udf(F.coalesce(F.col(text).cast("string") if isinstance(text, str) else text, F.lit("")))
 
 
-def _lists(values: list, kind: pa.DataType) -> pa.Array:
-    """A list array built from one Arrow array per row, without boxing their items again."""
-    values = [pa.array([], kind) if v is None else v for v in values]
-    offsets = [0]
-    for v in values:
-        offsets.append(offsets[-1] + len(v))
-    flat = pa.concat_arrays(values) if values else pa.array([], kind)
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
-
-
 def decoder(spark: SparkSession, ranks_path: str, pattern: str):
     """A column function: array of token ids -> bytes."""
     ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))
 
     def decode(ids: pa.Array) -> pa.Array:
         codec = _codec(ranks.value, pattern)
-        return pa.array([None if not v.is_valid else codec.decode(v.values.to_pylist()) for v in ids], pa.binary())
+        # whole numpy rows: taking single values out of an Arrow array costs ten times as much
+        return pa.array([codec.decode(v.values.to_numpy().tolist()) if v.is_valid else None for v in ids], pa.binary())
 
     udf = F.arrow_udf(decode, "binary")
     return lambda ids: udf(F.col(ids) if isinstance(ids, str) else ids)
