@@ -1,6 +1 @@
-import os
-import sys
-
-sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
-
-from conftest_llm import awkward, no_docs  # noqa: E402, F401
+from llm.conftest_llm import awkward, no_docs  # noqa: F401

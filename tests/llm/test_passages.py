@@ -6,7 +6,7 @@ import re
 from collections import defaultdict
 
 import pytest
-from conftest_llm import awkward_texts, single, words
+from llm.conftest_llm import awkward_texts, single, words
 from tidebar.llm import components, decontaminate, jaccard_join, substring_dedup
 
 

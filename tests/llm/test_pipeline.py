@@ -5,10 +5,10 @@ import hashlib
 import public_tokenizers
 import pytest
 import tiktoken
-from conftest_llm import SF, awkward_texts
+from llm.conftest_llm import SF, awkward_texts
 from tidebar.llm import bpe, queries
 from tidebar.llm.tables import written
-from test_passages import hit, kept_words, linked
+from llm.test_passages import hit, kept_words, linked
 
 import corpus_pipeline
 

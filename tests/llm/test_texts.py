@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import public_tokenizers
 import pytest
 import tiktoken
-from conftest_llm import SF, awkward_texts, words
+from llm.conftest_llm import SF, awkward_texts, words
 from pyspark.sql import functions as F
 from tidebar.llm import bpe, chat, language, licences, perplexity, quality_lines, token_rollup
 
