@@ -106,7 +106,7 @@ cands AS MATERIALIZED (SELECT s.*, o.exit_idx, o.exit_kind, o.duration, o.ret
     "free": (("cands",), """
 nxt AS MATERIALIZED (SELECT c.*, (SELECT min(d.bar_idx) FROM cands d WHERE d.symbol=c.symbol AND d.model=c.model
                        AND d.bank=c.bank AND d.threshold=c.threshold
-                       AND d.bar_idx BETWEEN c.exit_idx AND c.exit_idx+3000) AS next_idx FROM cands c),
+                       AND d.bar_idx >= c.exit_idx) AS next_idx FROM cands c),
 walk AS (SELECT n.* FROM nxt n JOIN (SELECT symbol, model, bank, threshold, min(bar_idx) AS bar_idx FROM cands
                                      GROUP BY 1,2,3,4) USING (symbol, model, bank, threshold, bar_idx)
          UNION ALL
@@ -123,12 +123,15 @@ trades AS MATERIALIZED (SELECT symbol, model, bank, threshold, bar_idx AS entry_
                   prob, cum_ret, trade_no, dead_at IS NOT NULL AS is_dead
            FROM eq1 JOIN dead USING (symbol, model, bank, threshold) WHERE dead_at IS NULL OR exit_idx<=dead_at)"""),
     "macro": ((), """
-ml AS (SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 'VIX_close' WHEN '2-HIGH' THEN 'DXY_close' ELSE 'Yield10Y' END AS series,
+ml AS (SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 'VIX_close' WHEN '2-HIGH' THEN 'DXY_close' WHEN '3-MEDIUM' THEN 'Yield10Y'
+              WHEN '4-NOT SPECIFIED' THEN 'Copper' ELSE 'EMBI' END AS series,
               CAST(o_orderdate AS DATE) AS date, avg(o_totalprice)/10000 AS value
-       FROM orders WHERE o_orderpriority IN ('1-URGENT','2-HIGH','3-MEDIUM') GROUP BY 1,2),
+       FROM orders GROUP BY 1,2),
 macro AS MATERIALIZED (SELECT date, max(value) FILTER (WHERE series='VIX_close') AS "VIX_close",
                  max(value) FILTER (WHERE series='DXY_close') AS "DXY_close",
-                 max(value) FILTER (WHERE series='Yield10Y') AS "Yield10Y" FROM ml GROUP BY 1)"""),
+                 max(value) FILTER (WHERE series='Yield10Y') AS "Yield10Y",
+                 max(value) FILTER (WHERE series='Copper') AS "Copper",
+                 max(value) FILTER (WHERE series='EMBI') AS "EMBI" FROM ml GROUP BY 1)"""),
     "journal": ((), """
 journal AS MATERIALIZED (SELECT o_orderdate AS timestamp, o_orderkey AS order_no, concat('S', o_orderkey%8) AS symbol,
                    (o_orderkey*7919%1000)/CAST(1000 AS DOUBLE) AS probability, CAST(0.5 AS DOUBLE) AS threshold,

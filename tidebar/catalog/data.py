@@ -49,9 +49,9 @@ def _(spark, sf):
 
 @query("s3_chunked_extraction", """
 SELECT concat(l_returnflag, l_linestatus) AS symbol, CAST(l_shipdate AS DATE) AS time, count(*) AS n_rows
-FROM lineitem WHERE l_shipdate >= DATE '1992-01-01' AND l_shipdate < DATE '2002-01-01' GROUP BY 1, 2""")
+FROM lineitem WHERE l_shipdate IS NOT NULL GROUP BY 1, 2""")
 def _(spark, sf):
-    rows = ingest.read_chunked(market.table(spark, sf, "lineitem"), 1992, 2001, "l_shipdate")
+    rows = ingest.read_range(market.table(spark, sf, "lineitem"), time="l_shipdate")
     return (rows.groupBy(F.concat("l_returnflag", "l_linestatus").alias("symbol"),
                          F.col("l_shipdate").cast("date").alias("time"))
             .agg(F.count(F.lit(1)).alias("n_rows")))
@@ -100,15 +100,16 @@ def _(spark, sf):
 
 
 @query("s9_nested_json_series", ctes("macro") + f"""
-SELECT date, {r('value', 10)} AS "TPM" FROM ml WHERE series='VIX_close'""")
+SELECT series, date, {r('value', 10)} AS "TPM" FROM ml""")
 def _(spark, sf):
     """Yearly documents with one entry per day (at most 366), written and parsed as JSON text."""
-    m = market.macro_long(spark, sf).filter("series = 'VIX_close'")
-    docs = (m.groupBy(F.year("date").alias("y")).agg(F.to_json(F.struct(F.collect_list(F.struct(
+    m = market.macro_long(spark, sf)
+    docs = (m.groupBy("series", F.year("date").alias("y")).agg(F.to_json(F.struct(F.collect_list(F.struct(
         F.date_format("date", "yyyy-MM-dd'T'00:00:00.000'Z'").alias("fecha"),
         F.col("value").alias("valor"))).alias("serie"))).alias("doc")))
-    parsed = docs.select(F.from_json("doc", "serie array<struct<fecha:string,valor:double>>").alias("d")).select("d.serie")
-    return ingest.flatten_series(parsed).select("date", r6("TPM", 10).alias("TPM"))
+    parsed = docs.select("series", F.from_json("doc", "serie array<struct<fecha:string,valor:double>>").alias("d")).select(
+        "series", "d.serie")
+    return ingest.flatten_series(parsed, keep=["series"]).select("series", "date", r6("TPM", 10).alias("TPM"))
 
 
 @query("s10_spread_clean", ctes("macro") + f""",
@@ -169,7 +170,7 @@ def _(spark, sf):
     return d.select("symbol", "time", r6("close").alias("close"))
 
 
-MACRO = ("VIX_close", "DXY_close", "Yield10Y")
+MACRO = tuple(market.PRIORITY_SERIES.values())
 FILL_SQL = lambda c, by="", order="time": (
     f"coalesce(last_value({c} IGNORE NULLS) OVER ({by} ORDER BY {order} ROWS UNBOUNDED PRECEDING), "
     f"first_value({c} IGNORE NULLS) OVER ({by} ORDER BY {order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))")
@@ -291,7 +292,7 @@ def _(spark, sf):
 
 @query("p18_drop_null_rows", ctes("macro") + f"""
 SELECT date, {", ".join(f'{r(chr(34) + c + chr(34), 10)} AS "{c}"' for c in MACRO)} FROM macro
-WHERE "VIX_close" IS NOT NULL AND "DXY_close" IS NOT NULL AND "Yield10Y" IS NOT NULL""")
+WHERE {" AND ".join(f'"{c}" IS NOT NULL' for c in MACRO)}""")
 def _(spark, sf):
     return market.macro_daily(spark, sf).na.drop("any").select("date", *[r6(c, 10).alias(c) for c in MACRO])
 
@@ -480,4 +481,4 @@ def _(spark, sf):
     listed = F.array(*[F.lit(t) for t in PRIORITY[:20]])
     name = F.when((k % 2 == 0) & (k < 40), F.get(listed, (k / 2).cast("int"))).otherwise(
         F.concat(F.lit("SYM"), k.cast("string")))
-    return prioritise(s.select(name.alias("symbol"), (k % 3 != 0).alias("visible"), k.alias("listing_no")))
+    return prioritise(s.select(name.alias("symbol"), (k % 3 != 0).alias("visible"), k.alias("listing_no")), max_candidates=25)

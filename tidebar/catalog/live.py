@@ -70,9 +70,9 @@ def _(spark, sf):
         c = c.withColumn("symbol", F.concat_ws("/", "symbol", "model", "bank"))
         t = cut(backtest.numbered_trades(trades.simulate(c, ["symbol"]), ["symbol"]))
         e = t.withColumn("mse", F.pow(100 * F.col("ret"), dbl(2.0)))
-        p90 = group_quantile(e.filter("trade_no * 2 < n_trades"), ["symbol"], "mse", 0.75, "p90", 0.05)
+        p90 = group_quantile(e.filter("trade_no * 2 < n_trades"), ["symbol"], "mse", 0.90, "p90", 0.05)
         from tidebar.operators.monitors import concept_drift
-        drift = concept_drift(e, p90, ["symbol"], last=10)
+        drift = concept_drift(e, p90, ["symbol"], last=30)
         return smon.monitor_status(t, drift)
     stream = spark.readStream.schema(p.schema).parquet(f"{path}/probs")
     smon.run_job(stream, smon.monitor_job(replay, table, f"{path}/events"), f"{path}/checkpoint")
@@ -87,7 +87,7 @@ def _live(spark, sf):
                     F.col("o_orderkey").alias("seq"), ((F.col("o_orderkey") * 7919 % 1000 - 480) / dbl(20000)).alias("ret"))
 
 
-SIMS = 100
+SIMS = 1000
 REC_SQL = """
 WITH lv AS (SELECT concat('S', o_custkey%200) AS symbol, o_orderkey AS seq, (o_orderkey*7919%1000-480)/CAST(20000 AS DOUBLE) AS ret FROM orders),
 ld AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY seq)-1 AS k, count(*) OVER (PARTITION BY symbol) AS c FROM lv),

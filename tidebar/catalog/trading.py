@@ -367,7 +367,7 @@ def _(spark, sf):
 # --- bootstrap, leverage, audit -------------------------------------------------------------------------
 
 P = bootstrap.PRIME
-SIMS = 200
+SIMS = 1000
 
 
 def draw_sql(sim, pos, n):

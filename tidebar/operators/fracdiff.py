@@ -176,9 +176,10 @@ def adf(long: DataFrame, orders: Sequence[float] = (0.0,), keys: Sequence[str] =
     """
     keys = list(keys)
     tables = [np.array(weights(d, threshold)) for d in orders]
-    back = max(len(w) for w in tables) + 2 + 64
     nos = range(len(orders))
     need = long.select(*keys, "bar_idx", "n_bars", "value")
+    longest = need.agg(F.max("n_bars")).first()[0] or 0     # one number: the lag order follows the longest series
+    back = max(len(w) for w in tables) + 2 + max(max_lag(int(longest)), 0)
     key_fields = [f for f in need.schema if f.name in keys]
     key_fields.sort(key=lambda f: keys.index(f.name))
     part_schema = T.StructType(key_fields + [

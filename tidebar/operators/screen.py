@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidebar.functions.expr import clip, dbl
@@ -11,7 +13,7 @@ from tidebar.operators.series import simple_return
 
 MAX_LAG = 100
 RECENT = 1500
-UNIVERSE = 25        # a screen looks at this many candidates at most: it is the report's size
+TILE = 64            # symbols whose returns meet in one matrix product
 
 # Liquid tickers in order of priority, and those that also get an intraday variant.
 PRIORITY = ("EURUSD", "GBPUSD", "USDJPY", "AUDUSD", "NZDUSD", "USDCAD", "USDCHF", "EURGBP", "EURJPY",
@@ -85,23 +87,37 @@ def array_corr(a: Column, b: Column) -> Column:
 
 
 def correlation(arrays: DataFrame, name: str = "symbol") -> DataFrame:
-    """Correlation of every unordered pair: the pairs are the result, one row each."""
-    centred = F.transform("r", lambda x: x - F.col("_m"))
-    c = (arrays.withColumn("_m", _mean(F.col("r"))).withColumn("c", centred)
-         .withColumn("v", F.aggregate("c", dbl(0.0), lambda s, x: s + x * x)).select(name, "c", "v"))
-    a = c.select(F.col(name).alias("a"), F.col("c").alias("ca"), F.col("v").alias("va"))
-    b = c.select(F.col(name).alias("b"), F.col("c").alias("cb"), F.col("v").alias("vb"))
-    cov = F.aggregate(F.zip_with("ca", "cb", lambda x, y: x * y), dbl(0.0), lambda s, x: s + x)
-    return a.join(b, F.col("a") < F.col("b")).select(
-        "a", "b", F.size("ca").alias("n_obs"),
-        F.when((F.col("va") > 0) & (F.col("vb") > 0), cov / F.sqrt(F.col("va") * F.col("vb")))
-        .alias("corr"))
+    """Correlation of every unordered pair: the pairs are the result, one row each.
+
+    Symbols are dealt into tiles of about `TILE`; each pair of tiles meets under an equi key and is one matrix product.
+    """
+    tiles = 1 + arrays.count() // TILE                       # one number; its square is the number of groups
+    tile = F.pmod(F.xxhash64(name), F.lit(tiles))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long")))
+    dealt = arrays.select(F.col(name).alias("a"), "r", tile.alias("own"), other.alias("other")).select(
+        "a", "r", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+
+    def product(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("a")
+        x = np.vstack([np.asarray(r, float) for r in pdf["r"]]) if len(pdf) else np.zeros((0, 1))
+        x = x - x.mean(axis=1, keepdims=True)
+        cov, names, own = x @ x.T, pdf["a"].to_numpy(object), pdf["own"].to_numpy()
+        i, j = np.triu_indices(len(names), 1)
+        if len(pdf) and pdf["lo"].iloc[0] != pdf["hi"].iloc[0]:
+            i, j = i[own[i] != own[j]], j[own[i] != own[j]]   # pairs within a tile belong to the tile itself
+        var = np.diag(cov)
+        ok = (var[i] > 0) & (var[j] > 0)
+        corr = np.full(len(i), None, object)
+        corr[ok] = cov[i[ok], j[ok]] / np.sqrt(var[i[ok]] * var[j[ok]])
+        return pd.DataFrame({"a": names[i], "b": names[j], "n_obs": np.full(len(i), x.shape[1], np.int32), "corr": corr})
+
+    return dealt.groupBy("lo", "hi").applyInPandas(product, "a string, b string, n_obs int, corr double")
 
 
 def greedy_decorrelate(ranked: DataFrame, corr: DataFrame, max_corr: float = 0.80) -> DataFrame:
     """Keep a candidate if its |correlation| with every one kept before is at most `max_corr`.
 
-    `ranked`: symbol, rank (at most the screen's `UNIVERSE` rows); the fold runs over that one row.
+    `ranked`: symbol, rank, one row per candidate; the fold runs over one row of names and conflicts.
     """
     bad = corr.filter(F.abs("corr") > max_corr)
     both = bad.select("a", "b").unionByName(bad.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -115,28 +131,24 @@ def greedy_decorrelate(ranked: DataFrame, corr: DataFrame, max_corr: float = 0.8
     return row.select(F.posexplode(kept).alias("pos", "symbol"))
 
 
-def screen_universe(bars: DataFrame, min_hurst: float = 0.55, max_corr: float = 0.80,
-                    max_candidates: int = UNIVERSE) -> DataFrame:
-    """Hurst filter, then greedy decorrelation; if nothing passes, all ranked by Hurst.
+def screen_universe(bars: DataFrame, min_hurst: float = 0.55, max_corr: float = 0.80) -> DataFrame:
+    """Hurst filter, then greedy decorrelation in symbol order; if nothing passes the filter, all candidates go on.
 
-    Candidates are taken in symbol order.  Returns are aligned on time.
+    Every symbol of `bars` is a candidate.  Returns are aligned on time.
     """
-    names = bars.select("symbol").distinct().orderBy("symbol").limit(max_candidates)
-    recent = recent_bars(bars.join(names, "symbol", "left_semi")).filter(F.col("n_bars") > 200)
+    recent = recent_bars(bars).filter(F.col("n_bars") > 200)
     scores = hurst(recent)
-    passed = F.max(F.col("hurst") >= min_hurst).over(Window.partitionBy())
-    order = Window.orderBy("passed_key", "symbol")
-    flagged = (scores.withColumn("_any", passed)
-               .filter((F.col("hurst") >= min_hurst) | ~F.col("_any"))
-               .withColumn("passed_key", F.when(F.col("_any"), dbl(0.0)).otherwise(-F.col("hurst"))))
-    ranked = flagged.withColumn("rank", F.row_number().over(order)).select("symbol", "rank", "hurst")
+    passed = F.max(F.col("hurst") >= min_hurst).over(Window.partitionBy())       # one row per symbol
+    flagged = scores.withColumn("_any", passed).filter((F.col("hurst") >= min_hurst) | ~F.col("_any"))
+    ranked = flagged.withColumn("rank", F.row_number().over(Window.orderBy("symbol"))).select("symbol", "rank", "hurst")
     returns = simple_return(recent.join(ranked.select("symbol"), "symbol", "left_semi"))
     corr = correlation(aligned_returns(returns))
     return greedy_decorrelate(ranked, corr, max_corr).join(ranked.select("symbol", "hurst"), "symbol")
 
 
-def prioritise(symbols: DataFrame, max_candidates: int = UNIVERSE) -> DataFrame:
-    """Priority tickers first (some with an H4 variant), then other visible symbols, capped.
+def prioritise(symbols: DataFrame, max_candidates: int | None = None) -> DataFrame:
+    """Priority tickers first (some with an H4 variant), then other visible symbols; a report of `max_candidates` rows
+    where that is given (priority tickers always stay).
 
     `symbols`: symbol, visible, listing_no.
     """
@@ -149,11 +161,11 @@ def prioritise(symbols: DataFrame, max_candidates: int = UNIVERSE) -> DataFrame:
     other = ranked.filter((F.col("_p") == 0) & F.col("visible")).select(
         "symbol", F.lit("D1").alias("timeframe"), F.lit(1).alias("tier"), F.col("listing_no").alias("seq"))
     # `limit` under an order keeps per-task top rows only, so nothing is sorted whole
-    top = pri.unionByName(other.orderBy("seq").limit(max_candidates))
+    top = pri.unionByName(other if max_candidates is None else other.orderBy("seq").limit(max_candidates))
     n_pri = F.count_if(F.col("tier") == 0).over(Window.partitionBy())
     order = Window.orderBy("tier", "seq", "timeframe")
     return (top.withColumn("_n", n_pri).withColumn("position", F.row_number().over(order))
-            .filter((F.col("tier") == 0) | (F.col("position") <= max_candidates))
+            .filter((F.col("tier") == 0) | (F.lit(max_candidates).isNull()) | (F.col("position") <= F.lit(max_candidates)))
             .select("position", F.when(F.col("timeframe") == "D1", F.col("symbol"))
                     .otherwise(F.concat_ws("_", "symbol", "timeframe")).alias("name"),
                     "symbol", "timeframe"))

@@ -27,7 +27,8 @@ def build_session(app: str = "tidebar", master: str | None = None, **conf) -> Sp
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: `spark.checkpoint.dir`, as the cluster names it.
 
-    Only where the session names none (tests on one machine) a temporary folder is used.
+    Only where the session names none and its master is local, a temporary folder is used; on a cluster the executors
+    could not see each other's files there, so that is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -36,6 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidebar-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")

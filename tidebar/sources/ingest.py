@@ -18,16 +18,25 @@ BAR_WIDTH = {"D1": "1 day", "H4": "4 hours", "H1": "1 hour"}
 
 
 def read_bar_csv(spark: SparkSession, path: str, symbol_pattern: str = r"([^/]+)_daily\.csv$") -> DataFrame:
-    """All bar files of a folder in one scan; the symbol comes from the file path.
+    """All bar files of a folder; the symbol comes from the file path.
 
-    Columns are taken by header name, so a leading unnamed index column is ignored.  Rows without a
+    Columns are taken by each file's own header, so files may differ in column order and have a leading unnamed index
+    column; a column that a file lacks is null.  Files with the same header are read in one scan.  Rows without a
     close are dropped.
     """
-    raw = spark.read.option("header", True).csv(path)
-    cols = [F.expr(f"try_cast(`{f.name}` as {f.dataType.simpleString()})").alias(f.name)
-            for f in BAR_SCHEMA if f.name in raw.columns]
-    symbol = F.regexp_extract(F.col("_metadata.file_path"), symbol_pattern, 1)
-    return raw.select(symbol.alias("symbol"), *cols).na.drop(subset=["close"])
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value",
+                                         F.col("_metadata.file_block_start").alias("block"))
+    heads = lines.where("block = 0").groupBy("file").agg(F.first("value").alias("head"))
+    groups = heads.groupBy("head").agg(F.collect_list("file").alias("files")).collect()    # file names only
+    out = None
+    for group in groups:
+        raw = spark.read.option("header", True).csv(group["files"])
+        cols = [(F.expr(f"try_cast(`{f.name}` as {f.dataType.simpleString()})") if f.name in raw.columns
+                 else F.lit(None).cast(f.dataType)).alias(f.name) for f in BAR_SCHEMA]
+        symbol = F.regexp_extract(F.col("_metadata.file_path"), symbol_pattern, 1)
+        part = raw.select(symbol.alias("symbol"), *cols)
+        out = part if out is None else out.unionByName(part)
+    return out.na.drop(subset=["close"])
 
 
 def normalise_bars(df: DataFrame, timeframe: str = "D1", epoch: str = "time") -> DataFrame:
@@ -39,18 +48,14 @@ def normalise_bars(df: DataFrame, timeframe: str = "D1", epoch: str = "time") ->
     return first.select("symbol", time.alias("time"), *BAR_FIELDS)
 
 
-def read_chunked(df: DataFrame, start: int, end: int, time: str = "time") -> DataFrame:
-    """Year-sized chunks put together again.
-
-    The scan is one plan: each chunk is a range predicate that prunes partitions and row groups.
-    """
-    col = F.col(time)
-    chunks = [df.filter((col >= F.make_date(F.lit(y), F.lit(1), F.lit(1)))
-                        & (col < F.make_date(F.lit(y + 1), F.lit(1), F.lit(1))))
-              for y in range(start, end + 1)]
-    out = chunks[0]
-    for c in chunks[1:]:
-        out = out.unionByName(c)
+def read_range(df: DataFrame, start: int | None = None, end: int | None = None, time: str = "time") -> DataFrame:
+    """Rows of the years start..end (open where not given), in one scan under one range predicate, which prunes
+    partitions and row groups; the chunks of an extraction are the scan's own splits."""
+    col, out = F.col(time), df.filter(F.col(time).isNotNull())
+    if start is not None:
+        out = out.filter(col >= F.make_date(F.lit(start), F.lit(1), F.lit(1)))
+    if end is not None:
+        out = out.filter(col < F.make_date(F.lit(end + 1), F.lit(1), F.lit(1)))
     return out
 
 
@@ -107,9 +112,9 @@ def read_series_json(spark: SparkSession, path: str, out: str = "TPM") -> DataFr
     return flatten_series(spark.read.schema(schema).option("multiLine", True).json(path), out)
 
 
-def flatten_series(docs: DataFrame, out: str = "TPM") -> DataFrame:
-    x = docs.select(F.explode("serie").alias("s"))
-    return x.select(F.to_date(F.substring("s.fecha", 1, 10)).alias("date"), F.col("s.valor").alias(out))
+def flatten_series(docs: DataFrame, out: str = "TPM", keep: Sequence[str] = ()) -> DataFrame:
+    x = docs.select(*keep, F.explode("serie").alias("s"))
+    return x.select(*keep, F.to_date(F.substring("s.fecha", 1, 10)).alias("date"), F.col("s.valor").alias(out))
 
 
 def clean_spread(df: DataFrame, raw_date: str, raw_value: str, lag: int = 3,

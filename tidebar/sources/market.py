@@ -15,7 +15,8 @@ OOS_PARTS = 5  # the newest fifth of each series is out of sample
 # Model and bank numbers of the deterministic score table.
 MODELS = ("RANDOM_FOREST", "XGBOOST")
 BANKS = ("Precio_Puro", "Tecnicos")
-PRIORITY_SERIES = {"1-URGENT": "VIX_close", "2-HIGH": "DXY_close", "3-MEDIUM": "Yield10Y"}
+PRIORITY_SERIES = {"1-URGENT": "VIX_close", "2-HIGH": "DXY_close", "3-MEDIUM": "Yield10Y", "4-NOT SPECIFIED": "Copper",
+                   "5-LOW": "EMBI"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,7 +61,7 @@ def macro_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(series, date, value): average order value per priority and day."""
     pairs = [x for kv in PRIORITY_SERIES.items() for x in map(F.lit, kv)]
     return (table(spark, sf_dir, "orders")
-            .filter(F.col("o_orderpriority").isin(*PRIORITY_SERIES))
+            .filter(F.col("o_orderpriority").isin(*PRIORITY_SERIES))     # all of its values
             .select(F.create_map(*pairs)[F.col("o_orderpriority")].alias("series"),
                     F.col("o_orderdate").cast("date").alias("date"), "o_totalprice")
             .groupBy("series", "date").agg((F.avg("o_totalprice") / 10000).alias("value")))
