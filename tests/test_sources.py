@@ -134,3 +134,20 @@ def test_query_equals_sql(spark, name):
     norm = lambda d: sorted(map(repr, (tuple(None if pd.isna(v) else float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
                                              for v in r) for r in d[cols].astype(object).itertuples(index=False))))
     assert norm(got) == [x.replace(" 00:00:00", "") for x in norm(want)] or norm(got) == norm(want)
+
+
+def test_headers_in_different_order(spark, tmp_path):
+    (tmp_path / "AAA_daily.csv").write_text("time,open,close\n2020-01-01,1,2\n")
+    (tmp_path / "BBB_daily.csv").write_text(",close,time,open\n0,4,2020-01-02,3\n")
+    got = {r.symbol: (r.open, r.close, r.high) for r in ingest.read_bar_csv(spark, str(tmp_path)).collect()}
+    assert got == {"AAA": (1.0, 2.0, None), "BBB": (3.0, 4.0, None)}
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+    from tidebar.session import shared_dir
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: None)
+        session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context)
+        with pytest.raises(ValueError):
+            shared_dir(session)

@@ -182,3 +182,49 @@ def test_search_and_importance(spark):
     assert sum(imp.values()) == pytest.approx(1)
     z = m.transform(d.withColumn("features", d.features)).select("scaled").first()[0]
     assert max(abs(z.toArray())) <= 10
+
+
+def test_unit_root_of_a_long_series_equals_a_plain_regression(spark):
+    """150,000 rows: the lag order passes 64, so lags reach over the edge of a block."""
+    from tidebar.operators import fracdiff
+    y = np.cumsum(np.random.default_rng(3).normal(0, 1, 150_000)) + 100
+    pdf = pd.DataFrame({"symbol": "A", "column": "c", "bar_idx": np.arange(len(y)), "n_bars": len(y), "value": y})
+    got = fracdiff.adf(spark.createDataFrame(pdf)).first()
+    lags = fracdiff.max_lag(len(y))
+    assert lags > 66
+    dy = np.diff(y)
+    rows = np.arange(lags, len(dy))
+    x = np.column_stack([np.ones(len(rows)), y[rows], *[dy[rows - k] for k in range(1, lags + 1)]])
+    n, aic = len(rows), []
+    for k in range(lags + 1):
+        res = np.linalg.lstsq(x[:, :2 + k], dy[rows], rcond=None)[1][0]
+        aic.append(n * np.log(res / n) + 2 * (k + 2))
+    best = int(np.argmin(aic))
+    rows = np.arange(best, len(dy))
+    x = np.column_stack([np.ones(len(rows)), y[rows], *[dy[rows - k] for k in range(1, best + 1)]])
+    beta, res, *_ = np.linalg.lstsq(x, dy[rows], rcond=None)
+    tau = beta[1] / np.sqrt(res[0] / (len(rows) - x.shape[1]) * np.linalg.inv(x.T @ x)[1, 1])
+    assert got["best_lag"] == best and abs(got["tau"] - tau) < 1e-6
+
+
+def test_screen_takes_every_symbol_and_falls_back_in_symbol_order(spark):
+    rng, rows = np.random.default_rng(8), []
+    base = rng.normal(0, 0.01, 260)
+    for k in range(70):                               # more than one tile
+        ret = base if k in (3, 50) else rng.normal(0, 0.01, 260)
+        for i, c in enumerate(100 * np.cumprod(1 + ret)):
+            rows.append((f"S{k:02d}", i, i, 260, float(c)))
+    bars = spark.createDataFrame(rows, "symbol string, time int, bar_idx long, n_bars long, close double")
+    got = [r.symbol for r in screen.screen_universe(bars, min_hurst=2.0, max_corr=0.9).orderBy("pos").collect()]
+    assert got == [f"S{k:02d}" for k in range(70) if k != 50]
+    corr = {(r.a, r.b): r["corr"] for r in screen.correlation(screen.aligned_returns(
+        bars.withColumnRenamed("close", "ret"))).collect()}
+    assert len(corr) == 70 * 69 // 2 and all(a < b for a, b in corr)
+    wide = pd.DataFrame(rows, columns=["s", "t", "i", "n", "c"]).pivot(index="t", columns="s", values="c").corr()
+    assert all(abs(v - wide.loc[a, b]) < 1e-9 for (a, b), v in corr.items())
+
+
+def test_priority_report_is_cut_only_where_asked(spark):
+    rows = [(f"X{k:03d}", True, k) for k in range(60)]
+    frame = spark.createDataFrame(rows, "symbol string, visible boolean, listing_no long")
+    assert screen.prioritise(frame).count() == 60 and screen.prioritise(frame, max_candidates=25).count() == 25
