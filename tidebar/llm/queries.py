@@ -199,3 +199,40 @@ e AS MATERIALIZED (
 r AS (SELECT doc_id AS node, doc_id AS reach FROM s UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.reach)
 SELECT s.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, min(reach) AS component_id FROM s JOIN r ON r.node = s.doc_id GROUP BY 1, 2
 """
+
+
+_WORD = r"[^\x20\x09-\x0D]+"
+_quoted = lambda values: ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+_ends = "".join("\\" + c if c in "]" else c for c in quality_lines.ENDS).replace("'", "''")
+ORACLES["op2_line_quality"] = rf"""
+WITH d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+l AS MATERIALIZED (SELECT doc_id, line, regexp_extract_all(line, '{_WORD}') AS w
+  FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '{_WORD}')),
+f AS (SELECT doc_id, line, len(w) AS n, NOT regexp_matches(w[-1], '[{_ends}]$')
+        OR 2 * len(list_filter(w, lambda x: regexp_matches(x, '[!?]{{2,}}$'))) > len(w)
+        OR 2 * length(regexp_replace(line, '[^{quality_lines.SYMBOLS}]', '', 'g')) > len(w)
+        OR 3 * len(list_filter(w, lambda x: x IN ({_quoted(sorted(quality_lines.SEPARATORS))}))) >= len(w)
+        OR regexp_matches(lower(line), '{"|".join(quality_lines.BOILERPLATE)}') AS fails FROM l),
+k AS (SELECT doc_id, count(*) - count(DISTINCT line) AS dup, coalesce(sum(n) FILTER (WHERE NOT fails), 0) AS stay FROM f GROUP BY 1),
+g AS (SELECT doc_id, i, array_to_string(w[i:i+4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
+r AS (SELECT doc_id, count(DISTINCT p) AS rep FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM (
+        SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1)) GROUP BY 1),
+x AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+             length(regexp_replace(t, '[^{quality_lines.SYMBOLS}]', '', 'g'))::BIGINT AS n_symbols,
+             coalesce(dup, 0)::BIGINT AS n_dup_lines, coalesce(rep, 0)::BIGINT AS n_repeat_words, coalesce(stay, 0)::BIGINT AS n_kept_words
+      FROM d LEFT JOIN k USING (doc_id) LEFT JOIN r USING (doc_id)),
+y AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM x)
+SELECT *, NOT base_failed AND 2 * n_kept_words >= n_words AS kept FROM y
+"""
+
+ORACLES["op6_substring_dedup"] = rf"""
+WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+g AS MATERIALIZED (SELECT doc_id, i, md5(array_to_string(w[i:i+49], ' ')) AS g
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+h AS (SELECT doc_id, i FROM g JOIN (SELECT g, min(doc_id) AS owner FROM g GROUP BY 1) o USING (g) WHERE owner < doc_id),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM h),
+e AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+k AS (SELECT doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY p) AS kept FROM e ANTI JOIN c USING (doc_id, p) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n_kept, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
