@@ -220,3 +220,25 @@ def test_champion_gates(spark):
     got = {r.symbol: r.model for r in champions(d, ["symbol"], ["model"]).collect()}
     assert got == {"A": "m1", "B": "m1", "C": "m1"}
     assert {r.symbol for r in champions(d, ["symbol"], ["model"], need_alive=True).collect()} == {"A", "C"}
+
+
+def test_state_survives_a_restart(spark, tmp_path):
+    from tidebar.streaming import monitors as smon
+    path = str(tmp_path / "state")
+    for batch, rows in enumerate(([("a", True, False)], [("b", False, True)], [("a", False, False)])):
+        table = smon.VersionedTable(spark, path, smon.STATUS)               # a new object each time, as after a restart
+        new = spark.createDataFrame(rows, smon.STATUS)
+        smon.monitor_job(lambda _, new=new: new, table, str(tmp_path / "events"))(new, batch)
+    got = {(r.symbol, r.quarantined, r.drifting) for r in smon.VersionedTable(spark, path, smon.STATUS).current().collect()}
+    assert got == {("a", False, False), ("b", False, True)}
+    events = [(r.batch_id, r.symbol, r.event) for r in spark.read.parquet(str(tmp_path / "events")).orderBy("batch_id").collect()]
+    assert events == [(0, "a", "quarantine"), (1, "b", "drift"), (2, "a", "lift")]
+
+
+def test_only_risen_multiples_are_recalibrated(spark):
+    from tidebar.streaming import monitors as smon
+    live = spark.createDataFrame([(s, k, 0.01 * (k % 5 - 2)) for s, n in (("a", 35), ("b", 65), ("c", 10)) for k in range(n)], smon.LIVE)
+    none = spark.createDataFrame([], smon.LIVE)
+    known = spark.createDataFrame([("a", 30), ("b", 30)], "symbol string, n_live long")
+    assert {(r.symbol, r.n_live) for r in smon.recalibrate(none, live, n_sims=20).collect()} == {("a", 30), ("b", 60)}
+    assert [(r.symbol, r.n_live) for r in smon.recalibrate(none, live, n_sims=20, known=known).collect()] == [("b", 60)]

@@ -19,20 +19,20 @@ SHRINK = 0.85
 SHARPE_FLOOR, SHARPE_FLAT = 0.05, 0.1
 
 
-def _with_every_name(rows: DataFrame, source: DataFrame, key: str) -> DataFrame:
-    """Each row once per strategy: a calendar x strategies spine, which is the result's own size.
-
-    The names of a portfolio come as one array on one row (an allocation is N x N in them anyway).
-    """
-    names = source.agg(F.collect_set(key).alias("_names")).withColumn("_all", F.lit(0))
-    return (rows.withColumn("_all", F.lit(0)).join(names, "_all")
-            .withColumn(key, F.explode("_names")).withColumn("n_all", F.size("_names")).drop("_all", "_names"))
+def _spine(source: DataFrame, key: str, first: int, last: int, number: str) -> DataFrame:
+    """Every strategy at every number from first to last, the result's own size: each name's row is exploded, nothing
+    is paired by a join.  `n_all` is the number of strategies."""
+    names = cut(source.select(key).distinct())
+    numbers = F.sequence(F.lit(first).cast("long"), F.lit(last).cast("long")) if last >= first else F.array().cast("array<long>")
+    return names.select(key, F.explode(numbers).alias(number), F.lit(names.count()).alias("n_all"))
 
 
 def align(curves: DataFrame, key: str = "strategy", value: str = "equity") -> DataFrame:
     """Equity curves on the union of all dates, carried forward, 1.0 before the first value."""
-    grid = _with_every_name(curves.select("date").distinct(), curves, key)
-    d = grid.drop("n_all").join(curves, ["date", key], "left").withColumn("_pos", day_number("date"))
+    days = curves.select("date").distinct().withColumn("_all", F.lit(0))
+    days = cut(dense_index(days, ["_all"], "date", F.year("date"), "_i", "_n").select("date", "_i"))
+    grid = _spine(curves, key, 0, days.count() - 1, "_i").join(days, "_i").select("date", key)
+    d = grid.join(curves, ["date", key], "left").withColumn("_pos", day_number("date"))
     return (fill(d, [value], keys=[key], pos="_pos", backfill=False)
             .withColumn(value, F.coalesce(value, dbl(1.0))).drop("_pos"))
 
@@ -206,7 +206,8 @@ def hold_weights(days: DataFrame, weights: DataFrame, contest: DataFrame,
     A window without weights keeps those of the one before; before any, all are 1/N.
     """
     d = days.filter(F.col("i") >= LOOKBACK).withColumn("window_id", F.floor(F.col("i") / STEP))
-    spine = _with_every_name(d.select("window_id").distinct(), days, key)
+    ends = d.agg(F.min("window_id").alias("a"), F.max("window_id").alias("z")).first()      # two numbers
+    spine = _spine(days, key, *((ends["a"], ends["z"]) if ends["a"] is not None else (0, -1)), "window_id")
     on = ["window_id", key]
     have = contest.select("window_id", "use_weighted")
     w = (spine.join(have, "window_id", "left").join(weights.select(*on, "weight"), on, "left")

@@ -13,29 +13,40 @@ from tidebar.functions.expr import dbl
 from tidebar.functions.signals import kill_switch, risk_budget
 from tidebar.operators.bootstrap import bootstrap_mdd
 from tidebar.operators.series import dense_index, block_of
+from tidebar.session import cut
 
 RECALIBRATE_EVERY = 30
 REBALANCE_DAYS = 30
 
 
 class VersionedTable:
-    """A small table replaced as a whole by each micro-batch: `<path>/v=<batch id>`."""
+    """A small table replaced as a whole by each micro-batch: `<path>/v=<batch id>`.
+
+    Nothing is kept in memory: the newest complete version is found in storage, so a restarted job goes on from it.
+    """
 
     def __init__(self, spark: SparkSession, path: str, schema: str):
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
-        self.version = -1
 
-    def read(self, before: int) -> DataFrame:
-        if self.version < 0 or before <= 0:
+    def versions(self) -> list[int]:
+        """Versions whose write was completed."""
+        context = self.spark.sparkContext
+        done = context._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v=*/_SUCCESS")
+        found = done.getFileSystem(context._jsc.hadoopConfiguration()).globStatus(done) or []
+        return sorted(int(f.getPath().getParent().getName().removeprefix("v=")) for f in found)
+
+    def read(self, before: int | None = None) -> DataFrame:
+        """The newest complete version, of those below `before` where it is given."""
+        old = [v for v in self.versions() if before is None or v < before]
+        if not old:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v={before - 1}")
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v={old[-1]}")
 
     def write(self, df: DataFrame, version: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.path}/v={version}")
-        self.version = version
 
     def current(self) -> DataFrame:
-        return self.read(self.version + 1)
+        return self.read()
 
 
 STATUS = "symbol string, quarantined boolean, drifting boolean"
@@ -63,7 +74,7 @@ def monitor_status(trades: DataFrame, drift: DataFrame) -> DataFrame:
 def monitor_job(replay: Callable[[DataFrame], DataFrame], table: VersionedTable, events_path: str):
     """foreachBatch job: `replay(batch)` gives the status; only changes are appended as events."""
     def job(batch: DataFrame, batch_id: int) -> None:
-        new = replay(batch)
+        new = cut(replay(batch))                 # used for the events and for the state
         old = table.read(batch_id)
         status_events(old, new).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(
             f"{events_path}/batch={batch_id}")
@@ -77,15 +88,20 @@ RISK = "symbol string, n_live long, mc_mdd_95 double, optimal_risk_pct double, k
 
 
 def recalibrate(history: DataFrame, live: DataFrame, every: int = RECALIBRATE_EVERY,
-                n_sims: int = 1000) -> DataFrame:
+                n_sims: int = 1000, known: DataFrame | None = None) -> DataFrame:
     """New risk budget for each symbol whose number of live trades has reached a multiple of `every`.
 
-    `history` and `live`: symbol, seq, ret.  Old and live returns are drawn from together, up to the
+    With `known` (symbol, n_live) only symbols whose multiple has risen since.  `history` and `live`: symbol, seq,
+    ret.  Old and live returns are drawn from together, up to the
     last full multiple.
     """
     h = history.select("symbol", F.lit(0).alias("src"), "seq", "ret")
     n_live = live.groupBy("symbol").agg((F.floor(F.count(F.lit(1)) / every) * every).alias("n_live"))
     due = n_live.filter("n_live > 0")
+    if known is not None:
+        before = known.select("symbol", F.col("n_live").alias("_before"))
+        due = due.join(before, "symbol", "left").filter("n_live > coalesce(_before, 0)").drop("_before")
+    due = cut(due)
     numbered = dense_index(live, ["symbol"], "seq", block_of("seq"), "k")
     used = (numbered.join(due, "symbol").filter("k < n_live")
             .select("symbol", F.lit(1).alias("src"), "seq", "ret"))
@@ -105,8 +121,8 @@ def recalibration_job(history: DataFrame, live_path: str, table: VersionedTable,
         spark = batch.sparkSession
         batch.select("symbol", "seq", "ret").write.mode("overwrite").parquet(f"{live_path}/batch={batch_id}")
         live = spark.read.schema(LIVE).parquet(f"{live_path}/batch=*")
-        new = recalibrate(history, live, n_sims=n_sims)
         old = table.read(batch_id)
+        new = cut(recalibrate(history, live, n_sims=n_sims, known=old))
         table.write(old.join(new.select("symbol"), "symbol", "left_anti").unionByName(new), batch_id)
     return job
 
