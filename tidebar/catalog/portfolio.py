@@ -45,6 +45,46 @@ to_ AS MATERIALIZED (SELECT window_id, CASE WHEN stddev_samp(h)>0 THEN avg(h)/st
        FROM pd_ GROUP BY 1)"""
 
 
+def _risk(lo: str, hi: str) -> str:
+    """Variance of the inverse-variance portfolio of the leaves lo..hi in order."""
+    at = f"range({lo}, {hi} + 1)"
+    return (f"(list_sum(list_transform({at}, lambda x: list_sum(list_transform({at}, lambda y: "
+            f"cov[ord[x]][ord[y]] / (cov[ord[x]][ord[x]] * cov[ord[y]][ord[y]]))))) "
+            f"/ power(list_sum(list_transform({at}, lambda z: 1 / cov[ord[z]][ord[z]])), 2))")
+
+
+_MID = "(p.lo + (p.hi - p.lo + 1) // 2 - 1)"
+_LEFT, _RIGHT = _risk("p.lo", _MID), _risk(f"({_MID} + 1)", "p.hi")
+# hierarchical risk parity by recursion: merge the closest two clusters (single linkage; ties by number), then halve
+# the order of leaves and share the weight by the risks of the halves
+_HRP = f"""hx AS (SELECT window_id, strategy, row_number() OVER (PARTITION BY window_id ORDER BY strategy) AS k FROM wa),
+hp AS (SELECT co.window_id, x.k AS i, y.k AS j, cov, corr FROM co JOIN hx x ON x.window_id=co.window_id AND x.strategy=a
+       JOIN hx y ON y.window_id=co.window_id AND y.strategy=b),
+hq AS (SELECT * FROM hp UNION ALL SELECT window_id, j, i, cov, corr FROM hp WHERE i<>j),
+hm AS MATERIALIZED (SELECT window_id, count(*) AS n, list(dr ORDER BY i) AS dist, list(cr ORDER BY i) AS cov FROM (
+       SELECT window_id, i, list(sqrt(greatest((1-corr)/2, 0)) ORDER BY j) AS dr, list(cov ORDER BY j) AS cr FROM hq GROUP BY 1,2) GROUP BY 1),
+hl AS (SELECT window_id, n, dist, cov, list_transform(range(1, n+1), lambda k: {{'id': k, 'l': [k]}}) AS cl, n AS last FROM hm
+       UNION ALL
+       SELECT window_id, n, dist, cov, list_append(list_filter(cl, lambda c: c.id<>b.i AND c.id<>b.j), {{'id': last+1, 'l': list_concat(
+              list_filter(cl, lambda c: c.id=b.i)[1].l, list_filter(cl, lambda c: c.id=b.j)[1].l)}}), last+1
+       FROM (SELECT *, list_min(flatten(list_transform(cl, lambda p: list_transform(list_filter(cl, lambda q: q.id>p.id), lambda q: {{
+              'gap': list_min(flatten(list_transform(p.l, lambda x: list_transform(q.l, lambda y: dist[x][y])))), 'i': p.id, 'j': q.id}})))) AS b
+             FROM hl WHERE len(cl)>1)),
+hb AS (SELECT window_id, cov, cl[1].l AS ord, [{{'lo': CAST(1 AS BIGINT), 'hi': CAST(n AS BIGINT), 'w': CAST(1 AS DOUBLE)}}] AS ps FROM hl WHERE len(cl)=1
+       UNION ALL
+       SELECT window_id, cov, ord, flatten(list_transform(ps, lambda p: CASE WHEN p.hi<=p.lo THEN [p] ELSE [
+              {{'lo': p.lo, 'hi': CAST({_MID} AS BIGINT), 'w': p.w * (1 - {_LEFT} / ({_LEFT} + {_RIGHT}))}},
+              {{'lo': CAST({_MID} + 1 AS BIGINT), 'hi': p.hi, 'w': p.w * ({_LEFT} / ({_LEFT} + {_RIGHT}))}}] END))
+       FROM hb WHERE list_max(list_transform(ps, lambda p: p.hi - p.lo)) > 0),
+hr AS MATERIALIZED (SELECT u.window_id, strategy, u.w AS hrp FROM (SELECT window_id, ord[p.lo] AS k, p.w AS w FROM (
+       SELECT window_id, ord, unnest(ps) AS p FROM hb WHERE list_max(list_transform(ps, lambda p: p.hi - p.lo)) = 0)) u
+       JOIN hx ON hx.window_id=u.window_id AND hx.k=u.k),
+iv AS (SELECT window_id, strategy, hrp AS ivp FROM hr),
+"""
+_IVP = next(line for line in ALIGN_SQL.splitlines() if line.startswith("iv AS"))
+HRP_SQL = ALIGN_SQL.replace(_IVP + "\n", _HRP).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 @query("j5_align_equity", ALIGN_SQL + f" SELECT date, strategy, {r('equity')} AS equity FROM al")
 def _(spark, sf):
     return strategies(spark, sf).select("date", "strategy", r6("equity").alias("equity"))
@@ -72,24 +112,24 @@ def _(spark, sf):
     return allocate.covariance(_arrays(spark, sf)[1]).select("window_id", "a", "b", r6("dist").alias("dist"))
 
 
-@query("a26_hrp_weights")
+@query("a26_hrp_weights", HRP_SQL + f" SELECT window_id, strategy, {r('hrp')} AS hrp FROM hr")
 def _(spark, sf):
-    return allocate.hrp(_arrays(spark, sf)[1])
+    return allocate.hrp(_arrays(spark, sf)[1]).select("window_id", "strategy", r6("hrp").alias("hrp"))
 
 
-@query("a27_shrunk_weights", ALIGN_SQL + f" SELECT window_id, strategy, {r('perf')} AS perf, {r('weight')} AS weight FROM wt")
+@query("a27_shrunk_weights", HRP_SQL + f" SELECT window_id, strategy, {r('perf')} AS perf, {r('weight')} AS weight FROM wt")
 def _(spark, sf):
-    w, _ = allocate.rebalance(strategies(spark, sf), base="ivp")
+    w, _ = allocate.rebalance(strategies(spark, sf))
     return w.select("window_id", "strategy", r6("perf").alias("perf"), r6("weight").alias("weight"))
 
 
-@query("a28_allocation_tournament", ALIGN_SQL + f" SELECT window_id, {r('sw')} AS sharpe_weighted, {r('se')} AS sharpe_equal, sw>=se AS use_weighted FROM to_")
+@query("a28_allocation_tournament", HRP_SQL + f" SELECT window_id, {r('sw')} AS sharpe_weighted, {r('se')} AS sharpe_equal, sw>=se AS use_weighted FROM to_")
 def _(spark, sf):
-    _, t = allocate.rebalance(strategies(spark, sf), base="ivp")
+    _, t = allocate.rebalance(strategies(spark, sf))
     return t.select("window_id", r6("sharpe_weighted").alias("sharpe_weighted"), r6("sharpe_equal").alias("sharpe_equal"), "use_weighted")
 
 
-HELD_SQL = ALIGN_SQL + """,
+HELD_SQL = HRP_SQL + """,
 hd AS (SELECT s.*, coalesce(w.weight, CASE WHEN t.window_id IS NOT NULL THEN 0 END, 1/CAST(nn AS DOUBLE)) AS wm,
               CASE WHEN t.sw>=t.se THEN coalesce(w.weight, 0) ELSE 1/CAST(nn AS DOUBLE) END AS wc, nn
        FROM (SELECT *, CAST(floor(i/20) AS BIGINT) AS window_id FROM sr WHERE i>=100) s CROSS JOIN (SELECT count(DISTINCT strategy) AS nn FROM sr)
@@ -102,7 +142,7 @@ pr AS MATERIALIZED (SELECT date, i, 'HRP' AS portfolio, sum(wm*ret) AS ret FROM
  UNION ALL SELECT date, i, 'EQUAL', sum(ret/nn) FROM hd GROUP BY 1,2 UNION ALL SELECT date, i, 'EQUAL_SMA', sum(CASE WHEN on_ THEN ret ELSE 0 END/nn) FROM sf GROUP BY 1,2)"""
 
 
-def held(spark, sf, base="ivp"):
+def held(spark, sf, base="hrp"):
     """Strategies with the weights in force and a price-trend signal of the day before."""
     s = strategies(spark, sf).drop("equity")
     w, t = allocate.rebalance(s, base=base)
@@ -125,11 +165,12 @@ def _(spark, sf):
     return d.select("date", "portfolio", r6("cum_ret").alias("equity"))
 
 
-@query("w21b_rolling_allocation_hrp")
+@query("w21b_rolling_allocation_hrp", HELD_SQL + f""" SELECT date, portfolio, {r('exp(sum(ln(1+ret)) OVER (PARTITION BY portfolio ORDER BY i))')} AS cum_ret
+FROM pr WHERE portfolio IN ('HRP', 'TORNEO')""")
 def _(spark, sf):
-    p = allocate.portfolio_returns(held(spark, sf, "hrp"), "trend_on")
+    p = allocate.portfolio_returns(held(spark, sf)).filter(F.col("portfolio").isin("HRP", "TORNEO"))
     d = series.equity(p, keys=["portfolio"], pos="i")
-    return d.select("date", "portfolio", "cum_ret")
+    return d.select("date", "portfolio", r6("cum_ret").alias("cum_ret"))
 
 
 X3_COLS = ("total_ret", "cagr", "sharpe", "starr", "mdd")
@@ -162,13 +203,13 @@ def _(spark, sf):
     return m.select("portfolio", *[r6(c).alias(c) for c in X3_COLS])
 
 
-@query("j11_active_weights", ALIGN_SQL + f""",
+@query("j11_active_weights", HRP_SQL + f""",
 lw AS (SELECT strategy AS symbol, weight FROM wt WHERE window_id=(SELECT max(window_id) FROM wt)),
 ac AS (SELECT symbol FROM bars GROUP BY 1 HAVING max(time) >= DATE '1995-01-01' AND symbol NOT LIKE 'A%'),
 j AS (SELECT ac.symbol, coalesce(weight, 0) AS weight FROM ac LEFT JOIN lw USING (symbol))
 SELECT symbol, {r('weight')} AS weight, {r('CASE WHEN sum(weight) OVER ()>0 THEN weight/sum(weight) OVER () ELSE 1/CAST(count(*) OVER () AS DOUBLE) END')} AS norm_weight FROM j""")
 def _(spark, sf):
-    w, _ = allocate.rebalance(strategies(spark, sf), base="ivp")
+    w, _ = allocate.rebalance(strategies(spark, sf))
     newest = w.groupBy("strategy").agg(F.max_by("weight", "window_id").alias("weight"), F.max("window_id").alias("w"))
     top = w.agg(F.max("window_id").alias("w"))
     latest = newest.join(top, "w").select(F.col("strategy").alias("symbol"), "weight")

@@ -93,18 +93,18 @@ def leaf_order(dist: np.ndarray) -> list[int]:
     Clusters are numbered in the order they form; a merge puts the lower number on the left.
     """
     n = len(dist)
+    gap = np.full((2 * n - 1, 2 * n - 1), np.inf)        # between clusters; only i < j is used
+    gap[:n, :n] = dist
+    gap[np.tril_indices(2 * n - 1)] = np.inf
     leaves = {i: [i] for i in range(n)}
-    gap = {(i, j): dist[i, j] for i in range(n) for j in range(i + 1, n)}
     for new in range(n, 2 * n - 1):
-        i, j = min(gap, key=lambda p: (gap[p], p))
+        i, j = divmod(int(gap[:new, :new].argmin()), new)    # the first of equal gaps: lowest i, then lowest j
         leaves[new] = leaves.pop(i) + leaves.pop(j)
-        near = {}
-        for (a, b), g in gap.items():
-            other = a if b in (i, j) else b if a in (i, j) else None
-            if other is not None and other not in (i, j):
-                near[other] = min(near.get(other, np.inf), g)
-        gap = {p: g for p, g in gap.items() if not {i, j} & set(p)}
-        gap |= {(other, new): g for other, g in near.items()}
+        both = np.minimum(gap, gap.T)
+        near = np.minimum(both[i], both[j])
+        gap[:new, new] = near[:new]
+        for k in (i, j):
+            gap[k, :] = gap[:, k] = np.inf
     return leaves[max(leaves)]
 
 
