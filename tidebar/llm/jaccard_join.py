@@ -6,20 +6,21 @@ links inside what is connected already need not be tested.
 1. Each text becomes a set of hashed n-grams.  Equal sets are one set from here on.
 2. A global order of n-grams, rare ones first, comes from a table of 2**18 counters over all n-grams of the corpus
    (any order is exact, this one is selective).  Similar sets share an n-gram in their prefixes of that order.
-3. Sets that share a prefix n-gram with others are dealt into groups: a set goes to the smallest set it shares one
-   with.  Large groups are cut into parts of about `PART` sets, and each part also gets the group's first set.
+3. Sets that share a prefix n-gram with others are partitioned into groups of similar ones, by the smallest hash of
+   their n-grams.  Large groups are cut into parts of about `PART` sets, and each part also gets the group's first set.
 4. In a part, sets are taken one by one.  Each component found so far holds the union of its n-grams; a set that has
    too few n-grams in that union cannot link to any member, and the component stays closed.  Opened ones are compared
    exactly, up to the first link.
-5. The matrix of prefix n-grams against parts then tells which parts hold sets of other components that could link.
-   The set of the smaller component is sent to the part of the larger one; the union bound and the comparison as above.
+5. The matrix of prefix n-grams against parts of components then tells which parts could link to a set of a smaller
+   component, by the sizes and by the places of the n-gram in both prefixes.  The set is sent there; the union bound and the comparison as above.  At first only the largest component
+   of each n-gram is asked, so that a crowd of copies is one component before all others are asked.
 
 Frequent n-grams are spread by a salt before they are grouped, groups are bounded, and only minima are taken over
 unbounded keys.  Nothing is capped: a frequent n-gram is checked like any other.
 
 Defined cases: a text with fewer words than n is one n-gram, without words it has an empty set and stays alone; null
 texts are without words; rows with equal ids and different texts are members of their own; a component is named by the
-smallest non-null id; extra columns are not carried.
+smallest non-null id; a text of rows without an id only links to nothing; extra columns are not carried.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ BUCKETS = 1 << 18
 SALTS = 64
 HOT = 16              # an n-gram in a bucket with so many times the mean count is salted
 PART = 256
-ROWS = "token long, salt int, set_id long, size int, short boolean"
+ROWS = "token long, salt int, set_id long, size int, place int"
 
 
 def text_sets(texts: pa.Array, n: int):
@@ -60,24 +61,26 @@ def set_id(grams: np.ndarray) -> int:
 
 
 def profile(docs: DataFrame, n: int) -> DataFrame:
-    """One row per document (doc, set_id, size) and, per task, counts of n-grams by bucket (bucket, n)."""
+    """One row per document (doc, text_key, set_id, size, group: the smallest hash) and, per task, counts of n-grams by
+    bucket (bucket, n).  `docs`: doc, text_key, text."""
     def scan(batches):
         counts = np.zeros(BUCKETS, np.int64)
-        names = ["doc", "set_id", "size", "bucket", "n"]
+        names = ["doc", "text_key", "set_id", "size", "group", "bucket", "n"]
         for batch in batches:
-            ids, sizes = [], []
-            for grams in text_sets(batch.column(1), n):
+            ids, sizes, groups = [], [], []
+            for grams in text_sets(batch.column(2), n):
                 sizes.append(len(grams))
                 ids.append(set_id(grams) if len(grams) else None)
+                groups.append(int(W.signed(W.mix(grams).min(keepdims=True))[0]) if len(grams) else None)
                 counts += np.bincount((grams >> np.uint64(46)).astype(np.int64), minlength=BUCKETS)
             empty = pa.nulls(len(sizes), pa.int32()), pa.nulls(len(sizes), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), *empty],
-                                             names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()),
+                                              pa.array(groups, pa.int64()), *empty], names=names)
         used = np.flatnonzero(counts)
-        none = pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.int32())
+        none = [pa.nulls(len(used), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())]
         yield pa.RecordBatch.from_arrays([*none, pa.array(used.astype(np.int32)), pa.array(counts[used])], names=names)
 
-    return docs.mapInArrow(scan, "doc long, set_id long, size int, bucket int, n long")
+    return docs.mapInArrow(scan, "doc long, text_key long, set_id long, size int, group long, bucket int, n long")
 
 
 def frequencies(spark: SparkSession, found: DataFrame) -> bytes:
@@ -89,28 +92,27 @@ def frequencies(spark: SparkSession, found: DataFrame) -> bytes:
 
 
 def prefixes(docs: DataFrame, n: int, percent: int, counts) -> DataFrame:
-    """ROWS of every text: its prefix n-grams; `short` ones also count where the other set is no smaller."""
+    """ROWS of every set: its prefix n-grams and their places in the order; a task gives equal sets once."""
     def scan(batches):
         frequency = np.frombuffer(counts.value, np.int64)
-        hot = HOT * (1 + frequency.sum() // BUCKETS)
+        hot, seen = HOT * (1 + frequency.sum() // BUCKETS), set()
         for batch in batches:
             out = []
             for grams in text_sets(batch.column(0), n):
-                size = len(grams)
-                if not size:
+                size, name = len(grams), set_id(grams) if len(grams) else None
+                if not size or name in seen:
                     continue
+                seen.add(name)
                 keep = size + (-percent * size) // 100 + 1
-                least = size + (-2 * percent * size) // (100 + percent) + 1
                 often = frequency[(grams >> np.uint64(46)).astype(np.int64)]
                 order = np.lexsort((grams, often))[:keep]
-                name = set_id(grams)
                 salt = np.where(often[order] > hot, 1 + name % SALTS, 0).astype(np.int32)
-                out.append((grams[order], salt, np.full(keep, name), np.full(keep, size, np.int32), np.arange(keep) < least))
+                out.append((grams[order], salt, np.full(keep, name), np.full(keep, size, np.int32), np.arange(keep, dtype=np.int32)))
             if out:
-                token, salt, name, size, short = (np.concatenate(x) for x in zip(*out))
+                token, salt, name, size, place = (np.concatenate(x) for x in zip(*out))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(W.signed(token)), pa.array(salt), pa.array(name), pa.array(size), pa.array(short)],
-                    names=["token", "salt", "set_id", "size", "short"])
+                    [pa.array(W.signed(token)), pa.array(salt), pa.array(name), pa.array(size), pa.array(place)],
+                    names=["token", "salt", "set_id", "size", "place"])
 
     return docs.select("text").mapInArrow(scan, ROWS)
 
@@ -121,7 +123,7 @@ class Groups:
     def __init__(self, percent: int):
         self.percent, self.parts = percent, []     # [members, union, names]
 
-    def links(self, grams: np.ndarray, name: int, skip=None) -> list[int]:
+    def links(self, grams: np.ndarray, skip=None) -> list[int]:
         """Places of the components with a member that links to the set."""
         need, out = self.percent * len(grams), []
         for place, (members, union, _) in enumerate(self.parts):
@@ -139,7 +141,7 @@ class Groups:
         return out
 
     def add(self, grams: np.ndarray, name: int) -> None:
-        found = self.links(grams, name)
+        found = self.links(grams)
         members, names, unions = [grams], [name], [grams]
         for place in reversed(found):
             old = self.parts.pop(place)
@@ -171,81 +173,104 @@ def within_parts(sets: DataFrame, n: int, percent: int) -> DataFrame:
     return sets.groupBy("group", "part").applyInArrow(work, "set_id long, other long")
 
 
-def across_parts(sets: DataFrame, asked: DataFrame, n: int, percent: int) -> DataFrame:
-    """set_id, other: links of sent sets (set_id, component, text, group, part) to members of parts
-    (set_id, component, text, group, part) of other components."""
-    def work(members: pa.Table, sent: pa.Table) -> pa.Table:
+def across_parts(rows: DataFrame, n: int, percent: int) -> DataFrame:
+    """set_id, other: links of the sets that ask a part to members of other components in it.  `rows`: set_id,
+    component, asks, text, group, part."""
+    def work(table: pa.Table) -> pa.Table:
         parts: dict[int, list] = {}
-        grams = list(text_sets(members["text"].combine_chunks(), n)) if len(members) else []
-        for name, component, own in zip(members["set_id"].to_pylist(), members["component"].to_pylist(), grams):
-            part = parts.setdefault(component, [[], None, []])
-            part[0].append(own)
-            part[2].append(name)
-        groups, ids = Groups(percent), list(parts)
+        asking, grams = [], text_sets(table["text"].combine_chunks(), n)
+        for name, component, asks, own in zip(*(table[c].to_pylist() for c in ("set_id", "component", "asks")), grams):
+            if asks:
+                asking.append((name, component, own))
+            else:
+                part = parts.setdefault(component, [[], None, []])
+                part[0].append(own)
+                part[2].append(name)
+        groups, ids, out = Groups(percent), list(parts), []
         for part in parts.values():
             groups.parts.append([part[0], np.unique(np.concatenate(part[0])), part[2]])
-        out = []
-        if groups.parts and len(sent):
-            for name, component, own in zip(sent["set_id"].to_pylist(), sent["component"].to_pylist(),
-                                            text_sets(sent["text"].combine_chunks(), n)):
-                for place in groups.links(own, name, lambda p, c=component: ids[p] == c):
-                    out.append((name, groups.parts[place][2][0]))
+        for name, component, own in asking:
+            for place in groups.links(own, lambda p, c=component: ids[p] == c):
+                out.append((name, groups.parts[place][2][0]))
         return pa.table([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["set_id", "other"])
 
-    return sets.groupBy("group", "part").cogroup(asked.groupBy("group", "part")).applyInArrow(
-        work, "set_id long, other long")
+    return rows.groupBy("group", "part").applyInArrow(work, "set_id long, other long")
+
+
+def _places(members: DataFrame) -> DataFrame:
+    """set_id, group, part, members (of the group), own: parts of about PART sets; a group's first set is in each."""
+    cuts = members.groupBy("group").agg(F.count(F.lit(1)).alias("members"), F.min("set_id").alias("first"))
+    cuts = cuts.withColumn("cuts", F.ceil(F.col("members") / PART).cast("long"))
+    own = members.join(cuts, "group").select("set_id", "group", F.pmod(F.xxhash64("set_id"), F.col("cuts")).alias("part"),
+                                             "members", F.lit(True).alias("own"))
+    first = cuts.where("cuts > 1").select(
+        F.col("first").alias("set_id"), "group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)).alias("part"),
+        "members", F.lit(False).alias("own"))
+    return own.unionByName(first)
+
+
+def _matrix_links(shared: DataFrame, texts: DataFrame, known: DataFrame, n: int, percent: int, largest: bool) -> DataFrame:
+    """Links between components, by the matrix of prefix n-grams against parts of components.  A set asks the parts of
+    components larger than its own (ties: by number) that hold one of its prefix n-grams in a set of fitting size;
+    with `largest`, only those of the largest component of the n-gram."""
+    sizes = known.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
+    places = (texts.select("set_id").join(known, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+              .join(sizes, "component", "left").withColumn("members", F.coalesce("members", F.lit(1))))
+    cuts = F.ceil(F.col("members") / PART).cast("long")
+    places = places.select("set_id", F.struct("members", "component").alias("rank"), F.col("component").alias("group"),
+                           F.pmod(F.xxhash64("set_id"), cuts).alias("part"))
+    rows = shared.join(places.select("set_id", "rank", "group", "part"), "set_id")
+    torn = rows.groupBy("token").agg(F.min("rank").alias("a"), F.max("rank").alias("top")).where("a < top").drop("a")
+    rows = written(rows.join(torn, "token"), "torn")
+    holders = rows.where(F.col("rank") == F.col("top")) if largest else rows
+    # a link of sizes x and y needs percent * (x + y) / (100 + percent) common n-grams, so a first common one at place
+    # i of x has (100 + percent) * i <= 100 * x - percent * y
+    reach = 100 * F.col("size") - (100 + percent) * F.col("place")
+    matrix = holders.groupBy("token", "group", "part", "rank").agg(
+        F.min("size").alias("least"), F.max("size").alias("most"), F.max(reach).alias("reach"))
+    q, m = rows.withColumn("own_reach", reach).alias("q"), matrix.alias("m")
+    sent = q.join(m, (F.col("q.token") == F.col("m.token")) & (F.col("q.rank") < F.col("m.rank"))
+                  & (100 * F.col("q.size") >= percent * F.col("least")) & (100 * F.col("most") >= percent * F.col("q.size"))
+                  & (F.col("q.own_reach") >= percent * F.col("least")) & (F.col("m.reach") >= percent * F.col("q.size")))
+    sent = written(sent.select("q.set_id", F.col("q.group").alias("component"), "m.group", "m.part").distinct(), "sent")
+    opened = places.join(sent.select("group", "part").distinct(), ["group", "part"]).select(
+        "set_id", F.col("group").alias("component"), "group", "part")
+    both = sent.withColumn("asks", F.lit(True)).unionByName(opened.withColumn("asks", F.lit(False)))
+    return across_parts(both.join(texts.select("set_id", "text"), "set_id"), n, percent)
 
 
 def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(text).alias("text_key"),
+                       F.col(text).cast("string").alias("text"))
     found = written(profile(docs, n), "sets")
     counts = spark.sparkContext.broadcast(frequencies(spark, found))
-    names = found.where("bucket is null").select("doc", "set_id", "size")
+    names = found.where("bucket is null").select("doc", "text_key", "set_id", "size", "group")
 
-    # prefix n-grams that several sets share, with the smallest of these sets
+    # prefix n-grams that several sets share; a salted one is shared across salts
     met = Window.partitionBy("token", "salt")
-    rows = prefixes(docs, n, percent, counts).distinct()
-    rows = rows.withColumn("pivot", F.min("set_id").over(met)).withColumn("last", F.max("set_id").over(met))
-    shared = written(rows.where("pivot < last or salt > 0").drop("last", "salt"), "prefixes")   # salted: shared elsewhere
-
-    # groups and their parts
-    groups = shared.groupBy("set_id").agg(F.min("pivot").alias("group"))
-    cuts = groups.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("cuts"))
-    own = groups.join(cuts, "group").select("set_id", "group", F.pmod(F.xxhash64("set_id"), F.col("cuts")).alias("part"))
-    first = cuts.select(F.col("group").alias("set_id"), "group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts").cast("long") - 1)).alias("part"))
-    places = written(own.withColumn("own", F.lit(True)).unionByName(first.withColumn("own", F.lit(False))), "places")
-    bearer = names.where("set_id is not null and doc is not null").groupBy("set_id").agg(F.min("doc").alias("doc"))
-    wanted = bearer.join(places.select("set_id").distinct(), "set_id")
-    texts = written(docs.join(wanted, "doc").groupBy("doc", "set_id").agg(F.max("text").alias("text")).drop("doc"), "texts")
-    sets = texts.join(places, "set_id")
-
-    inner = written(within_parts(sets, n, percent), "inner").where("set_id <> other")
-    known = written(connected(inner, "set_id", "other"), "known").withColumnsRenamed({"node": "set_id"})
-
-    # the token-group matrix: which parts of larger components could hold a link to a set
-    sizes = known.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
-    labelled = shared.select("token", "set_id", "size", "short").join(known, "set_id", "left").withColumn(
-        "component", F.coalesce("component", "set_id")).join(sizes, "component", "left").withColumn(
-        "rank", F.struct(F.coalesce("members", F.lit(1)).alias("members"), "component"))
-    torn = labelled.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b")
-    labelled = written(labelled.join(torn.select("token"), "token"), "labelled")
-    matrix = labelled.join(places.where("own").select("set_id", "group", "part"), "set_id").groupBy(
-        "token", "group", "part", "rank").agg(F.min("size").alias("least"), F.max("size").alias("most"),
-                                              F.max("short").alias("any_short"))
-    q, m = labelled.alias("q"), matrix.alias("m")
-    pairs = q.join(m, (F.col("q.token") == F.col("m.token")) & (F.col("q.rank") < F.col("m.rank"))
-                   & (100 * F.col("q.size") >= percent * F.col("least")) & (100 * F.col("most") >= percent * F.col("q.size"))
-                   & (F.col("q.short") | F.col("any_short")))
-    sent = pairs.select("q.set_id", "q.component", "m.group", "m.part").distinct()
-    asked = written(sent.join(texts, "set_id"), "asked")
-    touched = asked.select("group", "part").distinct()
-    opened = (sets.where("own").join(touched, ["group", "part"]).join(known, "set_id", "left")
-              .select("set_id", F.coalesce("component", "set_id").alias("component"), "text", "group", "part"))
-    outer = across_parts(opened, asked, n, percent)
-    links = known.select("set_id", F.col("component").alias("other")).unionByName(outer)
-    final = connected(links, "set_id", "other").select(F.col("node").alias("set_id"), F.col("component"))
+    rows = prefixes(docs, n, percent, counts).repartition("token", "salt").dropDuplicates(["token", "salt", "set_id"])
+    rows = rows.withColumn("first", F.min("set_id").over(met)).withColumn("last", F.max("set_id").over(met))
+    shared = written(rows.where("first < last or salt > 0").select("token", "set_id", "size", "place"), "prefixes")
+
+    bearer = names.where("set_id is not null and doc is not null").groupBy("set_id").agg(
+        F.min(F.struct("doc", "text_key")).alias("at"), F.min("group").alias("group"))
+    wanted = bearer.join(shared.select("set_id").distinct(), "set_id").select("at.*", "set_id", "group")
+    on = ["doc", "text_key"]                    # rows repeated as a whole give one
+    texts = docs.join(wanted, on).groupBy(*on, "set_id", "group").agg(F.max("text").alias("text")).drop(*on)
+    texts = written(texts, "texts")
+
+    members = _places(texts.select("set_id", "group")).where("members > 1")
+    links = within_parts(members.join(texts.select("set_id", "text"), "set_id"), n, percent).where("set_id <> other")
+    known = written(connected(links, "set_id", "other").withColumnRenamed("node", "set_id"), "known")
+
+    # first only against the largest component of each n-gram, which takes in most; then against all
+    for largest in (True, False):
+        links = _matrix_links(shared, texts, known, n, percent, largest)
+        links = links.unionByName(known.select("set_id", F.col("component").alias("other")))
+        known = written(connected(links, "set_id", "other").withColumnRenamed("node", "set_id"), "known")
+    final = known
 
     rows = names.join(final, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     least = rows.where("component is not null").groupBy("component").agg(F.min("doc").alias("least"))
