@@ -34,7 +34,7 @@ FOLDS = 5
 SLACK = 0.2
 LEAST_DISCOUNT = 0.05
 SHARD_GRAMS = 2_000_000
-_COUNT_SLICE = 8 << 20
+_COUNT_SLICE = 4 << 20
 
 
 def gram_table(docs: DataFrame) -> DataFrame:
