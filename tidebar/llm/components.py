@@ -27,16 +27,17 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def connected(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
-    """node, component (the smallest node that it reaches) for every node of a proper edge."""
+def connected(edges: DataFrame, left: str = "a", right: str = "b", folder: str | None = None) -> DataFrame:
+    """node, component (the smallest node that it reaches) for every node of a proper edge.  The rounds are written to
+    `folder` where it is given."""
     edges = edges.select(F.col(left).alias("a"), F.col(right).alias("b")).where("a <> b")
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges, before = written(edges, "edges"), None
+    edges, before = written(edges, "edges", folder), None
     while True:
         mark = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == before or not mark[0]:
             break
         before = mark
-        edges = written(_star(_star(edges, True), False), "edges")
+        edges = written(_star(_star(edges, True), False), "edges", folder)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -31,7 +31,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidebar.llm import words as W
 from tidebar.llm.components import connected
-from tidebar.llm.tables import written
+from tidebar.llm.tables import removed, written
+from tidebar.session import scratch_path
 
 BUCKETS = 1 << 18
 SALTS = 64
@@ -209,7 +210,8 @@ def _places(members: DataFrame) -> DataFrame:
     return own.unionByName(first)
 
 
-def _matrix_links(shared: DataFrame, texts: DataFrame, known: DataFrame, n: int, percent: int, largest: bool) -> DataFrame:
+def _matrix_links(shared: DataFrame, texts: DataFrame, known: DataFrame, n: int, percent: int, largest: bool,
+                  folder: str) -> DataFrame:
     """Links between components, by the matrix of prefix n-grams against parts of components.  A set asks the parts of
     components larger than its own (ties: by number) that hold one of its prefix n-grams in a set of fitting size;
     with `largest`, only those of the largest component of the n-gram."""
@@ -221,7 +223,7 @@ def _matrix_links(shared: DataFrame, texts: DataFrame, known: DataFrame, n: int,
                            F.pmod(F.xxhash64("set_id"), cuts).alias("part"))
     rows = shared.join(places.select("set_id", "rank", "group", "part"), "set_id")
     torn = rows.groupBy("token").agg(F.min("rank").alias("a"), F.max("rank").alias("top")).where("a < top").drop("a")
-    rows = written(rows.join(torn, "token"), "torn")
+    rows = written(rows.join(torn, "token"), "torn", folder)
     holders = rows.where(F.col("rank") == F.col("top")) if largest else rows
     # a link of sizes x and y needs percent * (x + y) / (100 + percent) common n-grams, so a first common one at place
     # i of x has (100 + percent) * i <= 100 * x - percent * y
@@ -232,7 +234,7 @@ def _matrix_links(shared: DataFrame, texts: DataFrame, known: DataFrame, n: int,
     sent = q.join(m, (F.col("q.token") == F.col("m.token")) & (F.col("q.rank") < F.col("m.rank"))
                   & (100 * F.col("q.size") >= percent * F.col("least")) & (100 * F.col("most") >= percent * F.col("q.size"))
                   & (F.col("q.own_reach") >= percent * F.col("least")) & (F.col("m.reach") >= percent * F.col("q.size")))
-    sent = written(sent.select("q.set_id", F.col("q.group").alias("component"), "m.group", "m.part").distinct(), "sent")
+    sent = written(sent.select("q.set_id", F.col("q.group").alias("component"), "m.group", "m.part").distinct(), "sent", folder)
     opened = places.join(sent.select("group", "part").distinct(), ["group", "part"]).select(
         "set_id", F.col("group").alias("component"), "group", "part")
     both = sent.withColumn("asks", F.lit(True)).unionByName(opened.withColumn("asks", F.lit(False)))
@@ -241,10 +243,10 @@ def _matrix_links(shared: DataFrame, texts: DataFrame, known: DataFrame, n: int,
 
 def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
-    spark = docs.sparkSession
+    spark, folder = docs.sparkSession, scratch_path(docs.sparkSession, "jaccard")
     docs = docs.select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(text).alias("text_key"),
                        F.col(text).cast("string").alias("text"))
-    found = written(profile(docs, n), "sets")
+    found = written(profile(docs, n), "sets", folder)
     counts = spark.sparkContext.broadcast(frequencies(spark, found))
     names = found.where("bucket is null").select("doc", "text_key", "set_id", "size", "group")
 
@@ -252,28 +254,30 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: i
     met = Window.partitionBy("token", "salt")
     rows = prefixes(docs, n, percent, counts).repartition("token", "salt").dropDuplicates(["token", "salt", "set_id"])
     rows = rows.withColumn("first", F.min("set_id").over(met)).withColumn("last", F.max("set_id").over(met))
-    shared = written(rows.where("first < last or salt > 0").select("token", "set_id", "size", "place"), "prefixes")
+    shared = written(rows.where("first < last or salt > 0").select("token", "set_id", "size", "place"), "prefixes", folder)
 
     bearer = names.where("set_id is not null and doc is not null").groupBy("set_id").agg(
         F.min(F.struct("doc", "text_key")).alias("at"), F.min("group").alias("group"))
     wanted = bearer.join(shared.select("set_id").distinct(), "set_id").select("at.*", "set_id", "group")
     on = ["doc", "text_key"]                    # rows repeated as a whole give one
     texts = docs.join(wanted, on).groupBy(*on, "set_id", "group").agg(F.max("text").alias("text")).drop(*on)
-    texts = written(texts, "texts")
+    texts = written(texts, "texts", folder)
 
     members = _places(texts.select("set_id", "group")).where("members > 1")
     links = within_parts(members.join(texts.select("set_id", "text"), "set_id"), n, percent).where("set_id <> other")
-    known = written(connected(links, "set_id", "other").withColumnRenamed("node", "set_id"), "known")
+    known = written(connected(links, "set_id", "other", folder).withColumnRenamed("node", "set_id"), "known", folder)
 
     # first only against the largest component of each n-gram, which takes in most; then against all
     for largest in (True, False):
-        links = _matrix_links(shared, texts, known, n, percent, largest)
+        links = _matrix_links(shared, texts, known, n, percent, largest, folder)
         links = links.unionByName(known.select("set_id", F.col("component").alias("other")))
-        known = written(connected(links, "set_id", "other").withColumnRenamed("node", "set_id"), "known")
+        known = written(connected(links, "set_id", "other", folder).withColumnRenamed("node", "set_id"), "known", folder)
     final = known
 
     rows = names.join(final, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     least = rows.where("component is not null").groupBy("component").agg(F.min("doc").alias("least"))
-    return rows.join(least, "component", "left").select(
+    found = written(rows.join(least, "component", "left").select(
         F.col("doc").alias("doc_id"), F.col("size").cast("long").alias("n_shingles"),
-        F.coalesce("least", "doc").alias("component_id"))
+        F.coalesce("least", "doc").alias("component_id")), "components")
+    removed(spark, folder)
+    return found

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidebar.session import scratch_path
@@ -18,13 +20,22 @@ def carried(docs: DataFrame, *made: str) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in made])
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """The rows as a table in the shared folder: computed once, and safe from lost executors."""
-    spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
+def written(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
+    """The rows as a table in the shared folder: computed once, and safe from lost executors.  With `folder`, a scratch
+    folder that its owner removes once nothing reads from it any more."""
+    spark = df.sparkSession
+    path = f"{folder}/{label}-{uuid.uuid4().hex}" if folder else scratch_path(spark, label)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, folder: str) -> None:
+    """Delete a scratch folder through Spark's own file system."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fits(df: DataFrame, bytes_per_row, most: int = BROADCAST_BYTES) -> bool:
     """Whether the measured size of all rows is under the bound of a broadcast."""
     return (df.select(F.sum(bytes_per_row).alias("n")).first()["n"] or 0) <= most
