@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidebar.llm.tables import carried
+from tidebar.llm.tables import carried, small_or_shuffled, written
 from tidebar.llm.words import text_slices
 
 ORDER = 3
@@ -42,6 +42,8 @@ def sample(docs: DataFrame, doc_id: str, text: str, lang: str, chars: int = TRAI
                        F.col(text).cast("string").alias("text"), held_out(doc_id).alias("out"))
     rows = rows.where("not out and lang is not null and text is not null")
     sizes = rows.groupBy("lang").agg(F.sum(F.length("text")).alias("n"), F.min("h").alias("least"))
+    # one row per language: broadcast under a measured bound, so that no text is shuffled to the tasks of a few languages
+    sizes = small_or_shuffled(written(sizes, "languages"), F.octet_length("lang") + 32)
     share = F.pmod("h", F.lit(1 << 20)) < F.lit(float(chars)) / F.greatest("n", F.lit(1)) * (1 << 20)
     return rows.join(sizes, "lang").where(share | (F.col("h") == F.col("least"))).select("lang", "text")
 
