@@ -162,6 +162,7 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     common = limits.where("every").first()
     common = common["limit"] if common else 8.0
     limits = limits.where("not every").select(F.col("lang").alias("limit_lang"), "limit")
+    limits = small_or_shuffled(written(limits, "limits"), F.lit(64))            # one row per language
     out = scored.join(limits, F.col("lang").eqNullSafe(F.col("limit_lang")), "left")
     limit = F.coalesce("limit", F.lit(common))
     return out.select("row.*", "n_bytes", F.exp(F.col("per_byte") * np.log(2)).alias("perplexity"),
