@@ -23,6 +23,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import SparkSession, functions as F
 
+from tidebar.llm.tables import bounded_batches
+
 BLOCK = 1 << 16           # bytes of a part whose token lists are held together
 KEEP_PART = 48            # longest part whose ids are kept for its next occurrence
 KEEP_PARTS = 400_000      # parts kept by a worker, and as many of the table before
@@ -166,6 +168,7 @@ def _codec(ranks: bytes, pattern: str) -> Codec:
 
 def encoder(spark: SparkSession, ranks_path: str, pattern: str):
     """A column function: text -> array of token ids.  The vocabulary is broadcast; its file bounds its size."""
+    bounded_batches(spark)
     ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))
 
     def encode(texts: pa.Array) -> pa.Array:
@@ -182,6 +185,7 @@ def encoder(spark: SparkSession, ranks_path: str, pattern: str):
 
 def decoder(spark: SparkSession, ranks_path: str, pattern: str):
     """A column function: array of token ids -> bytes."""
+    bounded_batches(spark)
     ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))
 
     def decode(ids: pa.Array) -> pa.Array:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidebar.llm import words as W
 from tidebar.llm.components import connected
-from tidebar.llm.tables import removed, written
+from tidebar.llm.tables import bounded_batches, removed, written
 from tidebar.session import scratch_path
 
 BUCKETS = 1 << 18
@@ -244,6 +244,7 @@ def _matrix_links(shared: DataFrame, texts: DataFrame, known: DataFrame, n: int,
 def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     spark, folder = docs.sparkSession, scratch_path(docs.sparkSession, "jaccard")
+    bounded_batches(spark)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(text).alias("text_key"),
                        F.col(text).cast("string").alias("text"))
     found = written(profile(docs, n), "sets", folder)

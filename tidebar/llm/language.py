@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidebar.llm.tables import carried, small_or_shuffled, written
+from tidebar.llm.tables import bounded_batches, carried, small_or_shuffled, written
 from tidebar.llm.words import text_slices
 
 ORDER = 3
@@ -130,6 +130,7 @@ def _trees(packed: bytes) -> tuple[list[str], list[Tree]]:
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", chars: int = TRAIN_CHARS) -> bytes:
     """The frozen counts of all languages, as Arrow bytes."""
+    bounded_batches(docs.sparkSession)
     table = gram_counts(sample(docs, doc_id, text, lang, chars)).toArrow().combine_chunks()
     table = table.sort_by([("lang", "ascending"), ("gram", "ascending")])
     sink = pa.BufferOutputStream()
@@ -140,6 +141,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 
 def predict(docs: DataFrame, model: bytes, text: str = "text") -> DataFrame:
     """`docs` with lang_pred and score, the share of the best language among all at equal priors."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(texts: pa.Array) -> pa.Array:

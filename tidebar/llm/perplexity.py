@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidebar.llm.tables import carried, small_or_shuffled, written
+from tidebar.llm.tables import bounded_batches, carried, small_or_shuffled, written
 from tidebar.llm.words import byte_grams, text_slices
 
 ORDER = 4
@@ -137,6 +137,7 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
              quantile: float = QUANTILE) -> DataFrame:
     """`docs` without its text, with n_bytes, perplexity (per byte), threshold and kept.  `labels` has the ids of
     trusted documents, in a column named like the documents' id."""
+    bounded_batches(docs.sparkSession)
     trusted = labels.select(F.col(doc_id).alias("trusted_id")).where("trusted_id is not null").distinct()
     trusted = small_or_shuffled(trusted, F.lit(24))
     rows = docs.select(carried(docs, text.lower(), "n_bytes", "perplexity", "threshold", "kept").alias("row"), F.col(doc_id).alias("id"), F.col(lang).cast("string").alias("lang"),

@@ -24,7 +24,7 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidebar.llm.tables import carried
+from tidebar.llm.tables import bounded_batches, carried
 
 KEEP_SHARE = 0.5
 MIN_WORDS = 10
@@ -104,6 +104,7 @@ def _judge_all(texts: pa.Array) -> pa.Array:
 
 def clean_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with the base figures, base_failed, kept, n_kept_words and cleaned (the lines that stay)."""
+    bounded_batches(docs.sparkSession)
     judged = F.arrow_udf(_judge_all, FIELDS)(F.coalesce(F.col(text).cast("string"), F.lit("")))
     rows = docs.select(carried(docs, *NAMES).alias("row"), judged.alias("judged"))
     return rows.select("row.*", "judged.*")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidebar.llm import words as W
-from tidebar.llm.tables import carried, written
+from tidebar.llm.tables import bounded_batches, carried, written
 
 LENGTH = 50
 GRAM = 8
@@ -283,6 +283,7 @@ def matched(routes: DataFrame, shards: int, length: int = LENGTH) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """Word spans (start, stop) to remove, by doc and text_key (xxhash64 of the text)."""
+    bounded_batches(docs.sparkSession)
     cands = written(candidates(written(segments(docs, doc_id, text, length), "anchors")), "candidates")
     reference = cands.where("split or owner = doc").agg(F.sum("n")).first()[0] or 0
     shards = 1 + int(reference) // SHARD_WORDS

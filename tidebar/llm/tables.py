@@ -9,12 +9,21 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tidebar.session import scratch_path
 
 BROADCAST_BYTES = 32 << 20
+BATCH_ROWS = 1000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on the session hands Python workers batches of at most BATCH_ROWS rows, so that a worker holds a few
+    megabytes of text and its results at a time.  A smaller setting of the cluster stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def carried(docs: DataFrame, *made: str) -> Column:
     """All columns of `docs` as one struct, but those an operator makes itself: its own replace them."""
     return F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in made])

@@ -22,6 +22,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidebar.llm.bpe import read_ranks
+from tidebar.llm.tables import bounded_batches
 
 KEY = ["source", "lang", "tokenizer"]
 DELTA = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
@@ -37,6 +38,7 @@ def _encoding(ranks: bytes, pattern: str) -> tiktoken.Encoding:
 
 def counter(spark: SparkSession, ranks_path: str, pattern: str):
     """A column function: text -> number of tokens under a vocabulary file."""
+    bounded_batches(spark)
     ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))
 
     def count(texts: pa.Array) -> pa.Array:

@@ -1,6 +1,6 @@
 """Vectorised words, word hashes and sliding hashes over Arrow string batches.
 
-Words are split at ASCII white space.  Everything works on slices of a few megabytes of text, so a task's memory
+Words are split at ASCII white space.  Everything works on slices of half a megabyte of text, so a task's memory
 does not follow the batch; a single longer text makes a slice of its own.
 """
 
@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _MULT_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _WORD_MULT = np.uint64(0xD6E8FEB86659FD93)
@@ -56,7 +56,7 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64, kept for the next slice up to a bound."""
     have = _POWERS.get(int(base))
     if have is None or len(have) < n:
-        have = np.full(max(n, SLICE_BYTES // 4), base, np.uint64)
+        have = np.full(max(n, SLICE_BYTES), base, np.uint64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
         if len(have) <= 2 * SLICE_BYTES:
