@@ -55,6 +55,20 @@ def test_substring_dedup_of_random_overlaps(spark):
     assert {(r["doc_id"], r["text"]): r["kept_words"] for r in got.collect()} == expected
 
 
+def test_a_passage_in_new_surroundings_everywhere_is_salted(spark, monkeypatch):
+    """Edge segments differ in every document, so all windows get their owner one by one; their load counts as well."""
+    monkeypatch.setattr(substring_dedup, "QUERY_WORDS", 200)
+    passage, seen, dealt = words(30, 24), [], substring_dedup.dealt
+    rows = [(d, " ".join(words(1000 + d, 30, 4000) + passage + words(2000 + d, 30, 4000))) for d in range(60)]
+    monkeypatch.setattr(substring_dedup, "dealt", lambda *a: seen.append(dealt(*a)) or seen[0])
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length=20).collect()
+    assert {(r["doc_id"], r["text"]): r["kept_words"] for r in got} == kept_words(rows, 20)
+    tasks = defaultdict(int)
+    for r in seen[0].where("owner < doc").collect():
+        tasks[r["shard"], r["salt"]] += len(r["words"].split(" "))
+    assert sum(tasks.values()) >= 59 * 24 and max(tasks.values()) <= 2 * 200
+
+
 def test_automaton_on_plain_sequences():
     auto = substring_dedup.Automaton()
     for doc, numbers in ((4, [1, 2, 3, 4, 5]), (2, [3, 4, 5, 6])):

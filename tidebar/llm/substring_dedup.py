@@ -10,7 +10,8 @@ smaller id.  How the work is spread:
    of a minimiser differ (a passage's edge, a near copy's edit), one segment of each kind is taken apart into its
    windows, and each window gets an owner.  Groups are only ever reduced to a minimum, never gathered.
 3. Owners' passages are the reference.  They are dealt into shards of about `SHARD_WORDS` words; the passages of later
-   documents are routed to their owner's shard.  A shard with many queries is copied to several tasks (salted).
+   documents are routed to their owner's shard.  The routed words are counted per shard; one with many queries is
+   copied to several tasks (salted).
 4. A task builds the suffix automaton of its shard, over whole words.  Each state knows the smallest document of
    its end positions.  Routed passages are streamed through it; where the matching statistic reaches `length` in an
    earlier document, the words go.  So hashes choose candidates only, the automaton decides on the words.
@@ -83,11 +84,11 @@ def candidates(rows: DataFrame) -> DataFrame:
 
 def pieces(docs: DataFrame, cands: DataFrame, doc_id: str, text: str, length: int = LENGTH) -> DataFrame:
     """The words of each document under candidate windows, one row per maximal passage, with its segments."""
-    by_doc = cands.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", "n", "owner", "salts", "split")))
+    by_doc = cands.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", "n", "owner", "split")))
                                       .alias("segs"))
     source = docs.select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(text).alias("text_key"),
                          F.col(text).cast("string").alias("text"))
-    seg = "array<struct<start:int,n:int,owner:long,salts:int,split:boolean>>"
+    seg = "array<struct<start:int,n:int,owner:long,split:boolean>>"
 
     def cut(batches):
         for batch in batches:
@@ -110,7 +111,7 @@ def pieces(docs: DataFrame, cands: DataFrame, doc_id: str, text: str, length: in
                         group.append(s)
             if rows["doc"]:
                 kind = pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32()), ("owner", pa.int64()),
-                                           ("salts", pa.int32()), ("split", pa.bool_())]))
+                                           ("split", pa.bool_())]))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(rows["doc"], pa.int64()), pa.array(rows["text_key"], pa.int64()),
                      pa.array(rows["start"], pa.int32()), pa.array(rows["words"], pa.string()),
@@ -149,44 +150,39 @@ def window_owners(passages: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def routed(passages: DataFrame, owned: DataFrame, length: int = LENGTH) -> DataFrame:
     """Reference passages (owner = doc) and query passages (owner < doc), as runs of windows with one owner."""
-    by_doc = owned.groupBy("doc").agg(F.collect_list(F.struct("at", "owner", "salts")).alias("single"))
+    by_doc = owned.groupBy("doc").agg(F.collect_list(F.struct("at", "owner")).alias("single"))
 
     def runs(batches):
         for batch in batches:
-            rows = {k: [] for k in ("owner", "salts", "doc", "text_key", "start", "words")}
+            rows = {k: [] for k in ("owner", "doc", "text_key", "start", "words")}
             for doc, key, start, text, segs, single in zip(*(batch.column(k).to_pylist() for k in range(6))):
                 own = text.split(" ")
                 n = len(own) - length + 1
                 owner = np.full((2, n), -1, np.int64)      # 0: owned by this document, 1: by an earlier one
-                salts = np.ones(n, np.int32)
                 for s in segs:
                     if s["owner"] is not None:
-                        span = slice(s["start"], s["start"] + s["n"])
-                        owner[int(s["owner"] != doc), span] = s["owner"]
-                        salts[span] = np.maximum(salts[span], s["salts"])
+                        owner[int(s["owner"] != doc), s["start"]:s["start"] + s["n"]] = s["owner"]
                 for x in single or ():
                     at = x["at"] - start
                     if 0 <= at < n:
                         owner[int(x["owner"] != doc), at] = x["owner"]
-                        salts[at] = max(salts[at], x["salts"])
                 for line in owner:
                     cuts = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
                     for a, b in zip(cuts, np.r_[cuts[1:], n]):
                         if line[a] >= 0 or line[a] < -1:
                             rows["owner"].append(int(line[a]))
-                            rows["salts"].append(int(salts[a:b].max()))
                             rows["doc"].append(doc)
                             rows["text_key"].append(key)
                             rows["start"].append(start + int(a))
                             rows["words"].append(" ".join(own[a:b + length - 1]))
             if rows["doc"]:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows["owner"], pa.int64()), pa.array(rows["salts"], pa.int32()),
-                     pa.array(rows["doc"], pa.int64()), pa.array(rows["text_key"], pa.int64()),
-                     pa.array(rows["start"], pa.int32()), pa.array(rows["words"], pa.string())], names=list(rows))
+                    [pa.array(rows["owner"], pa.int64()), pa.array(rows["doc"], pa.int64()),
+                     pa.array(rows["text_key"], pa.int64()), pa.array(rows["start"], pa.int32()),
+                     pa.array(rows["words"], pa.string())], names=list(rows))
 
     return passages.join(by_doc, "doc", "left").select("doc", "text_key", "start", "words", "segs", "single").mapInArrow(
-        runs, "owner long, salts int, doc long, text_key long, start int, words string")
+        runs, "owner long, doc long, text_key long, start int, words string")
 
 
 class Automaton:
@@ -252,14 +248,21 @@ class Automaton:
         return [(a, b) for a, b in spans]
 
 
-def matched(routes: DataFrame, shards: int, length: int = LENGTH) -> DataFrame:
-    """doc, text_key, start, stop of words to remove, decided by the automaton of each shard."""
-    shard = F.pmod(F.xxhash64("owner"), F.lit(shards))
+def dealt(routes: DataFrame, shards: int) -> DataFrame:
+    """Routed passages with shard and salt.  A shard has one salt per QUERY_WORDS words of the query passages routed to
+    it, whichever way they got their owner; a query goes to one salt, the shard's reference to each."""
+    routes = routes.withColumn("shard", F.pmod(F.xxhash64("owner"), F.lit(shards)))
+    load = (routes.where("owner < doc").groupBy("shard")
+            .agg((F.lit(1) + F.floor(F.sum(F.size(F.split("words", " "))) / QUERY_WORDS)).cast("int").alias("salts")))
+    routes = routes.join(load, "shard", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
     is_ref = F.col("owner") == F.col("doc")
     salt = F.when(is_ref, F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(
         F.array(F.pmod(F.xxhash64("doc", "start"), F.col("salts")).cast("int")))
-    dealt = routes.select(shard.alias("shard"), F.explode(salt).alias("salt"), "owner", "doc", "text_key", "start", "words")
+    return routes.select("shard", F.explode(salt).alias("salt"), "owner", "doc", "text_key", "start", "words")
 
+
+def matched(routes: DataFrame, shards: int, length: int = LENGTH) -> DataFrame:
+    """doc, text_key, start, stop of words to remove, decided by the automaton of each shard."""
     def match(table: pa.Table) -> pa.Table:
         owner, doc, key, start, text = (table.column(k).to_pylist() for k in ("owner", "doc", "text_key", "start", "words"))
         auto, numbers = Automaton(), {}
@@ -278,7 +281,7 @@ def matched(routes: DataFrame, shards: int, length: int = LENGTH) -> DataFrame:
         return pa.table([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))],
                         names=["doc", "text_key", "start", "stop"])
 
-    return dealt.groupBy("shard", "salt").applyInArrow(match, "doc long, text_key long, start int, stop int")
+    return dealt(routes, shards).groupBy("shard", "salt").applyInArrow(match, "doc long, text_key long, start int, stop int")
 
 
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
@@ -287,15 +290,9 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     cands = written(candidates(written(segments(docs, doc_id, text, length), "anchors")), "candidates")
     reference = cands.where("split or owner = doc").agg(F.sum("n")).first()[0] or 0
     shards = 1 + int(reference) // SHARD_WORDS
-    load = (cands.where("owner < doc").groupBy(F.pmod(F.xxhash64("owner"), F.lit(shards)).alias("shard"))
-            .agg((F.lit(1) + F.floor(F.sum("n") / QUERY_WORDS)).cast("int").alias("salts")))
-
-    def salted(rows):
-        rows = rows.withColumn("shard", F.pmod(F.xxhash64("owner"), F.lit(shards)))
-        return rows.join(load, "shard", "left").withColumn("salts", F.coalesce("salts", F.lit(1))).drop("shard")
-
-    passages = written(pieces(docs, salted(cands), doc_id, text, length), "passages")
-    return matched(routed(passages, salted(window_owners(passages, length)), length), shards, length)
+    passages = written(pieces(docs, cands, doc_id, text, length), "passages")
+    routes = written(routed(passages, window_owners(passages, length), length), "routes")
+    return matched(routes, shards, length)
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
