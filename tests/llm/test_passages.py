@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import pytest
 from llm.conftest_llm import awkward_texts, single, words
+from pyspark.sql import functions as F
 from tidebar.llm import components, decontaminate, jaccard_join, substring_dedup
 
 
@@ -165,6 +166,34 @@ def test_components_equal_brute_force(awkward, n, percent):
     assert ordered(got) == ordered(linked([(i, t) for i, t, _ in awkward_texts()], n, percent))
 
 
+def test_sets_that_ask_a_part_come_in_slices(spark, monkeypatch):
+    """A crowd of near copies is asked by a family that shares rare n-grams with it but stays under the threshold; what
+    differs is frequent elsewhere, so the rare ones stand in the prefixes."""
+    monkeypatch.setattr(jaccard_join, "PART", 8)
+    seen, across = [], jaccard_join.across_parts
+    monkeypatch.setattr(jaccard_join, "across_parts", lambda rows, *a: seen.append(rows.drop("text").collect()) or across(rows, *a))
+    head, tail, chunks = words(40, 20), words(41, 80), [words(50 + k, 40) for k in range(17)]
+    pairs = [(a, b) for a in range(17) for b in range(a)]
+    rows = [(d, " ".join(head + tail[:10 + 3 * d] + [f"own{d}"] + tail[11 + 3 * d:])) for d in range(20)]
+    rows += [(100 + d, " ".join(head + chunks[a] + chunks[b])) for d, (a, b) in enumerate(pairs[:120])]
+    rows += [(1000 + d, " ".join(sum(chunks, tail))) for d in range(150)]
+    got = [tuple(r) for r in jaccard_join.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert ordered(got) == ordered(linked(rows, 4, 85))
+    groups = defaultdict(lambda: [0, 0])
+    for r in seen[0] + seen[1]:
+        groups[tuple(r[k] for k in r.__fields__ if k in ("group", "part", "slice"))][not r["asks"]] += 1
+    assert sum(n for n, _ in groups.values()) > 100 and max(n for n, _ in groups.values()) <= 4 * 8
+    assert all(members for _, members in groups.values())
+
+
+def test_counters_follow_the_corpus(spark):
+    docs = spark.range(1).select(F.repeat(F.lit("x"), 1 << 20).alias("text"))
+    assert jaccard_join.counters(docs) == jaccard_join.BUCKETS
+    docs = spark.range(1 << 10).select(F.repeat(F.lit("x"), 1 << 20).alias("text"))
+    assert jaccard_join.counters(docs) == 1 << 20
+    assert jaccard_join.counters(docs.limit(0)) == jaccard_join.BUCKETS
+
+
 @pytest.mark.parametrize("part", [3, 256])
 def test_components_of_chains_and_crowds(spark, part, monkeypatch):
     monkeypatch.setattr(jaccard_join, "PART", part)

@@ -4,15 +4,17 @@ Two sets link if their Jaccard similarity is at least `percent` / 100, exactly.
 links inside what is connected already need not be tested.
 
 1. Each text becomes a set of hashed n-grams.  Equal sets are one set from here on.
-2. A global order of n-grams, rare ones first, comes from a table of 2**18 counters over all n-grams of the corpus
-   (any order is exact, this one is selective).  Similar sets share an n-gram in their prefixes of that order.
+2. A global order of n-grams, rare ones first, comes from a table of counters over all n-grams of the corpus, one per
+   `COUNTER_BYTES` of text between 2**18 and 2**22, which is a broadcast of 32 MB (any order is exact, this one is
+   selective).  Similar sets share an n-gram in their prefixes of that order.
 3. Sets that share a prefix n-gram with others are partitioned into groups of similar ones, by the smallest hash of
    their n-grams.  Large groups are cut into parts of about `PART` sets, and each part also gets the group's first set.
 4. In a part, sets are taken one by one.  Each component found so far holds the union of its n-grams; a set that has
    too few n-grams in that union cannot link to any member, and the component stays closed.  Opened ones are compared
    exactly, up to the first link.
 5. The matrix of prefix n-grams against parts of components then tells which parts could link to a set of a smaller
-   component, by the sizes and by the places of the n-gram in both prefixes.  The set is sent there; the union bound and the comparison as above.  At first only the largest component
+   component, by the sizes and by the places of the n-gram in both prefixes.  The set is sent there; the union bound and the comparison as above.  Sets that ask a part
+   are cut into slices of about `PART`, each with a copy of the part.  At first only the largest component
    of each n-gram is asked, so that a crowd of copies is one component before all others are asked.
 
 Frequent n-grams are spread by a salt before they are grouped, groups are bounded, and only minima are taken over
@@ -34,7 +36,8 @@ from tidebar.llm.components import connected
 from tidebar.llm.tables import bounded_batches, removed, written
 from tidebar.session import scratch_path
 
-BUCKETS = 1 << 18
+BUCKETS, MOST_BUCKETS = 1 << 18, 1 << 22
+COUNTER_BYTES = 2048
 SALTS = 64
 HOT = 16              # an n-gram in a bucket with so many times the mean count is salted
 PART = 256
@@ -61,11 +64,21 @@ def set_id(grams: np.ndarray) -> int:
     return int(W.signed(W.sequence_hash(grams, np.array([0]), np.array([len(grams)])))[0])
 
 
-def profile(docs: DataFrame, n: int) -> DataFrame:
+def counters(docs: DataFrame) -> int:
+    """How many counters of n-grams a corpus gets: a power of two, in proportion to its bytes."""
+    size = docs.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    return min(max(BUCKETS, 1 << (size // COUNTER_BYTES).bit_length()), MOST_BUCKETS)
+
+
+def _bucket(grams: np.ndarray, buckets: int) -> np.ndarray:
+    return (grams >> np.uint64(65 - buckets.bit_length())).astype(np.int64)
+
+
+def profile(docs: DataFrame, n: int, buckets: int = BUCKETS) -> DataFrame:
     """One row per document (doc, text_key, set_id, size, group: the smallest hash) and, per task, counts of n-grams by
     bucket (bucket, n).  `docs`: doc, text_key, text."""
     def scan(batches):
-        counts = np.zeros(BUCKETS, np.int64)
+        counts = np.zeros(buckets, np.int64)
         names = ["doc", "text_key", "set_id", "size", "group", "bucket", "n"]
         for batch in batches:
             ids, sizes, groups = [], [], []
@@ -73,7 +86,7 @@ def profile(docs: DataFrame, n: int) -> DataFrame:
                 sizes.append(len(grams))
                 ids.append(set_id(grams) if len(grams) else None)
                 groups.append(int(W.signed(W.mix(grams).min(keepdims=True))[0]) if len(grams) else None)
-                counts += np.bincount((grams >> np.uint64(46)).astype(np.int64), minlength=BUCKETS)
+                np.add.at(counts, _bucket(grams, buckets), 1)
             empty = pa.nulls(len(sizes), pa.int32()), pa.nulls(len(sizes), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()),
                                               pa.array(groups, pa.int64()), *empty], names=names)
@@ -84,10 +97,10 @@ def profile(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(scan, "doc long, text_key long, set_id long, size int, group long, bucket int, n long")
 
 
-def frequencies(spark: SparkSession, found: DataFrame) -> bytes:
-    """The counters of all buckets, a table of fixed size."""
+def frequencies(spark: SparkSession, found: DataFrame, buckets: int = BUCKETS) -> bytes:
+    """The counters of all buckets, a table of bounded size."""
     table = found.where("bucket is not null").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(BUCKETS, np.int64)
+    counts = np.zeros(buckets, np.int64)
     counts[table["bucket"].to_numpy()] = table["n"].to_numpy()
     return counts.tobytes()
 
@@ -96,7 +109,7 @@ def prefixes(docs: DataFrame, n: int, percent: int, counts) -> DataFrame:
     """ROWS of every set: its prefix n-grams and their places in the order; a task gives equal sets once."""
     def scan(batches):
         frequency = np.frombuffer(counts.value, np.int64)
-        hot, seen = HOT * (1 + frequency.sum() // BUCKETS), set()
+        hot, seen = HOT * (1 + frequency.sum() // len(frequency)), set()
         for batch in batches:
             out = []
             for grams in text_sets(batch.column(0), n):
@@ -105,7 +118,7 @@ def prefixes(docs: DataFrame, n: int, percent: int, counts) -> DataFrame:
                     continue
                 seen.add(name)
                 keep = size + (-percent * size) // 100 + 1
-                often = frequency[(grams >> np.uint64(46)).astype(np.int64)]
+                often = frequency[_bucket(grams, len(frequency))]
                 order = np.lexsort((grams, often))[:keep]
                 salt = np.where(often[order] > hot, 1 + name % SALTS, 0).astype(np.int32)
                 out.append((grams[order], salt, np.full(keep, name), np.full(keep, size, np.int32), np.arange(keep, dtype=np.int32)))
@@ -176,7 +189,7 @@ def within_parts(sets: DataFrame, n: int, percent: int) -> DataFrame:
 
 def across_parts(rows: DataFrame, n: int, percent: int) -> DataFrame:
     """set_id, other: links of the sets that ask a part to members of other components in it.  `rows`: set_id,
-    component, asks, text, group, part."""
+    component, asks, text, group, part, slice."""
     def work(table: pa.Table) -> pa.Table:
         parts: dict[int, list] = {}
         asking, grams = [], text_sets(table["text"].combine_chunks(), n)
@@ -195,7 +208,19 @@ def across_parts(rows: DataFrame, n: int, percent: int) -> DataFrame:
                 out.append((name, groups.parts[place][2][0]))
         return pa.table([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["set_id", "other"])
 
-    return rows.groupBy("group", "part").applyInArrow(work, "set_id long, other long")
+    return rows.groupBy("group", "part", "slice").applyInArrow(work, "set_id long, other long")
+
+
+def sliced(sent: DataFrame, opened: DataFrame) -> DataFrame:
+    """set_id, component, group, part, asks, slice: the sets that ask a part in slices of about PART, and the part's own
+    sets in each slice."""
+    part = ["group", "part"]
+    slices = sent.groupBy(*part).agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("slices"))
+    asking = sent.join(slices, part).select("set_id", "component", *part, F.lit(True).alias("asks"),
+                                            F.pmod(F.xxhash64("set_id", "part"), F.col("slices")).cast("int").alias("slice"))
+    asked = opened.join(slices, part).select("set_id", "component", *part, F.lit(False).alias("asks"),
+                                             F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+    return asking.unionByName(asked)
 
 
 def _places(members: DataFrame) -> DataFrame:
@@ -235,10 +260,8 @@ def _matrix_links(shared: DataFrame, texts: DataFrame, known: DataFrame, n: int,
                   & (100 * F.col("q.size") >= percent * F.col("least")) & (100 * F.col("most") >= percent * F.col("q.size"))
                   & (F.col("q.own_reach") >= percent * F.col("least")) & (F.col("m.reach") >= percent * F.col("q.size")))
     sent = written(sent.select("q.set_id", F.col("q.group").alias("component"), "m.group", "m.part").distinct(), "sent", folder)
-    opened = places.join(sent.select("group", "part").distinct(), ["group", "part"]).select(
-        "set_id", F.col("group").alias("component"), "group", "part")
-    both = sent.withColumn("asks", F.lit(True)).unionByName(opened.withColumn("asks", F.lit(False)))
-    return across_parts(both.join(texts.select("set_id", "text"), "set_id"), n, percent)
+    opened = places.select("set_id", F.col("group").alias("component"), "group", "part")
+    return across_parts(sliced(sent, opened).join(texts.select("set_id", "text"), "set_id"), n, percent)
 
 
 def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
@@ -247,8 +270,9 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: i
     bounded_batches(spark)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(text).alias("text_key"),
                        F.col(text).cast("string").alias("text"))
-    found = written(profile(docs, n), "sets", folder)
-    counts = spark.sparkContext.broadcast(frequencies(spark, found))
+    buckets = counters(docs)
+    found = written(profile(docs, n, buckets), "sets", folder)
+    counts = spark.sparkContext.broadcast(frequencies(spark, found, buckets))
     names = found.where("bucket is null").select("doc", "text_key", "set_id", "size", "group")
 
     # prefix n-grams that several sets share; a salted one is shared across salts
