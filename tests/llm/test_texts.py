@@ -2,7 +2,9 @@
 
 import math
 import random
+import textwrap
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import public_tokenizers
 import pytest
@@ -262,6 +264,19 @@ def test_licences(spark, no_docs):
     assert licences.scan(docs, known=own).first()["whole_licence"] == "house"
 
 
+def test_whole_licence_files(spark):
+    mit = next(t for name, t in licences.KNOWN if name == "MIT" and len(t) > 500)
+    rows = [("MIT", "MIT License\n\nCopyright (c) 2020 Somebody\n\n" + textwrap.fill(mit, 78)),
+            ("MIT", "The MIT License (MIT)\n\nCopyright (c) 2020 Somebody\n\n" + textwrap.fill(mit, 70))]
+    for name in ("Apache-2.0", "BSD-3-Clause", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-1.1", "MPL-2.0"):
+        text = (Path(licences.__file__).parent / "licence_texts" / f"{name}.txt").read_text(encoding="utf-8")
+        rows.append((name, text.replace("\n", " \n  ").upper()))
+        if licences.END in text:
+            rows.append((name, text.split(licences.END)[0] + licences.END + "\n"))
+    docs = spark.createDataFrame([(k, name, text) for k, (name, text) in enumerate(rows)], "doc_id long, name string, text string")
+    assert [r["whole_licence"] for r in licences.scan(docs).orderBy("doc_id").collect()] == [name for name, _ in rows]
+
+
 # --- chat -----------------------------------------------------------------------------------------------------------
 
 def test_chat_rotation_equals_brute_force(spark):

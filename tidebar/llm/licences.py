@@ -3,8 +3,8 @@
 A text is brought into canonical form: lower case, copyright lines left out, equivalent spellings made one,
 punctuation and white space to single spaces.  The digest of the canonical form is looked up among the digests of
 known licences and licence notices.  Two units of every document are looked up whole: the document itself, and each
-of its lines (a notice usually stands on a line of its own).  The known side is the fixed list below, so its
-broadcast has a fixed size; a caller's own table is broadcast only under a measured bound.
+of its lines (a notice usually stands on a line of its own).  The known side is the fixed list below with the
+whole texts in `licence_texts`, so its broadcast has a fixed size; a caller's own table is broadcast only under a measured bound.
 
 Defined cases: a null or empty text matches nothing; lines without canonical words match nothing; a licence that
 stands twice in a document is listed once and counted twice; repeated documents are each returned; extra columns pass,
@@ -13,12 +13,14 @@ those named like a result are replaced.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidebar.llm.tables import carried, small_or_shuffled
 
-#: Identifiers with the texts and notices they are known by.
-KNOWN = (
+#: Identifiers with the short texts and notices they are known by.
+NOTICES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
                    "compliance with the License."),
@@ -53,6 +55,23 @@ KNOWN = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
+#: Title lines that may stand over a text without one of its own.
+TITLES = {"MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"),
+          "ISC": ("ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)")}
+END = "END OF TERMS AND CONDITIONS"
+
+
+def _full_texts():
+    """Whole texts, also without the appendix after the terms where there is one."""
+    for file in sorted((Path(__file__).parent / "licence_texts").glob("*.txt")):
+        text = file.read_text(encoding="utf-8")
+        yield file.stem, text
+        if END in text:
+            yield file.stem, text[:text.index(END) + len(END)]
+
+
+KNOWN = (*NOTICES, *((name, f"{title}\n{text}") for name, text in NOTICES if len(text) > 500 for title in TITLES[name]),
+         *_full_texts())
 #: Spellings that licence matching treats as one.
 SPELLINGS = (
     ("licence", "license"), ("sub-license", "sublicense"), ("sub license", "sublicense"), ("organisation", "organization"),
