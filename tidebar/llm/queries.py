@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidebar.llm import (bpe, chat, decontaminate, jaccard_join, language, licences, perplexity, quality_lines,
-                         substring_dedup, token_rollup)
+from tidebar.llm import (bag_search, bpe, chat, decontaminate, jaccard_join, language, licences, packing, perplexity,
+                         quality_lines, substring_dedup, token_rollup)
 from tidebar.llm.tables import read, written
 from tidebar.session import scratch_path
 
@@ -236,3 +236,36 @@ k AS (SELECT doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY p) AS kep
 SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n_kept, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN k USING (doc_id)
 """
+
+
+@query
+def op11_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole document cut into sequences of a power of two ids."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, keep_ids=False)
+    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op12_bag_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best of all documents for every benchmark item."""
+    return bag_search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=10)
+
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ORACLES["op12_bag_search"] = rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all({_FOLDED}, '{_TERM}') AS w FROM documents),
+c AS (SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d WHERE len(w) > 0),
+t AS MATERIALIZED (SELECT r, w AS term, count(*) AS tf FROM (SELECT r, unnest(w) AS w FROM d) GROUP BY 1, 2),
+i AS (SELECT item_id, term, count(*) AS often
+      FROM (SELECT item_id, unnest(regexp_extract_all({_FOLDED}, '{_TERM}')) AS term FROM benchmark) GROUP BY 1, 2),
+v AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight
+      FROM t, c GROUP BY term, n_docs),
+m AS (SELECT r, doc_id, 25 + (75 * len(w) * n_docs) // n_terms AS m FROM d, c WHERE len(w) > 0),
+s AS (SELECT item_id, doc_id, r, CAST(sum(often * weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+      FROM i JOIN v USING (term) JOIN t USING (term) JOIN m USING (r) GROUP BY 1, 2, 3)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+WHERE rank <= 10
+"""

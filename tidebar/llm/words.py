@@ -18,8 +18,8 @@ _WORD_MULT = np.uint64(0xD6E8FEB86659FD93)
 _WORD_INV = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[0x41:0x5B] += 0x20
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[0x41:0x5B] += 0x20
 
 
 def text_slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -90,7 +90,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
     """A 64-bit hash of each word; `lower` folds A-Z."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    values = (_LOWER[data] if lower else data).astype(np.uint64) + np.uint64(1)
+    values = (LOWER[data] if lower else data).astype(np.uint64) + np.uint64(1)
     return mix(_span_sums(values, _MULT, _MULT_INV, starts, ends) + (ends - starts).astype(np.uint64))
 
 
