@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidebar.llm import (bag_search, bpe, chat, decontaminate, jaccard_join, language, licences, packing, perplexity,
-                         quality_lines, substring_dedup, token_rollup)
+                         phrases, quality_lines, substring_dedup, token_rollup)
 from tidebar.llm.tables import read, written
 from tidebar.session import scratch_path
 
@@ -269,3 +269,29 @@ SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
 WHERE rank <= 10
 """
+
+
+@query
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 collocations of each language among phrases found a hundred times in all documents."""
+    return phrases.mine(read(spark, sf_dir, "documents"), support=100, longest=5, first=2000)
+
+
+ORACLES["op13_phrase_mining"] = rf"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_FOLDED}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS MATERIALIZED (SELECT lang, w FROM (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d) WHERE len(w) > 0),
+c AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM w GROUP BY 1),
+g AS (SELECT lang, k, array_to_string(w[i:i+k-1], ' ') AS phrase
+      FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k)),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*)::HUGEINT AS f FROM g GROUP BY 1, 2, 3 HAVING count(*) >= 100),
+x AS (SELECT lang, k, phrase, f AS a, unnest(range(1, k)) AS cut, string_split(phrase, ' ') AS w FROM f WHERE k >= 2),
+s AS (SELECT x.lang, x.phrase, a, p.f AS l, q.f AS r, n, cut, (1000 * a * n) // (p.f * q.f) AS score
+      FROM x JOIN c ON c.lang = x.lang
+      JOIN f p ON p.lang = x.lang AND p.phrase = array_to_string(w[1:cut], ' ')
+      JOIN f q ON q.lang = x.lang AND q.phrase = array_to_string(w[cut+1:], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+o AS (SELECT DISTINCT b.lang, b.phrase FROM b JOIN f ON f.lang = b.lang AND f.f >= b.a AND length(f.phrase) > length(b.phrase)
+      AND contains(' ' || f.phrase || ' ', ' ' || b.phrase || ' ')),
+t AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b ANTI JOIN o USING (lang, phrase))
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM t WHERE rank <= 2000
+"""
