@@ -128,17 +128,19 @@ def test_one_trade_has_no_psr(spark):
     assert m.psr == 0 and m.mdd == 0 and m.sharpe == 0 and m.win_rate == 1
 
 
-def test_bootstrap_short_and_long_histories_agree(spark, monkeypatch):
+def test_bootstrap_of_a_history_in_pieces_agrees(spark, monkeypatch):
     rng = np.random.default_rng(8)
     pdf = pd.DataFrame({"k": 1, "trade_no": np.arange(90), "ret": rng.normal(0, 0.02, 90)})
-    ret = spark.createDataFrame(pdf)
     specs = spark.createDataFrame([(1, "all", 90), (1, "first", 30)], "k long, part string, n long")
-    paths = lambda: (bootstrap.path_drawdowns(ret, specs, ["k"], ["part"], 60).orderBy("part", "sim").toPandas())
-    a = paths()
-    monkeypatch.setattr(bootstrap, "SHORT", 40)          # the 90-trade history now takes the joined way
-    b = paths()
-    assert len(a) == len(b) == 120 and np.allclose(a["mdd"], b["mdd"])
-    assert (a["mdd"] < 0).all() and a["mdd"].nunique() > 100
+    got = bootstrap.path_drawdowns(spark.createDataFrame(pdf), specs, ["k"], ["part"], 60).orderBy("part", "sim").toPandas()
+    assert len(got) == 120 and (got["mdd"] < 0).all() and got["mdd"].nunique() > 100
+    sims = np.arange(60, dtype=np.int64)
+    for part, n in (("all", 90), ("first", 30)):
+        value = np.cumprod(1 + pdf["ret"].to_numpy()[bootstrap.draw(sims[:, None], np.arange(n)[None, :], n)], axis=1)
+        want = (value / np.maximum.accumulate(value, axis=1) - 1).min(axis=1)
+        assert np.allclose(got[got["part"] == part]["mdd"], want)
+        monkeypatch.setattr(bootstrap, "CELLS", 60 * 7)              # seven draws of all paths at a time
+        assert np.allclose(bootstrap._drawdowns(pdf["ret"].to_numpy()[:n], sims), want)
 
 
 # --- position sizing ------------------------------------------------------------------------------

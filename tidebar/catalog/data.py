@@ -49,9 +49,13 @@ def _(spark, sf):
 
 @query("s3_chunked_extraction", """
 SELECT concat(l_returnflag, l_linestatus) AS symbol, CAST(l_shipdate AS DATE) AS time, count(*) AS n_rows
-FROM lineitem WHERE l_shipdate IS NOT NULL GROUP BY 1, 2""")
+FROM lineitem WHERE l_shipdate IS NOT NULL AND year(l_shipdate) BETWEEN (SELECT min(year(l_shipdate))+1 FROM lineitem)
+     AND (SELECT max(year(l_shipdate))-1 FROM lineitem) GROUP BY 1, 2""")
 def _(spark, sf):
-    rows = ingest.read_range(market.table(spark, sf, "lineitem"), time="l_shipdate")
+    """All years but the first and the last of the table."""
+    lines = market.table(spark, sf, "lineitem")
+    ends = lines.agg(F.year(F.min("l_shipdate")).alias("a"), F.year(F.max("l_shipdate")).alias("z")).first()   # two numbers
+    rows = ingest.read_range(lines, *((ends["a"] + 1, ends["z"] - 1) if ends["a"] else (None, None)), time="l_shipdate")
     return (rows.groupBy(F.concat("l_returnflag", "l_linestatus").alias("symbol"),
                          F.col("l_shipdate").cast("date").alias("time"))
             .agg(F.count(F.lit(1)).alias("n_rows")))
@@ -63,6 +67,20 @@ def _(spark, sf):
     return d.select("symbol", ntz("time", "time"), *OHLC, "tick_volume")
 
 
+def _width_sql(tf: str, micros: int) -> str:
+    return f"""SELECT symbol, '{tf}' AS timeframe, make_timestamp(CAST(floor(epoch_us(time)/{micros}.0) AS BIGINT)*{micros}) AS time,
+first(price ORDER BY time, tick_id) AS open, max(price) AS high, min(price) AS low, last(price ORDER BY time, tick_id) AS close, count(*) AS tick_volume
+FROM ticks GROUP BY 1, 3"""
+
+
+@query("s4b_bars_by_timeframe", ctes("ticks") + _width_sql("D1", 86_400_000_000) + " UNION ALL " + _width_sql("H1", 3_600_000_000))
+def _(spark, sf):
+    """Daily and hourly bars of the same ticks."""
+    t = market.ticks(spark, sf)
+    parts = [ingest.bars_from_ticks(t, tf).withColumn("timeframe", F.lit(tf)) for tf in ("D1", "H1")]
+    return parts[0].unionByName(parts[1]).select("symbol", "timeframe", ntz("time", "time"), *OHLC, "tick_volume")
+
+
 @query("s5_incremental_upsert", ctes("bars") + f"""
 SELECT symbol, time, {r('CASE WHEN bar_idx >= n_bars-20 THEN close*1.01 ELSE close END')} AS close FROM bars""")
 def _(spark, sf):
@@ -113,14 +131,14 @@ def _(spark, sf):
 
 
 @query("s10_spread_clean", ctes("macro") + f""",
-v AS (SELECT date, CASE WHEN day(date)%5=0 THEN NULL ELSE value END AS x FROM ml WHERE series='DXY_close' AND day(date)%7<>0)
-SELECT date, {r('lag(x,3) OVER (ORDER BY date)', 10)} AS "EMBI" FROM v""")
+v AS (SELECT series, date, CASE WHEN day(date)%5=0 THEN NULL ELSE value END AS x FROM ml WHERE day(date)%7<>0)
+SELECT series, date, {r('lag(x,3) OVER (PARTITION BY series ORDER BY date)', 10)} AS "EMBI" FROM v""")
 def _(spark, sf):
-    m = market.macro_long(spark, sf).filter("series = 'DXY_close'")
+    m = market.macro_long(spark, sf)
     day = F.dayofmonth("date")
-    raw = m.select(F.when(day % 7 == 0, "n/a").otherwise(F.col("date").cast("string")).alias("fecha"),
+    raw = m.select("series", F.when(day % 7 == 0, "n/a").otherwise(F.col("date").cast("string")).alias("fecha"),
                    F.when(day % 5 == 0, "-").otherwise(F.col("value").cast("string")).alias("spread"))
-    return ingest.clean_spread(raw, "fecha", "spread").select("date", r6("EMBI", 10).alias("EMBI"))
+    return ingest.clean_spread(raw, "fecha", "spread", keys=["series"]).select("series", "date", r6("EMBI", 10).alias("EMBI"))
 
 
 @query("s11_table_sink", ctes("bars") + f"""

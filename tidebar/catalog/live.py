@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidebar.catalog.base import ctes, ntz, query, r
+from tidebar.catalog.portfolio import HRP_SQL, strategies
 from tidebar.catalog.trading import bars_vol, probs_of
 from tidebar.functions import signals as rules
 from tidebar.functions.expr import dbl, r6
@@ -31,30 +32,44 @@ def _(spark, sf):
     return out.select("symbol", ntz("time", "time"), "open", "high", "low", "close", "tick_volume")
 
 
-POS = "model='XGBOOST' AND bank='Tecnicos' AND threshold=CAST(0.6 AS DOUBLE)"
-
-
 @query("t3_position_lifecycle", ctes("free") + f"""
-SELECT concat(symbol, '/', model, '/', bank) AS symbol, bar_idx AS entry_idx, exit_idx, side, exit_kind, duration, prob, {r('ret')} AS ret
-FROM free WHERE threshold=CAST(0.6 AS DOUBLE)""")
+SELECT concat(symbol, '/', model, '/', bank) AS symbol, threshold, bar_idx AS entry_idx, exit_idx, side, exit_kind, duration, prob, {r('ret')} AS ret
+FROM free""")
 def _(spark, sf):
-    """Signals at 0.6 of every (symbol, model, bank), replayed as a stream of bar files."""
+    """Signals at every threshold of every (symbol, model, bank), replayed in three parts by a job started anew for each."""
     bv = bars_vol(spark, sf)
-    p = probs_of(spark, sf, bv)
-    b = bv.drop("bilateral")
-    d = b.join(p.select("symbol", "model", "bank", "bar_idx", "prob", "bilateral"), ["symbol", "bar_idx"])
-    open_ok = (F.col("bar_idx") < F.col("n_bars") - 11) & F.col("EGARCH_Vol").isNotNull()
-    d = d.select(F.concat_ws("/", "symbol", "model", "bank").alias("symbol"), "bar_idx", "open", "high", "low", "close",
-                 F.when(open_ok, rules.side(F.col("prob"), dbl(0.6), F.col("bilateral"))).otherwise(0).alias("side"),
-                 F.coalesce("EGARCH_Vol", dbl(0.0)).alias("vol"), "k_up", "k_down", "cost", "prob")
-    path = scratch_path(spark, "position-bars")
-    d.write.parquet(path)
-    stream = spark.readStream.schema(d.schema).parquet(path)
-    out = sbars.drain(spos.track_positions(stream), scratch_path(spark, "positions"))
-    return out.withColumn("ret", r6("ret"))
-
-
-@query("t4_monitor_events")
+    p = probs_of(spark, sf, bv).select("symbol", "model", "bank", "bar_idx", "prob", "bilateral")
+    d = spos.position_bars(bv, p)
+    span = d.groupBy("symbol").agg(F.min("bar_idx").alias("_a"), (F.max("bar_idx") + 1).alias("_z"))
+    d = cut(d.join(span, "symbol").withColumn("part", F.floor(3 * (F.col("bar_idx") - F.col("_a")) / (F.col("_z") - F.col("_a")))))
+    path = scratch_path(spark, "positions")
+    schema = d.drop("_a", "_z", "part").schema
+    for part in range(3):
+        rows = d.filter(F.col("part") == part).drop("_a", "_z", "part")
+        rows.write.mode("append").parquet(f"{path}/in")
+        smon.run_job(spark.readStream.schema(schema).parquet(f"{path}/in"), spos.PositionBook(spark, f"{path}/book").job,
+                     f"{path}/checkpoint")
+    return spos.PositionBook(spark, f"{path}/book").closed().withColumn("ret", r6("ret"))
+
+
+T4_SQL = ctes("cands", recursive=True) + """,
+m0 AS MATERIALIZED (SELECT concat(c.symbol, '/', model, '/', bank) AS symbol, c.bar_idx, exit_idx, ret FROM cands c JOIN bars b USING (symbol, bar_idx)
+       WHERE threshold=CAST(0.5 AS DOUBLE) AND c.bar_idx>=b.n_bars-300),
+m1 AS MATERIALIZED (SELECT c.*, (SELECT min(d.bar_idx) FROM m0 d WHERE d.symbol=c.symbol AND d.bar_idx>=c.exit_idx) AS next_idx FROM m0 c),
+m2 AS (SELECT m1.* FROM m1 JOIN (SELECT symbol, min(bar_idx) AS bar_idx FROM m0 GROUP BY 1) USING (symbol, bar_idx)
+       UNION ALL SELECT n.* FROM m2 w JOIN m1 n ON n.symbol=w.symbol AND n.bar_idx=w.next_idx),
+m3 AS (SELECT *, exp(sum(ln(1+ret)) OVER (PARTITION BY symbol ORDER BY exit_idx)) AS v FROM m2),
+m4 AS (SELECT *, v/greatest(1.0, max(v) OVER (PARTITION BY symbol ORDER BY exit_idx))-1 AS dd FROM m3),
+m5 AS (SELECT m4.*, dead_at IS NOT NULL AS q, pow(100*ret, 2) AS mse, row_number() OVER (PARTITION BY symbol ORDER BY exit_idx)-1 AS no, count(*) OVER (PARTITION BY symbol) AS n
+       FROM m4 JOIN (SELECT symbol, min(exit_idx) FILTER (WHERE dd<=-0.20) AS dead_at FROM m4 GROUP BY 1) USING (symbol) WHERE dead_at IS NULL OR exit_idx<=dead_at),
+m6 AS (SELECT symbol, quantile_cont(mse, CAST(0.9 AS DOUBLE)) AS p90 FROM m5 WHERE no*2<n GROUP BY 1),
+m7 AS (SELECT symbol, median(mse) AS md FROM m5 WHERE n>=30 AND no>=n-30 GROUP BY 1),
+m8 AS (SELECT symbol, bool_or(q) AS q, bool_or(coalesce(md>p90, false)) AS d FROM m5 LEFT JOIN m6 USING (symbol) LEFT JOIN m7 USING (symbol) GROUP BY 1)
+SELECT symbol, 'quarantine' AS event FROM m8 WHERE q UNION ALL SELECT symbol, 'drift' FROM m8 WHERE d AND NOT q
+UNION ALL SELECT symbol, CASE WHEN q THEN 'state_quarantined' ELSE 'state_ok' END FROM m8"""
+
+
+@query("t4_monitor_events", T4_SQL)
 def _(spark, sf):
     """Newest 300 bars of every strategy replayed as one micro-batch; status changes become events."""
     bv = bars_vol(spark, sf)
@@ -132,6 +147,26 @@ def _(spark, sf):
     return smon.rebalance_due(o, F.lit(now))
 
 
+@query("t6b_rebalance_weights", HRP_SQL + f""",
+cw AS (SELECT max(window_id) AS w FROM to_)
+SELECT 'ALL' AS portfolio, u.strategy, {r('CASE WHEN t.sw>=t.se THEN coalesce(wt.weight, 0) ELSE 1/CAST(u.nn AS DOUBLE) END')} AS weight,
+       t.sw>=t.se AS use_weighted, d.date AS as_of
+FROM cw JOIN to_ t ON t.window_id=cw.w JOIN dn d ON d.i=cw.w*20, (SELECT strategy, count(*) OVER () AS nn FROM (SELECT DISTINCT strategy FROM sr)) u
+LEFT JOIN wt ON wt.strategy=u.strategy AND wt.window_id=(SELECT w FROM cw)""")
+def _(spark, sf):
+    """Three clock ticks, 60 days apart, as micro-batches; the newest weights are those of the last."""
+    days = strategies(spark, sf).withColumn("portfolio", F.lit("ALL"))
+    last = days.agg(F.max("i")).first()[0] // 20 * 20                           # one number: the last tick
+    ticks = days.filter(F.col("i").isin(last - 120, last - 60, last)).select("portfolio", F.col("date").alias("now"), "i").distinct()
+    path = scratch_path(spark, "rebalance")
+    table = smon.VersionedTable(spark, f"{path}/weights", smon.WEIGHTS)
+    for i in (last - 120, last - 60, last):
+        ticks.filter(F.col("i") == i).drop("i").coalesce(1).write.mode("append").parquet(f"{path}/clock")
+        smon.run_job(spark.readStream.schema(ticks.drop("i").schema).parquet(f"{path}/clock"),
+                     smon.rebalance_job(days, table), f"{path}/checkpoint")
+    return table.current().withColumn("weight", r6("weight"))
+
+
 @query("t7_journal_append", ctes("journal") + f" SELECT order_no, status, {r('probability')} AS probability FROM journal")
 def _(spark, sf):
     o = sbars.read_table_stream(spark, sf, "orders")

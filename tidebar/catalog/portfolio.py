@@ -103,7 +103,7 @@ def _(spark, sf):
 
 @query("a24_inverse_variance", ALIGN_SQL + f" SELECT window_id, strategy, {r('ivp')} AS weight FROM iv")
 def _(spark, sf):
-    w = allocate.inverse_variance(allocate.covariance(_arrays(spark, sf)[1]))
+    w = allocate.inverse_variance(_arrays(spark, sf)[1])
     return w.select("window_id", "strategy", r6("weight").alias("weight"))
 
 
@@ -205,7 +205,8 @@ def _(spark, sf):
 
 @query("j11_active_weights", HRP_SQL + f""",
 lw AS (SELECT strategy AS symbol, weight FROM wt WHERE window_id=(SELECT max(window_id) FROM wt)),
-ac AS (SELECT symbol FROM bars GROUP BY 1 HAVING max(time) >= DATE '1995-01-01' AND symbol NOT LIKE 'A%'),
+nw AS (SELECT max(time) AS newest FROM bars),
+ac AS (SELECT symbol FROM bars GROUP BY 1 HAVING max(time) >= (SELECT newest FROM nw) - INTERVAL 180 DAY),
 j AS (SELECT ac.symbol, coalesce(weight, 0) AS weight FROM ac LEFT JOIN lw USING (symbol))
 SELECT symbol, {r('weight')} AS weight, {r('CASE WHEN sum(weight) OVER ()>0 THEN weight/sum(weight) OVER () ELSE 1/CAST(count(*) OVER () AS DOUBLE) END')} AS norm_weight FROM j""")
 def _(spark, sf):
@@ -213,7 +214,8 @@ def _(spark, sf):
     newest = w.groupBy("strategy").agg(F.max_by("weight", "window_id").alias("weight"), F.max("window_id").alias("w"))
     top = w.agg(F.max("window_id").alias("w"))
     latest = newest.join(top, "w").select(F.col("strategy").alias("symbol"), "weight")
-    active = (market.bars_d1(spark, sf).groupBy("symbol").agg(F.max("time").alias("t"))
-              .filter((F.col("t") >= F.lit("1995-01-01").cast("date")) & ~F.col("symbol").startswith("A")).select("symbol"))
+    seen = cut(market.bars_d1(spark, sf).groupBy("symbol").agg(F.max("time").alias("t")))       # one row per symbol
+    newest = seen.agg(F.max("t").alias("newest")).first()["newest"]
+    active = seen.filter(F.col("t") >= F.date_sub(F.lit(newest), 180)).select("symbol")          # traded in the last 180 days
     d = allocate.active_weights(active, latest)
     return d.select("symbol", r6("weight").alias("weight"), r6("norm_weight").alias("norm_weight"))

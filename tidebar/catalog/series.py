@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidebar.catalog import regress_sql
 from tidebar.catalog.base import ctes, query, r
 from tidebar.functions.expr import r6
 from tidebar.operators import arma, fracdiff, indicators, screen, series, volatility
@@ -72,6 +73,38 @@ def _(spark, sf):
     return d.select("symbol", "bar_idx", "egarch", "garch", "hist", "EGARCH_Vol")
 
 
+def _grid_sql() -> str:
+    """Grid likelihoods of the newest 500 returns by recursion over the returns, one row per series and grid point."""
+    points = ", ".join(f"({i}, 'egarch', {a!r}::DOUBLE, {g!r}::DOUBLE, {b!r}::DOUBLE, {dof!r}::DOUBLE)"
+                       for i, (a, g, b, dof) in enumerate(volatility.EGARCH_GRID))
+    points += ", " + ", ".join(f"({i}, 'garch', {a!r}::DOUBLE, 0::DOUBLE, {b!r}::DOUBLE, 8::DOUBLE)"
+                               for i, (a, b) in enumerate(volatility.GARCH_GRID))
+    return ctes("rets", recursive=True) + f""",
+gp AS (SELECT * FROM (VALUES {points}) v(no, kind, a, g, b, dof)),
+gx AS (SELECT symbol, bar_idx-n_bars+500 AS t, log_ret-avg(log_ret) OVER (PARTITION BY symbol) AS x FROM rets WHERE n_bars>=500 AND bar_idx>=n_bars-500),
+gv AS (SELECT symbol, avg(x*x) AS var FROM gx GROUP BY 1),
+gr AS (SELECT symbol, no, kind, a, g, b, dof, CAST(0 AS BIGINT) AS t, CASE WHEN kind='egarch' THEN ln(var) ELSE var END AS h, CAST(0 AS DOUBLE) AS ll, var FROM gv, gp
+       UNION ALL
+       SELECT gr.symbol, no, kind, a, g, b, dof, gr.t+1,
+              CASE WHEN kind='egarch' THEN (1-b)*ln(var)+a*(abs(x*exp(-0.5::DOUBLE*h))-{volatility.MEAN_ABS_Z!r})+g*x*exp(-0.5::DOUBLE*h)+b*h ELSE (1-a-b)*var+a*x*x+b*h END,
+              ll+CASE WHEN kind='egarch' THEN 0.5::DOUBLE*h+0.5::DOUBLE*(dof+1)*ln(1+x*x*exp(-h)/(dof-2)) ELSE ln(h)+x*x/h END, var
+       FROM gr JOIN gx ON gx.symbol=gr.symbol AND gx.t=gr.t),
+ge AS (SELECT symbol, kind, no, CASE WHEN kind='egarch' THEN ll-500*(lgamma((dof+1)/2)-lgamma(dof/2)-0.5::DOUBLE*ln(pi()*(dof-2))) ELSE ll END AS loss,
+              sqrt(CASE WHEN kind='egarch' THEN exp(h) ELSE h END) AS vol FROM gr WHERE t=500),
+gb AS (SELECT * FROM ge QUALIFY row_number() OVER (PARTITION BY symbol, kind ORDER BY loss)=1)
+SELECT symbol, {", ".join(f"max({r(c, 5)}) FILTER (WHERE kind='{k}') AS {k}_grid_{c}, true AS {k}_better_{c}" for k in ("egarch", "garch") for c in ("loss", "vol"))}
+FROM gb GROUP BY 1""".replace(", true AS egarch_better_vol", "").replace(", true AS garch_better_vol", "").replace("_better_loss", "_never_worse")
+
+
+@query("w7c_volatility_fits", _grid_sql())
+def _(spark, sf):
+    """Likelihood and forecast of the grid's best point for the newest window of each series, checked by recursion in SQL;
+    the search around it must never be worse."""
+    d = volatility.newest_fits(market.bars_d1(spark, sf))
+    return d.select("symbol", *[r6(f"{k}_grid_{c}", 5).alias(f"{k}_grid_{c}") for k in ("egarch", "garch") for c in ("loss", "vol")],
+                    *[(F.col(f"{k}_loss") <= F.col(f"{k}_grid_loss")).alias(f"{k}_never_worse") for k in ("egarch", "garch")])
+
+
 @query("w7b_volatility_chain", ctes("vol") + f""",
 p AS (SELECT symbol, bar_idx, vol, CASE WHEN bar_idx%3=0 THEN NULL WHEN bar_idx%3=1 THEN vol*20 ELSE vol*1.1 END AS a,
              CASE WHEN bar_idx%2=0 THEN vol/1e9 ELSE vol*0.9 END AS b FROM vol WHERE vol IS NOT NULL)
@@ -95,19 +128,25 @@ def _(spark, sf):
     return d.select("symbol", "bar_idx", r6("close_FFD").alias("close_FFD"))
 
 
-@query("w9_apply_ffd")
-def _(spark, sf):
-    d = fracdiff.apply_ffd(market.bars_d1(spark, sf).select("symbol", "time", "bar_idx", "n_bars", "open", "high", "low", "close"),
-                           ["open", "close"])
-    return d.select("symbol", "bar_idx", "open", "close", "open_FFD", "close_FFD")
-
-
 @query("w10_sma", ctes("bars") + f"""
 SELECT symbol, bar_idx, CASE WHEN bar_idx>=199 THEN {r(f'avg(close) OVER ({S} ROWS BETWEEN 199 PRECEDING AND CURRENT ROW)')} END AS sma FROM bars""")
 def _(spark, sf):
     return series.sma(market.bars_d1(spark, sf), 200).select("symbol", "bar_idx", r6("sma").alias("sma"))
 
 
+_SMA = lambda n: f"CASE WHEN bar_idx>={n - 1} THEN {r(f'avg(close) OVER ({S} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)')} END"
+
+
+@query("w10b_sma_by_timeframe", ctes("bars") + " SELECT symbol, bar_idx, " + ", ".join(
+    f"{_SMA(n)} AS sma_{tf.lower()}" for tf, n in backtest.SMA_BARS.items()) + " FROM bars")
+def _(spark, sf):
+    """The averages of all timeframes, over the same bars."""
+    d = market.bars_d1(spark, sf)
+    for tf, n in backtest.SMA_BARS.items():
+        d = series.sma(d, n, out=f"sma_{tf.lower()}")
+    return d.select("symbol", "bar_idx", *[r6(f"sma_{tf.lower()}").alias(f"sma_{tf.lower()}") for tf in backtest.SMA_BARS])
+
+
 TREND_SQL = ctes("bars") + f""",
 s AS (SELECT *, CASE WHEN bar_idx>=199 THEN avg(close) OVER ({S} ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) END AS sma,
              lead(close) OVER ({S})/close-1 AS nx FROM bars WHERE n_bars>=201),
@@ -202,8 +241,7 @@ def _(spark, sf):
 
 CORR_SQL = HURST_SQL + """,
 rr AS (SELECT symbol, time, i, coalesce(close/lag(close) OVER (PARTITION BY symbol ORDER BY i)-1, 0) AS ret FROM rb),
-al AS (SELECT time FROM rr GROUP BY 1 HAVING count(*)=(SELECT count(DISTINCT symbol) FROM rr)),
-ra AS (SELECT rr.* FROM rr JOIN al USING (time)),
+ra AS (SELECT * FROM rr),
 cm AS MATERIALIZED (SELECT a.symbol AS a, b.symbol AS b, count(*) AS n_obs, corr(a.ret, b.ret) AS corr
        FROM ra a JOIN ra b ON a.time=b.time AND a.symbol<b.symbol GROUP BY 1,2)"""
 
@@ -259,26 +297,84 @@ def _(spark, sf):
 
 # --- statistical kernels --------------------------------------------------------------------------
 
-@query("a32_unit_root_screen")
+MELT_SQL = """,
+ml_ AS (SELECT symbol, bar_idx, n_bars AS n, unnest([{cols}]) AS c FROM bars),
+sl AS MATERIALIZED (SELECT symbol, c.k AS "column", n, list(c.v ORDER BY bar_idx) AS y FROM ml_ GROUP BY 1, 2, 3)"""
+
+
+def melt_sql(cols: dict[str, str]) -> str:
+    return MELT_SQL.format(cols=", ".join(f"{{'k': '{k}', 'v': {v}}}" for k, v in cols.items()))
+
+
+@query("a32_unit_root_screen", ctes("bars", recursive=True) + melt_sql({"close": "close", "open": "open", "close_diff": "close-open"})
+       + regress_sql.adf("sl", ["symbol", '"column"'], "ur") + f"""
+SELECT symbol, "column", n_obs, best_lag, {r('tau', 4)} AS tau, {r('p_value', 4)} AS p_value FROM ur""")
 def _(spark, sf):
     b = market.bars_d1(spark, sf).withColumn("close_diff", F.col("close") - F.col("open"))
-    return fracdiff.adf(fracdiff.melt(b, ["close", "open", "close_diff"]))
+    d = fracdiff.adf(fracdiff.melt(b, ["close", "open", "close_diff"]))
+    return d.select("symbol", "column", "n_obs", F.col("best_lag").cast("long").alias("best_lag"), r6("tau", 4).alias("tau"),
+                    r6("p_value", 4).alias("p_value"))
 
 
-@query("a33_min_stationary_d")
-def _(spark, sf):
-    return fracdiff.min_stationary_d(fracdiff.melt(market.bars_d1(spark, sf), ["close", "open", "high", "low"]))
+FOUR = {c: c for c in ("close", "open", "high", "low")}
+TRAIN_SQL = """,
+st AS MATERIALIZED (SELECT symbol, "column", CAST(floor(n*0.8::DOUBLE) AS BIGINT) AS n, y[1:CAST(floor(n*0.8::DOUBLE) AS INTEGER)] AS y FROM sl)"""
+ORDER_SQL = ctes("bars", recursive=True) + melt_sql(FOUR) + TRAIN_SQL + regress_sql.WEIGHTS + regress_sql.min_order(
+    "st", ["symbol", '"column"'], "mo")
 
 
-@query("a34_arma_order")
+@query("a33_min_stationary_d", ORDER_SQL + f""" SELECT symbol, "column", CAST(d_no AS BIGINT) AS d_no, {r('d')} AS d, {r('corr')} AS corr FROM mo""")
+def _(spark, sf):
+    d = fracdiff.min_stationary_d(fracdiff.melt(market.bars_d1(spark, sf), list(FOUR)))
+    return d.select("symbol", "column", F.col("d_no").cast("long").alias("d_no"), r6("d").alias("d"), r6("corr").alias("corr"))
+
+
+@query("w9_apply_ffd", ORDER_SQL + regress_sql.adf("sl", ["symbol", '"column"'], "lv") + """,
+ch AS (SELECT mo.symbol, mo."column", CASE WHEN lv.p_value<0.05::DOUBLE THEN 0 ELSE mo.d_no END AS d_no FROM mo JOIN lv USING (symbol, "column")),
+ax AS (SELECT sl.symbol, sl."column", sl.n, sl.y, w, old FROM sl JOIN ch USING (symbol, "column") JOIN wl USING (d_no)),
+fx AS (SELECT symbol, "column", unnest(range(CAST(w AS BIGINT)-1, n)) AS bar_idx,
+       unnest(list_transform(range(1, n-w+2), lambda i: list_dot_product(y[CAST(i AS INTEGER):CAST(i+w-1 AS INTEGER)], old))) AS v FROM ax),
+fp AS (SELECT symbol, bar_idx, """ + ", ".join(f"max(v) FILTER (WHERE \"column\"='{c}') AS {c}_x" for c in FOUR) + """ FROM fx GROUP BY 1, 2 HAVING count(*)=4)
+SELECT symbol, bar_idx, """ + ", ".join(f"{r(c)} AS {c}" for c in FOUR) + ", " + ", ".join(f"{r(c + '_x')} AS \"{c}_FFD\"" for c in FOUR) + """
+FROM fp JOIN bars USING (symbol, bar_idx)""")
+def _(spark, sf):
+    """Every price column at its own smallest stationary order."""
+    b = market.bars_d1(spark, sf).select("symbol", "time", "bar_idx", "n_bars", *FOUR)
+    d = fracdiff.apply_ffd(b, list(FOUR))
+    return d.select("symbol", "bar_idx", *[r6(c).alias(c) for c in FOUR], *[r6(f"{c}_FFD").alias(f"{c}_FFD") for c in FOUR])
+
+
+# Two least-squares passes: a regression on six lags gives innovations; the orders (1, 1) and (2, 1) regress on lags and the
+# last innovation.  Columns are swept in the order constant, lag 1, innovation, lag 2, so both orders are on the way.
+_LAGS = ", ".join(f"lag(log_ret, {i}) OVER (PARTITION BY symbol ORDER BY bar_idx) AS y{i}" for i in range(1, 7))
+_COLS = lambda names: "[" + ", ".join(f"list(CAST({c} AS DOUBLE) ORDER BY bar_idx)" for c in names) + "]"
+ARMA_SQL = ctes("rets", recursive=True) + f""",
+h0 AS MATERIALIZED (SELECT symbol, bar_idx, log_ret AS y0, {_LAGS} FROM rets),
+h1 AS (SELECT symbol, {_COLS(['1', *[f'y{i}' for i in range(1, 7)], 'y0'])} AS c FROM h0 WHERE y6 IS NOT NULL GROUP BY 1),
+h2 AS (SELECT symbol, 0 AS p, {regress_sql.gram('c', '8')} AS g FROM h1 UNION ALL SELECT symbol, p+1, {regress_sql.sweep('g', '8', 'p')} FROM h2 WHERE p<7),
+h3 AS MATERIALIZED (SELECT h0.*, y0-({'+'.join(f'coalesce(y{i}, NULL)*g[{8 * (i + 1)}]' for i in range(1, 7))}+g[8]) AS e0 FROM h0 JOIN h2 USING (symbol) WHERE p=7),
+h4 AS MATERIALIZED (SELECT *, lag(e0) OVER (PARTITION BY symbol ORDER BY bar_idx) AS e1 FROM h3),
+h5 AS (SELECT symbol, count(*) AS n, {_COLS(['1', 'y1', 'e1', 'y2', 'y0'])} AS c FROM h4 WHERE e1 IS NOT NULL AND y2 IS NOT NULL GROUP BY 1),
+h6 AS (SELECT symbol, n, 0 AS p, {regress_sql.gram('c', '5')} AS g FROM h5 UNION ALL SELECT symbol, n, p+1, {regress_sql.sweep('g', '5', 'p')} FROM h6 WHERE p<4),
+ar AS MATERIALIZED (SELECT symbol, CAST(p-2 AS INTEGER) AS p, 1 AS q, n, g[5] AS const, g[10] AS phi1, CASE WHEN p=4 THEN g[20] END AS phi2, g[15] AS theta1,
+       n*(ln(2*pi()*g[25]/n)+1)+2*(p-2+1+2) AS aic FROM h6 WHERE p>=3)"""
+ARMA_OUT = ", ".join(f"{r(c, 5)} AS {c}" for c in ("const", "phi1", "phi2", "theta1", "aic"))
+
+
+def _arma_columns(d, *more):
+    at = lambda c, i: F.get(c, F.lit(i))
+    return d.select("symbol", "p", "q", *more, r6("const", 5).alias("const"), r6(at("phi", 0), 5).alias("phi1"), r6(at("phi", 1), 5).alias("phi2"),
+                    r6(at("theta", 0), 5).alias("theta1"), r6("aic", 5).alias("aic"))
+
+
+@query("a34_arma_order", ARMA_SQL + f" SELECT symbol, p, q, n, {ARMA_OUT} FROM ar")
 def _(spark, sf):
-    d = series.log_return(market.bars_d1(spark, sf))
-    return arma.fit_orders(d, "log_ret")
+    return _arma_columns(arma.fit_orders(series.log_return(market.bars_d1(spark, sf)), "log_ret"), "n")
 
 
-@query("a34b_arma_best_order")
+@query("a34b_arma_best_order", ARMA_SQL + f" SELECT symbol, p, q, {ARMA_OUT} FROM ar QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY aic)=1")
 def _(spark, sf):
-    return arma.best_order(arma.fit_orders(series.log_return(market.bars_d1(spark, sf)), "log_ret"))
+    return _arma_columns(arma.best_order(arma.fit_orders(series.log_return(market.bars_d1(spark, sf)), "log_ret")))
 
 
 @query("m11_direction_target", ctes("bars") + f"""

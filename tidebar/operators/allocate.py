@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tidebar.functions.expr import dbl
 from tidebar.operators.metrics import ANNUAL
-from tidebar.operators.screen import array_cov
 from tidebar.operators.series import dense_index, fill, day_number
 from tidebar.session import cut
 
@@ -64,25 +63,51 @@ def window_arrays(win: DataFrame, key: str = "strategy", ret: str = "ret",
             .filter("std_ret > 0"))
 
 
-def covariance(arrays: DataFrame, key: str = "strategy", groups: Sequence[str] = ("window_id",)) -> DataFrame:
-    """Covariance, correlation and distance per (window, a <= b): one row per matrix cell."""
+def _cov_corr(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sample covariance and correlation of the rows of x."""
+    cov = np.atleast_2d(np.cov(x))
+    sd = np.sqrt(np.diag(cov))
+    corr = cov / np.outer(sd, sd)
+    np.fill_diagonal(corr, 1.0)
+    return cov, corr
+
+
+def _per_window(arrays: DataFrame, key: str, groups: Sequence[str], out: str, kernel) -> DataFrame:
+    """`kernel(names, returns)` once per window over its strategies in order: windows are the parallel axis, and a
+    strategy's returns travel once."""
     groups = list(groups)
-    a = arrays.select(*groups, F.col(key).alias("a"), F.col("r").alias("_ra"), F.col("std_ret").alias("_sa"))
-    b = arrays.select(*groups, F.col(key).alias("b"), F.col("r").alias("_rb"), F.col("std_ret").alias("_sb"))
-    p = (a.join(b, groups).filter("a <= b").withColumn("cov", array_cov(F.col("_ra"), F.col("_rb")))
-         .withColumn("corr", F.when(F.col("a") == F.col("b"), dbl(1.0))
-                     .otherwise(F.col("cov") / (F.col("_sa") * F.col("_sb")))))
-    return p.select(*groups, "a", "b", "cov", "corr", distance(F.col("corr")).alias("dist"))
+    need = arrays.select(*groups, key, "r")
+    types = dict(need.dtypes)
+    schema = ", ".join(f"`{c}` {types[c]}" for c in groups) + ", " + out.replace("KEY", types[key])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(key)
+        rows = kernel(pdf[key].to_numpy(object), np.vstack(pdf["r"].to_numpy()))
+        for c in reversed(groups):
+            rows.insert(0, c, pdf[c].iloc[0])
+        return rows
+    return need.groupBy(*groups).applyInPandas(run, schema)
+
+
+def covariance(arrays: DataFrame, key: str = "strategy", groups: Sequence[str] = ("window_id",)) -> DataFrame:
+    """Covariance, correlation and distance per (window, a <= b): one matrix product a window, a row per matrix cell."""
+    def cells(names, x):
+        cov, corr = _cov_corr(x)
+        i, j = np.triu_indices(len(names))
+        return pd.DataFrame({"a": names[i], "b": names[j], "cov": cov[i, j], "corr": corr[i, j]})
+    out = _per_window(arrays, key, groups, "a KEY, b KEY, cov double, corr double", cells)
+    return out.withColumn("dist", distance(F.col("corr")))
 
 
 def distance(corr):
     return F.sqrt(F.greatest((1 - corr) / 2, dbl(0.0)))
 
 
-def inverse_variance(cov: DataFrame, groups: Sequence[str] = ("window_id",)) -> DataFrame:
+def inverse_variance(arrays: DataFrame, key: str = "strategy", groups: Sequence[str] = ("window_id",)) -> DataFrame:
+    """Weights in inverse proportion to the variances, which `window_arrays` has: no matrix at all."""
     w = Window.partitionBy(*groups)
-    return (cov.filter("a = b").withColumn("weight", (1 / F.col("cov")) / F.sum(1 / F.col("cov")).over(w))
-            .select(*groups, F.col("a").alias("strategy"), "weight"))
+    inverse = 1 / (F.col("std_ret") * F.col("std_ret"))
+    return arrays.select(*groups, F.col(key).alias("strategy"), (inverse / F.sum(inverse).over(w)).alias("weight"))
 
 
 # --- hierarchical risk parity: a kernel over one small matrix -------------------------------------
@@ -90,22 +115,28 @@ def inverse_variance(cov: DataFrame, groups: Sequence[str] = ("window_id",)) ->
 def leaf_order(dist: np.ndarray) -> list[int]:
     """Leaves of the single-linkage tree from left to right.
 
-    Clusters are numbered in the order they form; a merge puts the lower number on the left.
+    Clusters are numbered in the order they form; of equal gaps the lowest numbers merge first, the lower one on the left.
+    A merged cluster keeps one row of the matrix: its gap to any other is the smaller of two, so a row's smallest gap
+    changes for that row alone, and all merges together take N x N steps.
     """
     n = len(dist)
-    gap = np.full((2 * n - 1, 2 * n - 1), np.inf)        # between clusters; only i < j is used
-    gap[:n, :n] = dist
-    gap[np.tril_indices(2 * n - 1)] = np.inf
-    leaves = {i: [i] for i in range(n)}
+    gap = np.array(dist, float)
+    np.fill_diagonal(gap, np.inf)
+    least = gap.min(axis=1) if n > 1 else np.full(n, np.inf)
+    number = np.arange(n, dtype=float)                      # of the cluster in each row; merged rows have none
+    leaves = [[i] for i in range(n)]
     for new in range(n, 2 * n - 1):
-        i, j = divmod(int(gap[:new, :new].argmin()), new)    # the first of equal gaps: lowest i, then lowest j
-        leaves[new] = leaves.pop(i) + leaves.pop(j)
-        both = np.minimum(gap, gap.T)
-        near = np.minimum(both[i], both[j])
-        gap[:new, new] = near[:new]
-        for k in (i, j):
-            gap[k, :] = gap[:, k] = np.inf
-    return leaves[max(leaves)]
+        low = least.min()
+        i = int(np.where(least == low, number, np.inf).argmin())
+        j = int(np.where(gap[i] == low, number, np.inf).argmin())
+        leaves[i] = leaves[i] + leaves[j]
+        row = np.minimum(gap[i], gap[j])
+        row[[i, j]] = np.inf
+        gap[i], gap[:, i] = row, row
+        gap[j], gap[:, j] = np.inf, np.inf
+        least[i], least[j] = row.min(), np.inf
+        number[i], number[j] = new, np.inf
+    return leaves[int(np.argmin(number))] if n else []
 
 
 def hrp_weights(cov: np.ndarray, corr: np.ndarray) -> np.ndarray:
@@ -132,19 +163,9 @@ def hrp_weights(cov: np.ndarray, corr: np.ndarray) -> np.ndarray:
 
 
 def hrp(arrays: DataFrame, groups: Sequence[str] = ("window_id",), key: str = "strategy") -> DataFrame:
-    """HRP weight per (window, strategy): windows are the parallel axis, a kernel call sees N x N."""
-    groups = list(groups)
-    need = arrays.select(*groups, key, "r")
-    types = {f.name: f.dataType.simpleString() for f in need.schema}
-    schema = ", ".join(f"{c} {types[c]}" for c in [*groups, key]) + ", hrp double"
-
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key)
-        x = np.vstack(pdf["r"].to_numpy())
-        cov = np.atleast_2d(np.cov(x))
-        sd = np.sqrt(np.diag(cov))
-        return pdf[[*groups, key]].assign(hrp=hrp_weights(cov, cov / np.outer(sd, sd)))
-    return need.groupBy(*groups).applyInPandas(kernel, schema)
+    """HRP weight per (window, strategy): a kernel call sees one N x N matrix."""
+    return _per_window(arrays, key, groups, f"`{key}` KEY, hrp double",
+                       lambda names, x: pd.DataFrame({key: names, "hrp": hrp_weights(*_cov_corr(x))}))
 
 
 def performance_weights(arrays: DataFrame, groups: Sequence[str] = ("window_id",)) -> DataFrame:

@@ -34,20 +34,22 @@ def _first(arr: str, test) -> F.Column:
 
 
 def outcomes(df: DataFrame, max_hold: int = 10, vol: str = "EGARCH_Vol",
-             keys: Sequence[str] = KEYS, sides: Sequence[int] = (1, -1)) -> DataFrame:
+             keys: Sequence[str] = KEYS, sides: Sequence[int] = (1, -1), unfinished: bool = False) -> DataFrame:
     """Exit of a trade opened after every bar, for each side.
 
     Entry is the next open, barriers come from the volatility at the signal bar.  Both barriers in
     one bar count as a stop.  Needs k_up, k_down, cost columns; `risk_mult` is used where present.
-    Rows without `max_hold + 1` bars after them, or without volatility, have no outcome.
+    Rows without `max_hold + 1` bars after them, or without volatility, have no outcome.  With `unfinished` every row that
+    has a next bar has one: a trade that no bar so far ends has no exit kind, and `max_hold` as its longest duration.
     """
     _require(df, vol)
     v = F.col(vol)
+    known = F.col("bar_idx") < F.col("n_bars") - (1 if unfinished else max_hold + 1)
     src = df if "risk_mult" in df.columns else df.withColumn("risk_mult", F.lit(1.0))
 
     def build(d, w):
         d = _ahead(d, w, max_hold)
-        d = d.filter((F.col("bar_idx") < F.col("n_bars") - max_hold - 1) & v.isNotNull() & (v != 0))
+        d = d.filter(known & v.isNotNull() & (v != 0))
         d = d.withColumn("side", F.explode(F.array(*[F.lit(s) for s in sides])))
         d = d.withColumns({"tp": take_profit(F.col("_entry"), v, F.col("k_up"), F.col("side")),
                            "sl": stop_loss(F.col("_entry"), v, F.col("k_down"), F.col("side"))})
@@ -61,12 +63,14 @@ def outcomes(df: DataFrame, max_hold: int = 10, vol: str = "EGARCH_Vol",
 
     d = in_blocks(src, build, keys=keys, ahead=max_hold, size=4096)
     jt, js = F.col("_jt"), F.col("_js")
-    kind = (F.when(jt == js, "SL (Dual)").when(jt.isNull() & js.isNull(), "TIME")
+    over = F.when(F.col("bar_idx") + max_hold < F.col("n_bars"), "TIME")
+    kind = (F.when(jt == js, "SL (Dual)").when(jt.isNull() & js.isNull(), over)
             .when(js.isNull() | (jt < js), "TP").otherwise("SL"))
     d = d.withColumns({"duration": F.coalesce(F.least(jt, js), F.lit(max_hold)).cast("int"),
                        "exit_kind": kind})
     level = (F.when(F.col("exit_kind") == "TP", F.col("tp"))
-             .when(F.col("exit_kind") == "TIME", F.col("_cl")).otherwise(F.col("sl")))
+             .when(F.col("exit_kind") == "TIME", F.col("_cl"))
+             .when(F.col("exit_kind").isNotNull(), F.col("sl")))
     raw = F.when(F.col("side") > 0, level / F.col("_entry") - 1).otherwise(F.col("_entry") / level - 1)
     fee = (1 - F.col("cost")) * (1 - F.col("cost"))
     d = d.withColumn("raw_ret", raw)

@@ -13,12 +13,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from tidebar.functions.expr import dbl
-from tidebar.operators.series import path_summary, spread
+from tidebar.operators.series import spread
 
 # Fixed values of the hash.
 PRIME = 2147483647
-SHORT = 2048        # histories up to this length travel as one array per path
 SIM_CHUNK = 50
+CELLS = 1 << 21      # numbers of a piece of paths worked on at a time
 
 
 def draw(sim, pos, n):
@@ -29,17 +29,29 @@ def draw(sim, pos, n):
     return ((h * h) % PRIME) % n
 
 
-def _short_paths(batches: Iterator[pd.DataFrame], names: list[str], n_sims: int) -> Iterator[pd.DataFrame]:
-    """Drawdowns of `SIM_CHUNK` paths per input row, as array arithmetic over (simulation, position)."""
+def _drawdowns(values: np.ndarray, sims: np.ndarray) -> np.ndarray:
+    """Max drawdown of each simulation's path through as many draws as there are values, piece by piece of the paths:
+    value and peak are carried on, so memory does not grow with a path's length."""
+    n = len(values)
+    value, peak, worst = np.ones(len(sims)), np.full(len(sims), -np.inf), np.full(len(sims), np.inf)
+    step = max(1, CELLS // len(sims))
+    for a in range(0, n, step):
+        pick = draw(sims[:, None], np.arange(a, min(n, a + step), dtype=np.int64)[None, :], n)
+        path = value[:, None] * np.cumprod(1 + values[pick], axis=1)
+        high = np.maximum(np.maximum.accumulate(path, axis=1), peak[:, None])
+        worst = np.minimum(worst, (path / high - 1).min(axis=1))
+        value, peak = path[:, -1], high[:, -1]
+    return worst
+
+
+def _paths(batches: Iterator[pd.DataFrame], names: list[str], n_sims: int) -> Iterator[pd.DataFrame]:
+    """Drawdowns of `SIM_CHUNK` paths per input row."""
     for pdf in batches:
         out = []
         for row in pdf.itertuples(index=False):
-            n, first = int(row.n), int(row[-1])
+            first = int(row[-1])
             sims = np.arange(first * SIM_CHUNK, min((first + 1) * SIM_CHUNK, n_sims), dtype=np.int64)
-            pick = draw(sims[:, None], np.arange(n, dtype=np.int64)[None, :], n)
-            value = np.cumprod(1 + np.asarray(row[len(names) + 1])[pick], axis=1)
-            mdd = (value / np.maximum.accumulate(value, axis=1) - 1).min(axis=1)
-            part = pd.DataFrame({"sim": sims, "mdd": mdd})
+            part = pd.DataFrame({"sim": sims, "mdd": _drawdowns(np.asarray(row[len(names)], float), sims)})
             for i, c in enumerate(names):
                 part[c] = row[i]
             out.append(part[[*names, "sim", "mdd"]])
@@ -52,31 +64,19 @@ def path_drawdowns(returns: DataFrame, specs: DataFrame, keys: Sequence[str],
     """Max drawdown of every simulated path.
 
     `returns`: keys, trade_no (dense), ret.  `specs`: keys, `extra`, n - each row asks for paths
-    drawn from the first n returns of its key.
+    drawn from the first n returns of its key.  A draw may be any of them, so a key's returns travel as one array
+    (8 bytes a trade) with every chunk of `SIM_CHUNK` simulations, and chunks are spread over tasks.
     """
     keys, extra = list(keys), list(extra)
-    sims = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_sims - 1).cast("long")))
-
-    arrays = (returns.filter(F.col("trade_no") < SHORT).groupBy(*keys)
-              .agg(F.transform(F.sort_array(F.collect_list(F.struct("trade_no", "ret"))),
-                               lambda x: x["ret"]).alias("_r")))
-
+    arrays = returns.groupBy(*keys).agg(F.transform(
+        F.sort_array(F.collect_list(F.struct("trade_no", "ret"))), lambda x: x["ret"]).alias("_r"))
     chunks = F.explode(F.sequence(F.lit(0), F.lit((n_sims - 1) // SIM_CHUNK)))
-    short = (specs.filter(F.col("n").between(1, SHORT)).join(arrays, keys)
-             .select(*keys, *extra, "n", "_r", chunks.alias("_chunk")))
-    types = dict(short.dtypes)
+    asked = (specs.filter(F.col("n") > 0).join(arrays, keys)
+             .select(*keys, *extra, F.slice("_r", F.lit(1), F.col("n").cast("int")).alias("_r"), chunks.alias("_chunk")))
+    types = dict(asked.dtypes)
     schema = ", ".join(f"`{c}` {types[c]}" for c in [*keys, *extra]) + ", sim bigint, mdd double"
-    short = spread(short, *keys, *extra, "_chunk").mapInPandas(
-        lambda batches: _short_paths(batches, [*keys, *extra], n_sims), schema)
-
-    long_ = (specs.filter(F.col("n") > SHORT)
-             .withColumn("draw_no", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1)))
-             .withColumn("sim", sims)
-             .withColumn("trade_no", draw(F.col("sim"), F.col("draw_no"), F.col("n")))
-             .join(returns.select(*keys, "trade_no", "ret"), [*keys, "trade_no"]))
-    long_ = path_summary(long_, "ret", keys=[*keys, *extra, "sim"], pos="draw_no").select(
-        *keys, *extra, "sim", "mdd")
-    return short.unionByName(long_)
+    return spread(asked, *keys, *extra, "_chunk").mapInPandas(
+        lambda batches: _paths(batches, [*keys, *extra], n_sims), schema)
 
 
 def bootstrap_mdd(returns: DataFrame, specs: DataFrame, keys: Sequence[str],

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import random
+import json
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
-from itertools import product
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression,
@@ -15,20 +14,26 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from tidebar.functions.expr import dbl
+from tidebar.operators import surrogate
 from tidebar.operators.cv import purged_folds
-from tidebar.operators.features import LOOK_BACK
+from tidebar.session import cut
 
 SEED = 42
 BOUND = 10.0
 
-# Search grids per model family.
+# Search grids per model family.  Depths end at 30, the most a tree here can have (the published list goes
+# on to "unlimited"); trees stop by rows of a leaf, as there is no minimum for a split; a perceptron has no dropout.
 GRIDS = {
     "RANDOM_FOREST": {"numTrees": [100, 250, 500, 1000], "maxDepth": [5, 10, 20, 30],
                       "minInstancesPerNode": [2, 5, 10], "featureSubsetStrategy": ["sqrt", "log2"]},
     "XGBOOST": {"maxIter": [200, 500, 1000], "maxDepth": [3, 5, 7, 9],
                 "stepSize": [0.005, 0.01, 0.05, 0.1], "subsamplingRate": [0.6, 0.8, 1.0]},
     "NET": {"units": [32, 64, 128, 256]},
+    "DEEP_NET": {"units": [32, 64, 128, 256]},
+    "LATENT_FOREST": {"components": [8, 16, 32], "numTrees": [100, 250, 500]},
 }
+#: Names of recurrent nets, which Spark ML does not have; they are refused rather than replaced in silence.
+RECURRENT = {"LSTM": "NET", "BILSTM": "DEEP_NET", "LSTM_RF": "LATENT_FOREST", "ARIMA_LSTM": "residual_model"}
 
 
 def estimator(kind: str, n_inputs: int, features: str = "scaled", **params):
@@ -37,18 +42,21 @@ def estimator(kind: str, n_inputs: int, features: str = "scaled", **params):
         return RandomForestClassifier(seed=SEED, **common, **params)
     if kind == "XGBOOST":
         return GBTClassifier(seed=SEED, **common, **params)
-    if kind in ("LSTM", "BILSTM", "NET"):
+    if kind in ("NET", "DEEP_NET"):
         units = params.pop("units", 32)
-        return MultilayerPerceptronClassifier(layers=[n_inputs, units, 2], seed=SEED, **common, **params)
+        hidden = [units] if kind == "NET" else [units, max(2, units // 2), 16]
+        return MultilayerPerceptronClassifier(layers=[n_inputs, *hidden, 2], seed=SEED, **common, **params)
     if kind == "LOGISTIC":
         return LogisticRegression(**common, **params)
+    if kind in RECURRENT:
+        raise ValueError(f"{kind} is a recurrent net, which there is none of here; the nearest is {RECURRENT[kind]}")
     raise ValueError(f"unknown model kind {kind!r}")
 
 
 def stages_of(kind: str, n_inputs: int, components: int | None = None, **params) -> Pipeline:
-    """Scaler fitted on the training rows, then the classifier; LSTM_RF is PCA features -> forest."""
+    """Scaler fitted on the training rows, then the classifier; LATENT_FOREST is PCA features -> forest."""
     scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True)
-    if kind == "LSTM_RF":
+    if kind == "LATENT_FOREST":
         k = components or 8
         pca = PCA(k=k, inputCol="scaled", outputCol="latent")
         return Pipeline(stages=[scaler, pca, estimator("RANDOM_FOREST", k, "latent", **params)])
@@ -81,9 +89,11 @@ class Fitted:
 
 
 def fit(train: DataFrame, kind: str, n_inputs: int, **params) -> Fitted:
+    """Fit the scaler, then the rest on scaled and clipped vectors, which are written once: a tree learner passes over its
+    input many times."""
     scaler, *rest = stages_of(kind, n_inputs, **params).getStages()
     models = [scaler.fit(train)]
-    d = clip_vector(models[0].transform(train), "scaled", "scaled")
+    d = cut(clip_vector(models[0].transform(train), "scaled", "scaled").select("Label", "scaled"))
     for stage in rest:
         models.append(stage.fit(d))
         d = models[-1].transform(d) if stage is not rest[-1] else d
@@ -112,36 +122,58 @@ def class_report(scored: DataFrame, keys: Sequence[str], label: str = "Label",
                     ((one + zero) / n_cls).alias("f1_macro"))
 
 
-def search(train: DataFrame, kind: str, n_inputs: int, grid: dict | None = None, trials: int = 10,
-           metric: str = "f1_macro", idx: str = "train_idx", n: str = "n_train",
-           workers: int = 4, n_splits: int = 3) -> DataFrame:
-    """Random search over the grid with purged, embargoed folds; one row per (trial, fold).
+TRIAL = "trial int, params string, fold int, score double, n_train long, n_val long, pruned boolean"
+
 
-    `train` is fitted many times, so the caller should persist it.  Fits run side by side from a
-    driver thread pool; each is a distributed job.
+def search(train: DataFrame, kind: str, n_inputs: int, grid: dict | None = None, trials: int = 10,
+           metric: str = "f1_macro", idx: str = "train_idx", n: str = "n_train", n_splits: int = 3,
+           purge: int = 60, embargo: int = 10, prune: bool = False, fixed: dict | None = None) -> DataFrame:
+    """Sequential search with purged, embargoed folds; one row per (trial, fold), params as JSON.
+
+    Every trial is proposed from the scores of those before it (`surrogate.propose`).  The folds of a trial are fitted
+    side by side, each a distributed job; with `prune` they run one after another, and a trial whose mean falls under the
+    median of earlier trials at the same fold ends there.  `fixed` parameters are not searched.  `train` is fitted many
+    times, so its folds are materialised once.
     """
-    spark = train.sparkSession
-    grid = grid or GRIDS.get(kind, {})
-    cells = [dict(zip(grid, v)) for v in product(*grid.values())] or [{}]
-    random.Random(SEED).shuffle(cells)
-    cells = cells[:trials]
-    roles = purged_folds(train, n_splits=n_splits, idx=idx, n=n)
-
-    def run(job):
-        trial, params, fold = job
+    grid = grid or GRIDS[kind]
+    roles = cut(purged_folds(train, n_splits=n_splits, purge=purge, embargo=embargo, idx=idx, n=n))
+    sizes = {(r["fold"], r["role"]): r["count"] for r in roles.groupBy("fold", "role").count().collect()}   # folds x 2
+    usable = [f for f in range(n_splits) if sizes.get((f, "train")) and sizes.get((f, "val"))]
+    history: list[tuple[dict, float]] = []
+    by_fold: list[list[float]] = []
+    rows: list[tuple] = []
+
+    def run(params, fold):
         part = roles.filter(F.col("fold") == fold)
-        model = fit(part.filter("role = 'train'"), kind, n_inputs, **params)
-        rep = class_report(model.transform(part.filter("role = 'val'")), [])
-        return rep.select(F.lit(trial).alias("trial"), F.lit(str(params)).alias("params"),
-                          F.lit(fold).alias("fold"), F.col(metric).alias("score"))
-
-    jobs = [(t, p, f) for t, p in enumerate(cells) for f in range(n_splits)]
-    with ThreadPoolExecutor(workers) as pool:
-        frames = list(pool.map(run, jobs))
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+        model = fit(part.filter("role = 'train'"), kind, n_inputs, **params, **(fixed or {}))
+        return float(class_report(model.transform(part.filter("role = 'val'")), []).first()[metric])
+
+    for trial in range(trials if usable else 0):
+        params = surrogate.propose(grid, history, SEED)
+        if params is None:
+            break
+        if prune:
+            scores: list[float] = []
+            for fold in usable:
+                scores.append(run(params, fold))
+                if surrogate.hopeless(scores, by_fold):
+                    break
+        else:
+            with ThreadPoolExecutor(len(usable)) as pool:
+                scores = list(pool.map(lambda fold: run(params, fold), usable))
+        pruned = len(scores) < len(usable)
+        history.append((params, sum(scores) / len(scores)))
+        by_fold.append(scores)
+        rows += [(trial, json.dumps(params, sort_keys=True), fold, score, sizes[fold, "train"], sizes[fold, "val"], pruned)
+                 for fold, score in zip(usable, scores)]
+    return train.sparkSession.createDataFrame(rows, TRIAL)
+
+
+def best_params(trials: DataFrame) -> dict:
+    """Parameters of the trial with the best mean score that ran to its end; of equal ones the first."""
+    means = trials.filter("not pruned").groupBy("trial", "params").agg(F.avg("score").alias("mean"))
+    best = means.orderBy(F.desc("mean"), "trial").first()
+    return json.loads(best["params"]) if best else {}
 
 
 def walk_forward(df: DataFrame, kind: str, n_inputs: int, epochs: Sequence[int], step: int = 60,

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tidebar.functions.expr import clip, dbl
-from tidebar.operators.series import simple_return
+from tidebar.operators.series import block_of, dense_index, range_index, simple_return
+from tidebar.session import cut
 
 MAX_LAG = 100
 RECENT = 1500
@@ -59,57 +60,53 @@ def hurst(bars: DataFrame, col: str = "close", max_lag: int = MAX_LAG) -> DataFr
 
 def aligned_returns(bars: DataFrame, name: str = "symbol", ret: str = "ret",
                     time: str = "time") -> DataFrame:
-    """Per symbol the returns at the times that all symbols have, as one ordered array.
-
-    The arrays are bounded by the number of recent bars the caller keeps.
-    """
-    n = bars.select(name).distinct().agg(F.count(F.lit(1)).alias("_n"))
-    common = (bars.groupBy(time).agg(F.count(F.lit(1)).alias("_k")).join(n, F.col("_k") == F.col("_n"))
-              .select(time))
-    return (bars.join(common, time, "left_semi").groupBy(name)
-            .agg(F.transform(F.sort_array(F.collect_list(F.struct(time, ret))),
-                             lambda s: s[ret]).alias("r")))
-
-
-def _mean(a: Column) -> Column:
-    return F.aggregate(a, dbl(0.0), lambda s, x: s + x) / F.size(a)
-
-
-def array_cov(a: Column, b: Column, ddof: int = 1) -> Column:
-    ma, mb = _mean(a), _mean(b)
-    total = F.aggregate(F.zip_with(a, b, lambda x, y: (x - ma) * (y - mb)), dbl(0.0), lambda s, x: s + x)
-    return total / (F.size(a) - ddof)
-
-
-def array_corr(a: Column, b: Column) -> Column:
-    va, vb = array_cov(a, a), array_cov(b, b)
-    return F.when((va > 0) & (vb > 0), array_cov(a, b) / F.sqrt(va * vb))
+    """Per symbol its returns in time order, with their times, so that any two symbols can be compared where both have
+    one.  The arrays are bounded by the number of recent bars the caller keeps."""
+    rows = F.sort_array(F.collect_list(F.struct(time, ret)))
+    days = F.unix_micros(F.col(time).cast("timestamp")) if bars.schema[time].dataType.typeName() in (
+        "date", "timestamp", "timestamp_ntz") else F.col(time).cast("long")
+    return (bars.withColumn(time, days).groupBy(name).agg(rows.alias("_x"))
+            .select(name, F.transform("_x", lambda s: s[time]).alias("t"), F.transform("_x", lambda s: s[ret]).alias("r")))
+
+
+def _pair_sums(times: list, returns: list) -> tuple[np.ndarray, np.ndarray]:
+    """(shared observations, correlation) of every two rows over the times both have."""
+    at = np.unique(np.concatenate(times)) if len(times) else np.zeros(0)
+    x, have = np.zeros((len(times), len(at))), np.zeros((len(times), len(at)))
+    for k, (t, r) in enumerate(zip(times, returns)):
+        place = np.searchsorted(at, t)
+        x[k, place], have[k, place] = r, 1.0
+    x -= have * (x.sum(1) / np.maximum(have.sum(1), 1))[:, None]          # centred once, for the digits
+    n, s, q = have @ have.T, x @ have.T, (x * x) @ have.T
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cov, var = x @ x.T - s * s.T / n, q - s * s / n
+        return n, np.where((var > 0) & (var.T > 0) & (n > 1), cov / np.sqrt(var * var.T), np.nan)
 
 
 def correlation(arrays: DataFrame, name: str = "symbol") -> DataFrame:
-    """Correlation of every unordered pair: the pairs are the result, one row each.
+    """Correlation of every unordered pair over the times they share: the pairs are the result, one row each.
 
-    Symbols are dealt into tiles of about `TILE`; each pair of tiles meets under an equi key and is one matrix product.
+    Symbols are dealt into tiles of about `TILE`; each pair of tiles meets under an equi key and is four matrix products.
+    `arrays` is written once, as it is counted and then dealt.
     """
+    arrays = cut(arrays)
     tiles = 1 + arrays.count() // TILE                       # one number; its square is the number of groups
     tile = F.pmod(F.xxhash64(name), F.lit(tiles))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long")))
-    dealt = arrays.select(F.col(name).alias("a"), "r", tile.alias("own"), other.alias("other")).select(
-        "a", "r", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    dealt = arrays.select(F.col(name).alias("a"), "t", "r", tile.alias("own"), other.alias("other")).select(
+        "a", "t", "r", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
 
     def product(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("a")
-        x = np.vstack([np.asarray(r, float) for r in pdf["r"]]) if len(pdf) else np.zeros((0, 1))
-        x = x - x.mean(axis=1, keepdims=True)
-        cov, names, own = x @ x.T, pdf["a"].to_numpy(object), pdf["own"].to_numpy()
+        n, c = _pair_sums([np.asarray(t) for t in pdf["t"]], [np.asarray(r, float) for r in pdf["r"]])
+        names, own = pdf["a"].to_numpy(object), pdf["own"].to_numpy()
         i, j = np.triu_indices(len(names), 1)
         if len(pdf) and pdf["lo"].iloc[0] != pdf["hi"].iloc[0]:
             i, j = i[own[i] != own[j]], j[own[i] != own[j]]   # pairs within a tile belong to the tile itself
-        var = np.diag(cov)
-        ok = (var[i] > 0) & (var[j] > 0)
-        corr = np.full(len(i), None, object)
-        corr[ok] = cov[i[ok], j[ok]] / np.sqrt(var[i[ok]] * var[j[ok]])
-        return pd.DataFrame({"a": names[i], "b": names[j], "n_obs": np.full(len(i), x.shape[1], np.int32), "corr": corr})
+        i, j = i[n[i, j] > 0], j[n[i, j] > 0]                 # two symbols without a shared time are no pair
+        corr = c[i, j].astype(object)
+        corr[np.isnan(c[i, j])] = None
+        return pd.DataFrame({"a": names[i], "b": names[j], "n_obs": n[i, j].astype(np.int32), "corr": corr})
 
     return dealt.groupBy("lo", "hi").applyInPandas(product, "a string, b string, n_obs int, corr double")
 
@@ -117,30 +114,43 @@ def correlation(arrays: DataFrame, name: str = "symbol") -> DataFrame:
 def greedy_decorrelate(ranked: DataFrame, corr: DataFrame, max_corr: float = 0.80) -> DataFrame:
     """Keep a candidate if its |correlation| with every one kept before is at most `max_corr`.
 
-    `ranked`: symbol, rank, one row per candidate; the fold runs over one row of names and conflicts.
+    `ranked`: symbol, rank, one row per candidate.  A round keeps every undecided candidate that conflicts with no undecided
+    one before it and drops what conflicts with those; the result is that of the walk in order.  Rounds work on
+    conflicts as rows, so no task sees all names.  `pos` is the place among the kept.
     """
-    bad = corr.filter(F.abs("corr") > max_corr)
-    both = bad.select("a", "b").unionByName(bad.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    conflicts = both.groupBy(F.col("a").alias("symbol")).agg(F.collect_list("b").alias("conflicts"))
-    none = F.array().cast("array<string>")
-    row = (ranked.join(conflicts, "symbol", "left")
-           .agg(F.sort_array(F.collect_list(F.struct(
-               "rank", "symbol", F.coalesce("conflicts", none).alias("conflicts")))).alias("_c")))
-    kept = F.aggregate("_c", none, lambda acc, c: F.when(
-        F.arrays_overlap(acc, c["conflicts"]), acc).otherwise(F.concat(acc, F.array(c["symbol"]))))
-    return row.select(F.posexplode(kept).alias("pos", "symbol"))
+    place = ranked.select("symbol", "rank")
+    bad = corr.filter(F.abs("corr") > max_corr).select("a", "b")
+    lower, upper = place.toDF("a", "_ra"), place.toDF("b", "_rb")
+    first = F.col("_ra") < F.col("_rb")
+    edges = cut(bad.join(lower, "a").join(upper, "b").select(
+        F.when(first, F.col("a")).otherwise(F.col("b")).alias("lo"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("hi")))
+    waiting = cut(place)
+    kept = []
+    while not edges.isEmpty():
+        keep = cut(waiting.join(edges.select(F.col("hi").alias("symbol")).distinct(), "symbol", "left_anti"))
+        kept.append(keep)
+        gone = edges.join(keep.select(F.col("symbol").alias("lo")), "lo", "left_semi").select(F.col("hi").alias("symbol")).distinct()
+        waiting = cut(waiting.join(keep.select("symbol").unionByName(gone), "symbol", "left_anti"))
+        still = waiting.select("symbol")
+        edges = cut(edges.join(still.withColumnRenamed("symbol", "lo"), "lo", "left_semi")
+                    .join(still.withColumnRenamed("symbol", "hi"), "hi", "left_semi"))
+    out = reduce(DataFrame.unionByName, kept, waiting)
+    numbered = dense_index(out.withColumn("_all", F.lit(0)), ["_all"], "rank", block_of("rank"), "pos")
+    return numbered.select(F.col("pos").cast("int").alias("pos"), "symbol")
 
 
 def screen_universe(bars: DataFrame, min_hurst: float = 0.55, max_corr: float = 0.80) -> DataFrame:
     """Hurst filter, then greedy decorrelation in symbol order; if nothing passes the filter, all candidates go on.
 
-    Every symbol of `bars` is a candidate.  Returns are aligned on time.
+    Every symbol of `bars` is a candidate.  Two symbols are compared at the times both have, so a short series shortens
+    only its own pairs.
     """
-    recent = recent_bars(bars).filter(F.col("n_bars") > 200)
+    recent = cut(recent_bars(bars).filter(F.col("n_bars") > 200))
     scores = hurst(recent)
-    passed = F.max(F.col("hurst") >= min_hurst).over(Window.partitionBy())       # one row per symbol
-    flagged = scores.withColumn("_any", passed).filter((F.col("hurst") >= min_hurst) | ~F.col("_any"))
-    ranked = flagged.withColumn("rank", F.row_number().over(Window.orderBy("symbol"))).select("symbol", "rank", "hurst")
+    scores = cut(scores)
+    if not scores.filter(F.col("hurst") >= min_hurst).isEmpty():
+        scores = scores.filter(F.col("hurst") >= min_hurst)
+    ranked = cut(range_index(scores, ["symbol"], "rank").select("symbol", "rank", "hurst"))
     returns = simple_return(recent.join(ranked.select("symbol"), "symbol", "left_semi"))
     corr = correlation(aligned_returns(returns))
     return greedy_decorrelate(ranked, corr, max_corr).join(ranked.select("symbol", "hurst"), "symbol")

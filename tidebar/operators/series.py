@@ -16,6 +16,9 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidebar.functions.expr import dbl
+from tidebar.session import cut
+
 KEYS = ("symbol",)
 BLOCK = 4096
 BLK = "_blk"
@@ -52,6 +55,24 @@ def dense_index(df: DataFrame, keys: Sequence[str], order: str, bucket: Column,
             .drop(BLK, "_rn", "_off", "_total"))
 
 
+def range_index(df: DataFrame, order: Sequence[str], idx: str, n: str | None = None) -> DataFrame:
+    """Dense 0-based number of each row of the whole table by `order`, and (as `n`) the row count.
+
+    Rows are sorted into range partitions, so a crowded day or month is cut like any other stretch; a row's number is
+    its place in its partition after the counts of the partitions before, one row each.
+    """
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    placed = cut(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    inside = Window.partitionBy("_part").orderBy(*order)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
+                            F.sum("_n").over(Window.partitionBy()).alias(n or "_total"))
+    return (placed.withColumn("_rn", F.row_number().over(inside)).join(offsets, "_part")
+            .withColumn(idx, (F.col("_off") + F.col("_rn") - 1).cast("long")).drop("_part", "_rn", "_off", "_total"))
+
+
 def with_bar_idx(df: DataFrame, keys: Sequence[str] = KEYS, time: str = "time",
                  bucket: str = "month") -> DataFrame:
     """Add dense `bar_idx` (by time) and `n_bars` per series, numbering month by month."""
@@ -281,12 +302,50 @@ def path_summary(df: DataFrame, ret: str = "ret", *, keys: Sequence[str] = KEYS,
                  .alias("mdd")))
 
 
+MAPS = 64            # affine maps that meet in one row
+
+
+def _affine_entries(maps: DataFrame, start: float, keys: Sequence[str]) -> DataFrame:
+    """Value before every block; `maps`: keys, block, and v -> _m * v + _a over the block.
+
+    MAPS neighbours compose to one map of the level above until a key's maps fit one row; values then come down.
+    """
+    keys = list(keys)
+    one = F.struct(dbl(1.0).alias("m"), dbl(0.0).alias("a"))
+
+    def groups(level):
+        return (level.withColumn("_up", block_of(BLK, MAPS)).groupBy(*keys, "_up")
+                .agg(F.sort_array(F.collect_list(F.struct(BLK, "_m", "_a"))).alias("_c")))
+
+    levels, top = [cut(maps)], maps.agg(F.max(BLK)).first()[0] or 0           # one number: how many levels there are
+    while top >= MAPS:
+        both = F.aggregate("_c", one, lambda s, c: F.struct(
+            (s["m"] * c["_m"]).alias("m"), (s["a"] * c["_m"] + c["_a"]).alias("a")))
+        levels.append(cut(groups(levels[-1]).withColumn("_t", both).select(
+            *keys, F.col("_up").alias(BLK), F.col("_t.m").alias("_m"), F.col("_t.a").alias("_a"))))
+        top //= MAPS
+    entered = None
+    for level in reversed(levels):
+        g = groups(level)
+        if entered is None:
+            g = g.withColumn("_first", dbl(start))
+        else:
+            g = g.join(entered.select(*keys, F.col(BLK).alias("_up"), F.col("_v0").alias("_first")), [*keys, "_up"])
+        rows = F.slice(F.array(F.struct(F.lit(0).cast("long").alias(BLK), dbl(0.0).alias("v"))), 1, 0)
+        walked = F.aggregate("_c", F.struct(F.col("_first").alias("v"), rows.alias("rows")), lambda s, c: F.struct(
+            (s["v"] * c["_m"] + c["_a"]).alias("v"),
+            F.concat(s["rows"], F.array(F.struct(c[BLK].alias(BLK), s["v"].alias("v")))).alias("rows")), lambda s: s["rows"])
+        entered = g.select(*keys, F.explode(walked).alias("_s")).select(
+            *keys, F.col(f"_s.{BLK}").alias(BLK), F.col("_s.v").alias("_v0"))
+    return entered
+
+
 def affine_path(df: DataFrame, start: float, mult: str, add: str, out: str, *,
                 keys: Sequence[str], pos: str, size: int = 512) -> DataFrame:
-    """Value after each row of v -> mult * v + add, as a two-level scan of affine maps.
+    """Value after each row of v -> mult * v + add, as a scan of affine maps in levels.
 
     Inside a block v_t = P_t * (v_0 + sum add_k / P_k) with P the running product of `mult`, which
-    must not be 0; blocks are short enough for P to stay in range.
+    must not be 0; blocks are short enough for P to stay in range.  Blocks are maps of the value before them.
     """
     keys = list(keys)
     base = df.withColumn(BLK, block_of(pos, size))
@@ -294,12 +353,8 @@ def affine_path(df: DataFrame, start: float, mult: str, add: str, out: str, *,
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = (base.withColumn("_p", F.product(F.col(mult)).over(upto))
              .withColumn("_s", F.sum(F.col(add) / F.col("_p")).over(upto)))
-    before = Window.partitionBy(*keys).orderBy(BLK).rowsBetween(Window.unboundedPreceding, -1)
-    blocks = (local.groupBy(*keys, BLK)
-              .agg(F.max_by("_p", pos).alias("_bp"), F.max_by("_s", pos).alias("_bs"))
-              .withColumn("_q", F.coalesce(F.product("_bp").over(before), F.lit(1.0)))
-              .withColumn("_r", F.coalesce(F.sum(F.col("_bs") / F.col("_q")).over(before), F.lit(0.0)))
-              .select(*keys, BLK, (F.col("_q") * (F.lit(start) + F.col("_r"))).alias("_v0")))
-    return (local.join(blocks, [*keys, BLK])
+    maps = (local.groupBy(*keys, BLK).agg(F.max_by("_p", pos).alias("_m"), F.max_by("_s", pos).alias("_bs"))
+            .withColumn("_a", F.col("_m") * F.col("_bs")).drop("_bs"))
+    return (local.join(_affine_entries(maps, start, keys), [*keys, BLK])
             .withColumn(out, F.col("_p") * (F.col("_v0") + F.col("_s")))
             .drop(BLK, "_p", "_s", "_v0"))

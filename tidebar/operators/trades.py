@@ -3,8 +3,8 @@
 The reference semantics walk a series bar by bar.  Here every candidate entry already knows its
 exit (`barriers.outcomes`), and the walk over a block of bars depends on the past only through the
 first bar that is free again.  A trade lasts at most `max_hold` bars, so that is one of `max_hold`
-offsets into the block: each block is folded once per offset, the small offset maps are chained
-along the series, and the block is replayed from its true offset.
+offsets into the block: each block is folded once per offset, the small offset maps are composed
+in a tree, and the block is replayed from its true offset.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ STRATEGY = ("symbol", "model", "bank", "threshold")
 THRESHOLDS = (0.50, 0.55, 0.60, 0.65, 0.70, 0.75)
 KILL = -0.20
 WALK = 1024
+FAN = 64             # block maps that meet in one row
 
 
 def signals(probs: DataFrame, thresholds: Sequence[float] = THRESHOLDS) -> DataFrame:
@@ -43,36 +44,77 @@ def _blocks(cands: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataF
             .agg(F.sort_array(F.collect_list(F.struct("bar_idx", *cols))).alias("_c")))
 
 
+def _walk(first, width: int, collect: bool):
+    """Fold of `_c`, neighbouring maps in order, from offset `first` into the first of them.
+
+    Where the next block is missing no trade runs on into it, so its offset is 0.  Gives the offset after the last map,
+    or with `collect` every block with the offset it is entered at.
+    """
+    zero = F.lit(0).cast("long")
+    rows = F.slice(F.array(F.struct(zero.alias(BLK), zero.alias("off"))), 1, 0)
+
+    def step(state, m):
+        off = F.when(m[BLK] == state["blk"] + 1, state["off"]).otherwise(zero)
+        out = [m[BLK].alias("blk"), F.get(m["_map"], off.cast("int")).alias("off")]
+        if collect:
+            out.append(F.concat(state["rows"], F.array(F.struct(m[BLK].alias(BLK), off.alias("off")))).alias("rows"))
+        return F.struct(*out)
+
+    start = [(F.col("_up") * FAN - 1).alias("blk"), first.alias("off")] + ([rows.alias("rows")] if collect else [])
+    if collect:
+        return F.aggregate("_c", F.struct(*start), step, lambda st: st["rows"])
+    # a group whose last blocks are missing ends at offset 0 as well
+    return F.aggregate("_c", F.struct(*start), step, lambda st: F.when(
+        st["blk"] == F.col("_up") * FAN + FAN - 1, st["off"]).otherwise(zero))
+
+
+def _groups(maps: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Up to FAN neighbouring maps of a key in one row."""
+    return (maps.withColumn("_up", F.floor(F.col(BLK) / FAN).cast("long")).groupBy(*keys, "_up")
+            .agg(F.sort_array(F.collect_list(F.struct(BLK, "_map"))).alias("_c")))
+
+
+def entry_offsets(maps: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
+    """Offset at which every block is entered; `maps`: keys, block, and for each entry offset the one after it.
+
+    Maps compose, so FAN neighbours become one map of the level above, level by level until a key's maps fit one group;
+    then the offsets come down again.  No row ever holds more than FAN maps.
+    """
+    keys = list(keys)
+    levels, top = [cut(maps)], maps.agg(F.max(BLK)).first()[0] or 0          # one number: how many levels there are
+    while top >= FAN:
+        above = _groups(levels[-1], keys).select(*keys, F.col("_up").alias(BLK), F.transform(
+            F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long")), lambda o: _walk(o, width, False)).alias("_map"))
+        levels.append(cut(above))
+        top //= FAN
+    entered = None
+    for level in reversed(levels):
+        groups = _groups(level, keys)
+        if entered is None:
+            first = F.lit(0).cast("long")
+        else:
+            groups = groups.join(entered.select(*keys, F.col(BLK).alias("_up"), F.col("_off").alias("_first")), [*keys, "_up"])
+            first = F.col("_first")
+        entered = (groups.select(*keys, F.explode(_walk(first, width, True)).alias("_s"))
+                   .select(*keys, F.col(f"_s.{BLK}").alias(BLK), F.col("_s.off").alias("_off")))
+    return entered
+
+
 def non_overlapping(cands: DataFrame, keys: Sequence[str] = STRATEGY, max_hold: int = 10) -> DataFrame:
     """Trades taken by walking the candidates in order and jumping to each exit bar."""
     keys = list(keys)
     cols = [c for c in cands.columns if c not in (*keys, "bar_idx")]
-    blocks = _blocks(cands, keys, cols)
+    blocks = cut(_blocks(cands, keys, cols))                                 # folded for the maps, then replayed
     begin = F.col(BLK) * WALK
 
     def free_after(first):
         return F.aggregate("_c", first, lambda nxt, c: F.when(
             c["bar_idx"] >= nxt, c["exit_idx"]).otherwise(nxt))
 
-    mapped = blocks.select(*keys, BLK, F.transform(
+    maps = blocks.select(*keys, BLK, F.transform(
         F.sequence(F.lit(0), F.lit(max_hold - 1)),
         lambda o: F.greatest(free_after(begin + o) - begin - WALK, F.lit(0))).alias("_map"))
-
-    def chain(state, b):
-        off = F.when(b[BLK] == state["blk"] + 1, state["off"]).otherwise(F.lit(0).cast("long"))
-        return F.struct(b[BLK].alias("blk"), F.get(b["_map"], off.cast("int")).alias("off"),
-                        F.concat(state["starts"], F.array(F.struct(b[BLK].alias(BLK), off.alias("off"))))
-                        .alias("starts"))
-
-    zero = F.lit(0).cast("long")
-    empty = F.slice(F.array(F.struct(zero.alias(BLK), zero.alias("off"))), 1, 0)
-    starts = (mapped.groupBy(*keys)
-              .agg(F.sort_array(F.collect_list(F.struct(BLK, "_map"))).alias("_b"))
-              .select(*keys, F.explode(F.aggregate(
-                  "_b", F.struct(F.lit(-1).cast("long").alias("blk"), zero.alias("off"),
-                                 empty.alias("starts")),
-                  chain, lambda s: s["starts"])).alias("_s"))
-              .select(*keys, F.col(f"_s.{BLK}").alias(BLK), F.col("_s.off").alias("_off")))
+    starts = entry_offsets(maps, keys, max_hold)
 
     def take(state, c):
         free = c["bar_idx"] >= state["nxt"]

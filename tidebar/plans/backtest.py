@@ -13,7 +13,7 @@ from tidebar.operators.bootstrap import bootstrap_mdd
 from tidebar.operators.champion import champions
 from tidebar.operators.metrics import cagr, series_metrics, trade_metrics
 from tidebar.operators.series import (affine_path, dense_index, block_of, equity, in_blocks, path_summary,
-                                      simple_return, sma)
+                                      range_index, simple_return, sma)
 from tidebar.session import cut
 from tidebar.operators.trades import STRATEGY, THRESHOLDS, candidates, signals, simulate
 
@@ -68,15 +68,19 @@ def buy_and_hold(bars: DataFrame) -> DataFrame:
     return simple_return(bars).filter("bar_idx > 0")
 
 
-def trend_returns(bars: DataFrame, n: int = 200) -> DataFrame:
-    """Long/cash: the next bar's return where close > SMA, else 0; series shorter than n+1 give none."""
+def trend_returns(bars: DataFrame, n: int | None = None, timeframe: str = "D1") -> DataFrame:
+    """Long/cash: the next bar's return where close > SMA, else 0; series shorter than n+1 give none.
+
+    The average spans about 200 trading days, whatever the timeframe (`SMA_BARS`), unless `n` is given."""
+    n = SMA_BARS[timeframe] if n is None else n
     enough = bars.filter(F.col("n_bars") >= n + 1)
     d = next_returns(sma(enough, n)).filter("ret is not null")
     return d.withColumn("ret", F.when(F.col("close") > F.col("sma"), F.col("ret")).otherwise(dbl(0.0)))
 
 
-def tournament_report(evaluated: DataFrame, bars: DataFrame, sma_bars: int = 200) -> DataFrame:
+def tournament_report(evaluated: DataFrame, bars: DataFrame, timeframe: str = "D1") -> DataFrame:
     """Champions per model with risk-free, buy & hold and trend rows, one table per symbol."""
+    sma_bars = SMA_BARS[timeframe]
     per_model, _ = pick_champions(evaluated)
     null = lambda t="double": F.lit(None).cast(t)
     champ = per_model.select("symbol", F.col("model").alias("name"), "bank", "threshold", "is_dead",
@@ -141,17 +145,16 @@ def journal_equity(journal: DataFrame, capital: float = 10000.0, fallback: float
 
     pnl is +risk * (1.33 if the score is above 0.65 else 1), or -risk below the threshold.  A missing
     risk is a share of the running capital, so each row maps capital to m * capital + a; such maps
-    chain by a two-level scan.
+    chain by a scan in levels.  Rows are numbered by range partitions, whatever a month holds.
     """
     d = journal.filter("status = 'EJECUTADO'").withColumn("_all", F.lit(0))
-    d = d.withColumn("_o", F.struct("timestamp", "order_no"))
-    d = dense_index(d, ["_all"], "_o", F.date_trunc("month", F.col("timestamp")), "seq", "n_exec")
+    d = range_index(d, ["timestamp", "order_no"], "seq", "n_exec")
     gain = F.when(F.col("probability") >= F.col("threshold"),
                   F.when(F.col("probability") > 0.65, dbl(1.33)).otherwise(dbl(1.0))).otherwise(dbl(-1.0))
     has = F.col("risk_usd").isNotNull() & (F.col("risk_usd") > 0)
     d = d.withColumns({"_m": F.when(has, dbl(1.0)).otherwise(1 + dbl(fallback) * gain),
                        "_a": F.when(has, F.col("risk_usd") * gain).otherwise(dbl(0.0))})
-    return affine_path(d, capital, "_m", "_a", "capital", keys=["_all"], pos="seq").drop("_o", "_m", "_a")
+    return affine_path(d, capital, "_m", "_a", "capital", keys=["_all"], pos="seq").drop("_m", "_a")
 
 
 def live_kpis(curve: DataFrame, capital: float = 10000.0) -> DataFrame:

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from tidebar.operators.series import KEYS, day_number, fill
+from tidebar.operators.series import KEYS, day_number, fill, running
+from tidebar.session import cut
 
 BAR_FIELDS = ("open", "high", "low", "close", "tick_volume", "real_volume", "spread")
 BAR_SCHEMA = T.StructType([
@@ -20,23 +23,19 @@ BAR_WIDTH = {"D1": "1 day", "H4": "4 hours", "H1": "1 hour"}
 def read_bar_csv(spark: SparkSession, path: str, symbol_pattern: str = r"([^/]+)_daily\.csv$") -> DataFrame:
     """All bar files of a folder; the symbol comes from the file path.
 
-    Columns are taken by each file's own header, so files may differ in column order and have a leading unnamed index
-    column; a column that a file lacks is null.  Files with the same header are read in one scan.  Rows without a
-    close are dropped.
+    Columns are taken by each file's own header line, one that names `close`, so files may differ in column order and have
+    a leading unnamed index column; a column that a file lacks is null.  Headers are joined to their files' lines, so
+    any number of layouts is one plan, and files without lines give no rows.  Rows without a close are dropped.
     """
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value",
-                                         F.col("_metadata.file_block_start").alias("block"))
-    heads = lines.where("block = 0").groupBy("file").agg(F.first("value").alias("head"))
-    groups = heads.groupBy("head").agg(F.collect_list("file").alias("files")).collect()    # file names only
-    out = None
-    for group in groups:
-        raw = spark.read.option("header", True).csv(group["files"])
-        cols = [(F.expr(f"try_cast(`{f.name}` as {f.dataType.simpleString()})") if f.name in raw.columns
-                 else F.lit(None).cast(f.dataType)).alias(f.name) for f in BAR_SCHEMA]
-        symbol = F.regexp_extract(F.col("_metadata.file_path"), symbol_pattern, 1)
-        part = raw.select(symbol.alias("symbol"), *cols)
-        out = part if out is None else out.unionByName(part)
-    return out.na.drop(subset=["close"])
+    fields = F.transform(F.split("value", ","), lambda f: F.trim(F.replace(f, F.lit('"'), F.lit(""))))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), fields.alias("f"))
+    is_head = F.array_contains("f", "close")
+    heads = lines.filter(is_head).select("file", F.col("f").alias("names")).dropDuplicates(["file"])
+    at = {f.name: F.array_position("names", f.name) for f in BAR_SCHEMA}
+    rows = lines.filter(~is_head).join(heads, "file")
+    cols = [F.when(p > 0, F.get("f", p.cast("int") - 1)).try_cast(BAR_SCHEMA[c].dataType).alias(c) for c, p in at.items()]
+    symbol = F.regexp_extract("file", symbol_pattern, 1)
+    return rows.select(symbol.alias("symbol"), *cols).na.drop(subset=["close"])
 
 
 def normalise_bars(df: DataFrame, timeframe: str = "D1", epoch: str = "time") -> DataFrame:
@@ -118,18 +117,19 @@ def flatten_series(docs: DataFrame, out: str = "TPM", keep: Sequence[str] = ())
 
 
 def clean_spread(df: DataFrame, raw_date: str, raw_value: str, lag: int = 3,
-                 out: str = "EMBI") -> DataFrame:
+                 out: str = "EMBI", keys: Sequence[str] = ()) -> DataFrame:
     """Coerce text to date and number (NULL on error), drop bad dates, delay by `lag` rows.
 
-    The delay is by row; days are numbered densely so that blocks can be used instead of one
+    The delay is by row within each of `keys`; days are numbered densely so that blocks can be used instead of one
     ordered partition.
     """
     from tidebar.operators.series import dense_index, lagged
-    d = df.select(F.expr(f"try_to_date({raw_date})").alias("date"),
+    by = [*keys, "_all"]
+    d = df.select(*keys, F.expr(f"try_to_date({raw_date})").alias("date"),
                   F.expr(f"try_cast({raw_value} as double)").alias(out), F.lit(0).alias("_all"))
     d = d.filter("date is not null")
-    d = dense_index(d, ["_all"], "date", F.year("date"), "_pos")
-    return lagged(d, [out], lag, keys=["_all"], pos="_pos").drop("_all", "_pos")
+    d = dense_index(d, by, "date", F.year("date"), "_pos")
+    return lagged(d, [out], lag, keys=by, pos="_pos").drop("_all", "_pos")
 
 
 def normalise_download(df: DataFrame) -> DataFrame:
@@ -166,24 +166,57 @@ def spine_join(spine: DataFrame, series: DataFrame, cols: Sequence[str],
     return fill(d, cols, keys=["_all"], pos="_pos", backfill=backfill).drop("_all", "_pos")
 
 
+DAY = 86_400_000_000
+
+
 def asof_backward(left: DataFrame, right: DataFrame, cols: Sequence[str], *,
-                  by: Sequence[str] = (), time: str = "time", backfill: bool = True) -> DataFrame:
-    """Newest right row at or before each left row; leading holes take the next right row.
+                  by: Sequence[str] = (), time: str = "time", backfill: bool = True, width: int = DAY) -> DataFrame:
+    """Newest right value at or before each left row; leading holes take the next right value.
 
-    Both sides are put on one time line and the right values carried forward by a two-level scan, so
-    there is no range join and no key is ordered in one task.
+    Time is cut into buckets of `width` microseconds.  The right side becomes one row per (by, bucket): its rows in
+    time order, and what was last seen before and is first seen after it.  Left rows meet that row under an equi key,
+    so neither side is ever ordered, and a crowded bucket of the left side is only a skewed join key, which can be split.
+    A bucket of the right side is one array; choose `width` so that it stays small.
     """
     by = list(by)
-    a = left.withColumns({"_side": F.lit(1), **{f"_r_{c}": F.lit(None).cast(right.schema[c].dataType)
-                                               for c in cols}})
-    b = right.select(*by, time, *[F.col(c).alias(f"_r_{c}") for c in cols]).withColumn("_side", F.lit(0))
-    for c in a.columns:
-        if c not in b.columns:
-            b = b.withColumn(c, F.lit(None).cast(a.schema[c].dataType))
-    u = a.unionByName(b).withColumns({
-        "_all": F.lit(0), "_pos": F.unix_micros(F.col(time).cast("timestamp")) * 2 + F.col("_side")})
-    day_block = 512 * 86_400_000_000 * 2
-    filled = fill(u, [f"_r_{c}" for c in cols], keys=[*by, "_all"], pos="_pos", backfill=backfill,
-                  size=day_block)
-    return (filled.filter("_side = 1").drop("_side", "_all", "_pos")
-            .withColumnsRenamed({f"_r_{c}": c for c in cols}))
+    micros = F.unix_micros(F.col(time).cast("timestamp"))
+    right = right.select(*by, micros.alias("_t"), *cols).withColumn("_bkt", F.floor(F.col("_t") / width).cast("long"))
+    seen = lambda c: F.when(F.col(c).isNotNull(), F.col("_t"))
+    buckets = cut(right.groupBy(*by, "_bkt").agg(
+        F.sort_array(F.collect_list(F.struct("_t", *cols))).alias("_rows"),
+        *[F.max_by(c, seen(c)).alias(f"_l_{c}") for c in cols], *[F.min_by(c, seen(c)).alias(f"_n_{c}") for c in cols]))
+    lefts = left.withColumn("_bkt", F.floor(micros / width).cast("long"))
+    asked = lefts.select(*by, "_bkt").distinct()
+
+    def carried(kind: str, mark: str, writes_at: int) -> DataFrame:
+        """Per asked bucket the values of the buckets before (`last`) or after (`next`) it: one row per bucket."""
+        writers = buckets.select(*by, (F.col("_bkt") * 2 + writes_at).alias("_pos"), F.lit(False).alias("_ask"),
+                                 *[F.col(f"{mark}{c}") for c in cols])
+        readers = asked.select(*by, (F.col("_bkt") * 2 + 1 - writes_at).alias("_pos"), F.lit(True).alias("_ask"),
+                               *[F.lit(None).cast(buckets.schema[f"{mark}{c}"].dataType).alias(f"{mark}{c}") for c in cols])
+        both = writers.unionByName(readers).withColumn("_all", F.lit(0))
+        ran = running(both, {f"_v{i}": (kind, f"{mark}{c}") for i, c in enumerate(cols)}, keys=[*by, "_all"], pos="_pos", size=1024)
+        return ran.filter("_ask").select(*by, F.floor(F.col("_pos") / 2).cast("long").alias("_bkt"),
+                                         *[F.col(f"_v{i}").alias(f"{mark}{c}") for i, c in enumerate(cols)])
+
+    def attach(rows: DataFrame, table: DataFrame) -> DataFrame:
+        on = [*by, "_bkt"]
+        table = table.withColumnsRenamed({k: f"_k_{k}" for k in on})
+        same = reduce(and_, [rows[k].eqNullSafe(F.col(f"_k_{k}")) for k in on])
+        return rows.join(table, same, "left").drop(*[f"_k_{k}" for k in on])
+
+    d = attach(lefts, buckets.select(*by, "_bkt", "_rows"))
+    d = attach(d, carried("last", "_l_", 1))
+    if backfill:
+        d = attach(d, carried("next", "_n_", 0))
+    d = d.withColumn("_t", micros)
+    value = {}
+    for c in cols:
+        past = F.filter("_rows", lambda s: (s["_t"] <= F.col("_t")) & s[c].isNotNull())
+        found = [F.element_at(F.transform(past, lambda s: s[c]), F.when(F.size(past) > 0, F.lit(-1))), F.col(f"_l_{c}")]
+        if backfill:
+            ahead = F.filter("_rows", lambda s: (s["_t"] > F.col("_t")) & s[c].isNotNull())
+            found += [F.get(F.transform(ahead, lambda s: s[c]), F.lit(0)), F.col(f"_n_{c}")]
+        value[c] = F.coalesce(*found)
+    marks = ["_l_", "_n_"] if backfill else ["_l_"]
+    return d.withColumns(value).drop("_rows", "_t", "_bkt", *[f"{m}{c}" for m in marks for c in cols])

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidebar.functions.expr import dbl
 from tidebar.functions.signals import kill_switch, risk_budget
+from tidebar.operators import allocate
 from tidebar.operators.bootstrap import bootstrap_mdd
 from tidebar.operators.series import dense_index, block_of
 from tidebar.session import cut
@@ -115,15 +116,37 @@ def recalibrate(history: DataFrame, live: DataFrame, every: int = RECALIBRATE_EV
         kill_switch(F.col("mc_mdd_95")).alias("kill_switch_mdd"))
 
 
+COUNTS = "symbol string, n_seen long"
+BUCKETS = 64
+
+
 def recalibration_job(history: DataFrame, live_path: str, table: VersionedTable, n_sims: int = 1000):
-    """foreachBatch job: append live returns, recompute the symbols that crossed a multiple, upsert."""
+    """foreachBatch job: append live returns, recompute the symbols that crossed a multiple, upsert.
+
+    Counts per symbol are carried on, so a batch counts its own rows only.  Live returns lie in buckets of symbols, and only
+    the buckets of symbols that are due are read back.
+    """
+    counts = VersionedTable(table.spark, f"{table.path}-counts", COUNTS)
+    bucket = F.pmod(F.xxhash64("symbol"), F.lit(BUCKETS)).cast("int")
+
     def job(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch.select("symbol", "seq", "ret").write.mode("overwrite").parquet(f"{live_path}/batch={batch_id}")
-        live = spark.read.schema(LIVE).parquet(f"{live_path}/batch=*")
+        rows = batch.select("symbol", "seq", "ret", bucket.alias("bucket"), F.lit(batch_id).cast("long").alias("batch"))
+        # a folder per bucket and batch: a batch that runs again replaces its own
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(live_path)
+        new = batch.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_new"))
+        seen = cut(counts.read(batch_id).join(new, "symbol", "full").select(
+            "symbol", (F.coalesce("n_seen", F.lit(0)) + F.coalesce("n_new", F.lit(0))).alias("n_seen")))
         old = table.read(batch_id)
-        new = cut(recalibrate(history, live, n_sims=n_sims, known=old))
-        table.write(old.join(new.select("symbol"), "symbol", "left_anti").unionByName(new), batch_id)
+        due = cut(seen.join(old.select("symbol", "n_live"), "symbol", "left").filter(
+            F.floor(F.col("n_seen") / RECALIBRATE_EVERY) * RECALIBRATE_EVERY > F.coalesce("n_live", F.lit(0))).select("symbol"))
+        buckets = [r[0] for r in due.select(bucket.alias("b")).distinct().collect()]          # at most BUCKETS numbers
+        live = spark.read.schema(LIVE + ", bucket int, batch long").parquet(live_path).filter(
+            F.col("bucket").isin(buckets) & (F.col("batch") <= batch_id)).drop("bucket", "batch")
+        live = live.join(due, "symbol", "left_semi")
+        fresh = cut(recalibrate(history, live, n_sims=n_sims, known=old))
+        counts.write(seen, batch_id)
+        table.write(old.join(fresh.select("symbol"), "symbol", "left_anti").unionByName(fresh), batch_id)
     return job
 
 
@@ -133,6 +156,45 @@ def rebalance_due(weights: DataFrame, now, days: int = REBALANCE_DAYS) -> DataFr
             .filter(F.datediff(now, "as_of") >= days))
 
 
+WEIGHTS = "portfolio string, strategy string, weight double, use_weighted boolean, as_of date"
+
+
+def due_weights(returns: DataFrame, due: DataFrame) -> DataFrame:
+    """Weights of every due portfolio from the last LOOKBACK days before its clock (`due`: portfolio, now).
+
+    `returns`: portfolio, strategy, date, i (day number common to a portfolio), ret.  HRP weights are shrunk towards
+    performance and stand against equal weights over the same days; the better of both becomes the weights of all
+    strategies of the portfolio.  A portfolio with fewer than two moving strategies gets none.
+    """
+    past = returns.join(due, "portfolio").filter(F.col("date") < F.col("now"))
+    newest = past.groupBy("portfolio").agg(F.max("i").alias("_last"))
+    win = cut(past.join(newest, "portfolio").filter(F.col("i") > F.col("_last") - allocate.LOOKBACK).drop("_last"))
+    by = ["portfolio"]
+    arrays = cut(allocate.performance_weights(allocate.window_arrays(win, groups=by), by).filter("n_valid > 1"))
+    weights = cut(allocate.shrink(arrays.drop("r").join(allocate.hrp(arrays, by), ["portfolio", "strategy"]), "hrp", by))
+    contest = allocate.tournament(win, weights, groups=by).select("portfolio", "use_weighted")
+    members = returns.join(due, "portfolio").select("portfolio", "strategy", "now").distinct()
+    size = members.groupBy("portfolio").agg(F.count(F.lit(1)).alias("_n"))
+    out = members.join(size, "portfolio").join(contest, "portfolio").join(
+        weights.select("portfolio", "strategy", "weight"), ["portfolio", "strategy"], "left")
+    return out.select("portfolio", "strategy", F.when(F.col("use_weighted"), F.coalesce("weight", dbl(0.0)))
+                      .otherwise(1 / F.col("_n")).alias("weight"), "use_weighted", F.col("now").alias("as_of"))
+
+
+def rebalance_job(returns: DataFrame, table: VersionedTable, days: int = REBALANCE_DAYS):
+    """foreachBatch job on a clock stream (portfolio, now): portfolios without weights, or with weights `days` old, get new
+    ones, upserted as a version."""
+    def job(batch: DataFrame, batch_id: int) -> None:
+        clock = batch.groupBy("portfolio").agg(F.max("now").alias("now"))
+        old = table.read(batch_id)
+        held = old.groupBy("portfolio").agg(F.max("as_of").alias("as_of"))
+        due = cut(clock.join(held, "portfolio", "left").filter(
+            F.col("as_of").isNull() | (F.datediff("now", "as_of") >= days)).select("portfolio", "now"))
+        fresh = cut(due_weights(returns, due))
+        table.write(old.join(fresh.select("portfolio").distinct(), "portfolio", "left_anti").unionByName(fresh), batch_id)
+    return job
+
+
 def run_job(stream: DataFrame, job, checkpoint: str) -> None:
     (stream.writeStream.foreachBatch(job).option("checkpointLocation", checkpoint)
      .trigger(availableNow=True).start().awaitTermination())
