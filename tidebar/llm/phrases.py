@@ -8,7 +8,7 @@ pass counts the union exactly.
 * A shard is no task: it is mined level by level (phrases of one word, two, ...) as a grouped sum of counts by (shard,
   language, phrase), which tasks add up before they are shuffled.  So memory is bounded at every size and a very
   frequent phrase is one row per task.  A level counts only phrases whose two shorter parts are in the union.
-* The union of a level is a bitmap of hashes, combined in Spark; its size follows the number of words up to 8 MB a level.
+* The union of a level is a bitmap of hashes, combined in Spark; its size follows the number of words up to 4 MB a level.
   A wrong hit only lets one more phrase be counted.
 * Mining may use hashes of phrases, as a clash only adds up counts and so keeps more.  The last pass counts the words
   themselves, so results are exact.
@@ -33,8 +33,8 @@ from tidebar.llm.words import LOWER, mix, word_hashes
 from tidebar.session import scratch_path
 
 SHARDS = 8
-CHUNK_WORDS = 1 << 21
-BITS_LEAST, BITS_MOST = 1 << 20, 1 << 26
+CHUNK_WORDS = 1 << 20
+BITS_LEAST, BITS_MOST = 1 << 20, 1 << 25
 UNKNOWN = "und"
 STOPS = byte_table(b".,;:!?\n\x0b\x0c\r")
 BREAKS = STOPS | byte_table(b" \t")
@@ -56,7 +56,7 @@ class Chunk:
         base = self.piece + int(words.begins)
         stops = np.cumsum(STOPS[words.data])
         if len(words.starts):
-            self.pieces.append(base + stops[words.starts] + (words.rows - words.first))
+            self.pieces.append((base + stops[words.starts] + (words.rows - words.first)).astype(np.int32))
             self.hashes.append(word_hashes(words.data, words.starts, words.ends, lower=True))
             self.lang.append(langs)
             if self.keep_words:
@@ -71,21 +71,24 @@ class Chunk:
         words = pa.concat_arrays(self.words) if self.keep_words else None
         hold = min(hold, self.n)
         own = self.n - hold
-        self.hashes, self.pieces, self.lang = [hashes[own:]], [pieces[own:]], [lang[own:]]
-        self.words = [words.slice(own)] if self.keep_words else []
+        # small copies, so that what is held does not keep the chunk in memory; pieces are numbered anew from here
+        floor = int(pieces[own]) if hold else 0
+        self.hashes, self.pieces, self.lang = [hashes[own:].copy()], [pieces[own:] - floor], [lang[own:].copy()]
+        self.words = [pa.array(words.slice(own).to_pylist(), pa.large_binary())] if self.keep_words else []
+        self.piece -= floor
         self.n = hold
         return hashes, pieces, lang, words, own
 
 
-def _chunks(batches, keep_words: bool, longest: int):
-    """(languages, hashes, pieces, language numbers, words, places that may begin a phrase)."""
+def _chunks(batches, keep_words: bool, longest: int, size: int):
+    """(languages, hashes, pieces, language numbers, words, places that may begin a phrase) of some `size` words."""
     chunk = Chunk(keep_words)
     for batch in batches:
         names = batch.column(0).to_pylist()
         codes = np.array([chunk.langs.setdefault(x, len(chunk.langs)) for x in names], np.int32)
         for words in word_slices(batch.column(1), BREAKS):
             chunk.add(words, codes[words.rows])
-            if chunk.n >= CHUNK_WORDS:
+            if chunk.n >= size:
                 yield list(chunk.langs), *chunk.taken(longest - 1)
     if chunk.n:
         yield list(chunk.langs), *chunk.taken(0)
@@ -124,8 +127,10 @@ def _levels(langs, hashes, pieces, lang, unions, level: int):
 
 def shard_counts(texts: DataFrame, unions, level: int) -> DataFrame:
     """shard, lang, gram (a hash), n: every phrase of `level` words that may be frequent, summed by shard."""
+    size = CHUNK_WORDS
+
     def count(batches):
-        for langs, hashes, pieces, lang, _, own in _chunks(batches, False, level):
+        for langs, hashes, pieces, lang, _, own in _chunks(batches, False, level, size):
             *_, (_, at, key) = _levels(langs, hashes, pieces, lang, unions.value if unions else [], level)
             key, first, n = np.unique(key[at < own], return_index=True, return_counts=True)
             code = lang[at[at < own][first]]
@@ -155,8 +160,10 @@ def union_bits(counts: DataFrame, sizes: DataFrame, support: int, bits: int) ->
 
 def exact_counts(texts: DataFrame, unions, longest: int) -> DataFrame:
     """lang, phrase, k (words), f: every phrase of the unions, counted by its words."""
+    size = CHUNK_WORDS
+
     def count(batches):
-        for langs, hashes, pieces, lang, words, own in _chunks(batches, True, longest):
+        for langs, hashes, pieces, lang, words, own in _chunks(batches, True, longest, size):
             coded = words.dictionary_encode()
             ids, names = coded.indices.to_numpy().astype(np.int64), pa.array(langs, pa.string())
             bounds = np.frombuffer(coded.dictionary.buffers()[1], np.int64)
