@@ -52,7 +52,7 @@ def corpus(seed, n):
     return docs + copies + [("en", None), (None, None), ("en", ""), ("de", " \t., "), ("", "of the of the of the of the of the")]
 
 
-@pytest.mark.parametrize("chunk, shards, support, longest", [(1 << 21, 8, 12, 5), (37, 8, 5, 5), (5, 3, 20, 4), (1 << 21, 1, 8, 2)])
+@pytest.mark.parametrize("chunk, shards, support, longest", [(1 << 18, 4, 12, 5), (37, 8, 5, 5), (5, 3, 20, 4), (1 << 18, 1, 8, 2)])
 def test_mining_equals_counting_everything(spark, monkeypatch, chunk, shards, support, longest):
     monkeypatch.setattr(phrases, "CHUNK_WORDS", chunk)
     monkeypatch.setattr(phrases, "SHARDS", shards)

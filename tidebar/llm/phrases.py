@@ -10,8 +10,9 @@ pass counts the union exactly.
   frequent phrase is one row per task.  A level counts only phrases whose two shorter parts are in the union.
 * The union of a level is a bitmap of hashes, combined in Spark; its size follows the number of words up to 4 MB a level.
   A wrong hit only lets one more phrase be counted.
-* Mining may use hashes of phrases, as a clash only adds up counts and so keeps more.  The last pass counts the words
-  themselves, so results are exact.
+* Mining may use hashes of phrases, as a clash only adds up counts and so keeps more; they have some 8 bits more than it takes
+  to number the words of the corpus.  The last pass counts the words themselves, so results are exact.
+* Few shards keep the union close to what is frequent; as none has to fit a task, their number need not grow.
 
 Scores need the counts of the parts of a phrase; these are at least as frequent, so they are in the result of the last pass.
 Products are decimals of 38 digits.
@@ -32,8 +33,8 @@ from tidebar.llm.tables import bounded_batches, removed, small_or_shuffled, writ
 from tidebar.llm.words import LOWER, mix, word_hashes
 from tidebar.session import scratch_path
 
-SHARDS = 8
-CHUNK_WORDS = 1 << 20
+SHARDS = 4
+CHUNK_WORDS = 1 << 18
 BITS_LEAST, BITS_MOST = 1 << 20, 1 << 25
 UNKNOWN = "und"
 STOPS = byte_table(b".,;:!?\n\x0b\x0c\r")
@@ -125,14 +126,15 @@ def _levels(langs, hashes, pieces, lang, unions, level: int):
         yield k, at, key
 
 
-def shard_counts(texts: DataFrame, unions, level: int) -> DataFrame:
-    """shard, lang, gram (a hash), n: every phrase of `level` words that may be frequent, summed by shard."""
+def shard_counts(texts: DataFrame, unions, level: int, width: int = 64) -> DataFrame:
+    """shard, lang, gram (the first `width` bits of a hash), n: every phrase of `level` words that may be frequent, summed
+    by shard."""
     size = CHUNK_WORDS
 
     def count(batches):
         for langs, hashes, pieces, lang, _, own in _chunks(batches, False, level, size):
             *_, (_, at, key) = _levels(langs, hashes, pieces, lang, unions.value if unions else [], level)
-            key, first, n = np.unique(key[at < own], return_index=True, return_counts=True)
+            key, first, n = np.unique(key[at < own] >> np.uint64(64 - width), return_index=True, return_counts=True)
             code = lang[at[at < own][first]]
             names = pa.array(langs, pa.string())
             for a in range(0, len(key), OUT_ROWS):
@@ -145,11 +147,11 @@ def shard_counts(texts: DataFrame, unions, level: int) -> DataFrame:
     return found.withColumn("shard", shard).groupBy("shard", "lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def union_bits(counts: DataFrame, sizes: DataFrame, support: int, bits: int) -> np.ndarray:
+def union_bits(counts: DataFrame, sizes: DataFrame, support: int, bits: int, width: int) -> np.ndarray:
     """Bitmap of the phrases that reach their shard's part of the support; at most BITS_MOST bits come to the driver."""
     wide = lambda c: F.col(c).cast("decimal(20,0)")
     frequent = counts.join(sizes, ["shard", "lang"]).where(wide("n") * wide("all_words") >= F.lit(support) * wide("words"))
-    place = F.shiftrightunsigned("gram", 64 - bits.bit_length() + 1)
+    place = F.shiftrightunsigned("gram", width - bits.bit_length() + 1)
     maps = frequent.select(F.shiftright(place, 15).alias("bucket"), place.bitwiseAND(F.lit((1 << 15) - 1)).alias("bit"))
     maps = maps.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("map")).toArrow()
     out = np.zeros((bits >> 15, 1 << 12), np.uint8)
@@ -217,10 +219,10 @@ def frequent_phrases(docs: DataFrame, support: int, longest: int = 5, text: str
     sizes = small_or_shuffled(written(sizes, "sizes", folder), F.octet_length("lang") + 32)
     total = sizes.agg(F.sum("words").alias("n")).first()["n"] or 0
     bits = min(BITS_MOST, max(BITS_LEAST, 1 << total.bit_length()))
-    unions, shared = [], None
+    unions, shared, width = [], None, min(64, max(32, total.bit_length() + 8))
     for level in range(1, longest + 1):
-        counts = single if level == 1 else shard_counts(texts, shared, level)
-        unions.append(union_bits(counts, sizes, support, bits))
+        counts = single if level == 1 else shard_counts(texts, shared, level, width)
+        unions.append(union_bits(counts, sizes, support, bits, 64 if level == 1 else width))
         if shared:
             shared.unpersist()
         shared = spark.sparkContext.broadcast(list(unions))
