@@ -138,9 +138,10 @@ def _(spark, sf):
     """Ten trials, each proposed from the scores of those before, over purged folds."""
     d = windows(spark, sf).filter("is_train").withColumn("train_idx", F.col("bar_idx") - LAGS).withColumn(
         "n_train", F.floor(F.col("n_bars") * 4 / 5) - LAGS)
-    grid = models.GRIDS["RANDOM_FOREST"]
-    found = cut(models.search(d, "RANDOM_FOREST", N_IN, grid, TRIALS, n_splits=FOLDS))
-    p = F.from_json("params", "numTrees int, maxDepth int, minInstancesPerNode int, featureSubsetStrategy string")
+    # the published widths; a tolerance, which ends training early, stands where recurrent nets have their dropout
+    grid = models.GRIDS["NET"] | {"tol": [1e-2, 1e-3, 1e-4]}
+    found = cut(models.search(d, "NET", N_IN, grid, TRIALS, n_splits=FOLDS, fixed={"maxIter": 20}))
+    p = F.from_json("params", "units int, tol double")
     inside = reduce(and_, [p[name].isin(list(values)) for name, values in grid.items()])
     times = found.groupBy("params").agg(F.count_distinct("trial").alias("times"))
     return found.join(times, "params").select("trial", "fold", "n_train", "n_val", inside.alias("in_grid"),
