@@ -232,7 +232,8 @@ def _(spark, sf):
     for bank, cols in features.banks("other").items():
         cols = [c for c in cols if c in base.columns]
         d = features.train_split(features.as_vector(features.lag_windows(base, cols, look_back=LAGS)))
-        frames[bank] = cut(series.spread(d.select("symbol", "bar_idx", "Label", "is_train", "features"), "symbol", "bar_idx")), cols
+        d = cut(series.spread(d.select("symbol", "bar_idx", "Label", "is_train", "features"), "symbol", "bar_idx"))
+        frames[bank] = d, cols, models.scaled(d.filter("is_train"))
     diffed = cut(series.with_bar_idx(fracdiff.frac_diff(_macro_bars(spark, sf), 0.4, "close").filter("close_FFD is not null")))
     diffed = cut(indicators.add_indicators(diffed))
     for c in DIFFED:
@@ -243,11 +244,11 @@ def _(spark, sf):
         bank, kind, params = job
         if kind == "RESIDUAL_NET":
             cols = frames[bank][1]
-            frame = residual_model.matrix(diffed, "close_FFD", cols)
+            frame, start = residual_model.matrix(diffed, "close_FFD", cols), None
             n_in = LAGS * (1 + len(cols))
         else:
-            frame, n_in = frames[bank][0], LAGS * len(frames[bank][1])
-        m = models.fit(frame.filter("is_train"), "NET" if kind == "RESIDUAL_NET" else kind, n_in, **params)
+            frame, start, n_in = frames[bank][0], frames[bank][2], LAGS * len(frames[bank][1])
+        m = models.fit(frame.filter("is_train"), "NET" if kind == "RESIDUAL_NET" else kind, n_in, start, **params)
         rep = models.class_report(m.transform(frame.filter("not is_train")), ["symbol"])
         return rep.withColumns({"model": F.lit(kind), "bank": F.lit(bank), "params": F.lit(json.dumps(params))})
 

@@ -88,12 +88,18 @@ class Fitted:
         return cls(PipelineModel.load(path).stages)
 
 
-def fit(train: DataFrame, kind: str, n_inputs: int, **params) -> Fitted:
-    """Fit the scaler, then the rest on scaled and clipped vectors, which are written once: a tree learner passes over its
-    input many times."""
-    scaler, *rest = stages_of(kind, n_inputs, **params).getStages()
-    models = [scaler.fit(train)]
-    d = cut(clip_vector(models[0].transform(train), "scaled", "scaled").select("Label", "scaled"))
+def scaled(train: DataFrame):
+    """(scaler fitted on the training rows, their scaled and clipped vectors, written once): what any number of models on
+    the same rows start from."""
+    scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True).fit(train)
+    return scaler, cut(clip_vector(scaler.transform(train), "scaled", "scaled").select("Label", "scaled"))
+
+
+def fit(train: DataFrame, kind: str, n_inputs: int, start=None, **params) -> Fitted:
+    """Fit the scaler (or go on from `start`, as `scaled` gave it), then the rest on scaled vectors; a learner passes over
+    its input many times, so these are written once."""
+    scaler, d = start or scaled(train)
+    models, rest = [scaler], stages_of(kind, n_inputs, **params).getStages()[1:]
     for stage in rest:
         models.append(stage.fit(d))
         d = models[-1].transform(d) if stage is not rest[-1] else d
