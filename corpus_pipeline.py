@@ -51,11 +51,10 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, and the text as decoded from them."""
-    encode = bpe.encoder(spark, RANKS, public_tokenizers.PATTERN)
-    decode = bpe.decoder(spark, RANKS, public_tokenizers.PATTERN)
-    out = docs.select("doc_id", "lang", "source", encode("text").alias("token_ids"))
-    return out.select("doc_id", "lang", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids",
-                      decode("token_ids").cast("string").alias("text"))
+    both = bpe.round_trip(spark, RANKS, public_tokenizers.PATTERN)
+    out = docs.select("doc_id", "lang", "source", both("text").alias("both"))
+    return out.select("doc_id", "lang", "source", F.size("both.ids").cast("long").alias("n_tokens"),
+                      F.col("both.ids").alias("token_ids"), F.col("both.decoded").cast("string").alias("text"))
 
 
 STAGES = [

@@ -78,3 +78,16 @@ def test_queries_without_sql_run_on_whole_tables(spark, name):
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
     rows = queries.QUERIES[name](spark, SF).collect()
     assert len(rows) == n if name != "op5_token_rollup" else sum(r["n_docs"] for r in rows) <= n
+
+
+def python_nodes(frame):
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    return plan.count("ArrowEvalPython [")
+
+
+def test_no_python_function_is_planned_twice(spark, awkward):
+    found = corpus_pipeline.language_id(spark, awkward, SF)
+    assert python_nodes(found) == 1
+    assert python_nodes(corpus_pipeline.encoded(spark, awkward, SF)) == 1
+    assert python_nodes(corpus_pipeline.repeated_passages(spark, awkward, SF)) == 1
+    assert python_nodes(queries.QUERIES["op1_byte_bpe"](spark, SF)) == 1

@@ -27,8 +27,8 @@ from tidebar.llm.tables import bounded_batches
 
 BLOCK = 1 << 16           # bytes of a part whose token lists are held together
 KEEP_PART = 48            # longest part whose ids are kept for its next occurrence
-KEEP_PARTS = 400_000      # parts kept by a worker, and as many of the table before
-KEEP_PAIRS = 2_000_000    # answers on token pairs kept by a worker
+KEEP_PARTS = 60_000       # parts kept by a worker, and as many of the table before: some 24 MB
+KEEP_PAIRS = 100_000      # answers on token pairs kept by a worker: some 11 MB
 
 
 def read_ranks(path: str) -> bytes:
@@ -71,7 +71,8 @@ class Codec:
             self.automaton.add_word(token.decode("latin-1"), (len(token), rank))
         self.automaton.make_automaton()
         self.parts = Parts(self.part)
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}      # left * span + right -> answer
+        self.span = max(self.tokens) + 1
         self.shorter = {}                     # the next shorter token that begins with the same bytes
         for token, rank in self.ranks.items():
             ends = (e for e in range(len(token) - 1, 0, -1) if token[:e] in self.ranks)
@@ -93,7 +94,7 @@ class Codec:
         a, b = self.tokens[left], self.tokens[right]
         if len(self.pairs) >= KEEP_PAIRS:
             self.pairs.clear()
-        self.pairs[left, right] = answer = self.merged(a + b) == [a, b]
+        self.pairs[left * self.span + right] = answer = self.merged(a + b) == [a, b]
         return answer
 
     def part(self, data: bytes) -> list[int]:
@@ -103,7 +104,7 @@ class Codec:
             return [whole]
         chars, n = data.decode("latin-1"), len(data)
         alive = bytearray(b"\1") * (n + 1)
-        pairs, compatible, shorter = self.pairs, self.compatible, self.shorter
+        pairs, compatible, shorter, span = self.pairs, self.compatible, self.shorter, self.span
         out: list[int] = []
         before: list[tuple] = []              # for each token of out: itself with its length
         base, stop = 0, min(BLOCK, n)
@@ -115,7 +116,7 @@ class Codec:
                 if alive[at + length]:
                     if last is None:
                         break
-                    good = pairs.get((last, token))
+                    good = pairs.get(last * span + token)
                     if good is None:
                         good = compatible(last, token)
                     if good:
@@ -161,11 +162,18 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def _codec(ranks: bytes, pattern: str) -> Codec:
     return Codec(ranks, pattern)
 
 
+def _lists(values: list[bytes]) -> pa.Array:
+    offsets = np.zeros(len(values) + 1, np.int32)
+    np.cumsum([len(v) // 4 for v in values], out=offsets[1:])
+    flat = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(values))])
+    return pa.ListArray.from_arrays(pa.array(offsets), flat)
+
+
 def encoder(spark: SparkSession, ranks_path: str, pattern: str):
     """A column function: text -> array of token ids.  The vocabulary is broadcast; its file bounds its size."""
     bounded_batches(spark)
@@ -173,13 +181,9 @@ def encoder(spark: SparkSession, ranks_path: str, pattern: str):
 
     def encode(texts: pa.Array) -> pa.Array:
         codec = _codec(ranks.value, pattern)
-        values = [codec.packed(v) for v in texts.to_pylist()]
-        offsets = np.zeros(len(values) + 1, np.int32)
-        np.cumsum([len(v) // 4 for v in values], out=offsets[1:])
-        flat = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(values))])
-        return pa.ListArray.from_arrays(pa.array(offsets), flat)
+        return _lists([codec.packed(v) for v in texts.to_pylist()])
 
-    udf = F.arrow_udf(encode, "array<int>")
+    udf = F.arrow_udf(encode, "array<int>").asNondeterministic()        # nothing may plan it twice
     return lambda text: udf(F.coalesce(F.col(text).cast("string") if isinstance(text, str) else text, F.lit("")))
 
 
@@ -193,5 +197,20 @@ def decoder(spark: SparkSession, ranks_path: str, pattern: str):
         # whole numpy rows: taking single values out of an Arrow array costs ten times as much
         return pa.array([codec.decode(v.values.to_numpy().tolist()) if v.is_valid else None for v in ids], pa.binary())
 
-    udf = F.arrow_udf(decode, "binary")
+    udf = F.arrow_udf(decode, "binary").asNondeterministic()
     return lambda ids: udf(F.col(ids) if isinstance(ids, str) else ids)
+
+
+def round_trip(spark: SparkSession, ranks_path: str, pattern: str):
+    """A column function: text -> struct of the token ids and the bytes decoded from them, in one pass over the text."""
+    bounded_batches(spark)
+    ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))
+
+    def both(texts: pa.Array) -> pa.Array:
+        codec = _codec(ranks.value, pattern)
+        packed = [codec.packed(v) for v in texts.to_pylist()]
+        decoded = [codec.decode(array("i", v)) for v in packed]
+        return pa.StructArray.from_arrays([_lists(packed), pa.array(decoded, pa.binary())], names=["ids", "decoded"])
+
+    udf = F.arrow_udf(both, "struct<ids:array<int>,decoded:binary>").asNondeterministic()
+    return lambda text: udf(F.coalesce(F.col(text).cast("string") if isinstance(text, str) else text, F.lit("")))

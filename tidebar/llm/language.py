@@ -165,6 +165,8 @@ def predict(docs: DataFrame, model: bytes, text: str = "text") -> DataFrame:
                         pred[first + i], share[first + i] = names[best[i]], part[i]
         return pa.StructArray.from_arrays([pa.array(pred, pa.string()), pa.array(share)], names=["lang_pred", "score"])
 
-    scored = F.arrow_udf(score, "struct<lang_pred:string,score:double>")(F.col(text).cast("string"))
+    # marked so that a filter on the result is not pushed below it, which would score every text twice
+    udf = F.arrow_udf(score, "struct<lang_pred:string,score:double>").asNondeterministic()
+    scored = udf(F.col(text).cast("string"))
     rows = docs.select(carried(docs, "lang_pred", "score").alias("row"), scored.alias("scored"))
     return rows.select("row.*", "scored.*")
