@@ -49,7 +49,7 @@ def test_encoding_of_random_bytes_and_long_parts(codec, encoding):
 
 
 def test_encoding_with_small_blocks_and_caches(codec, encoding, monkeypatch):
-    for name in ("BLOCK", "KEEP_PART", "KEEP_PARTS", "KEEP_PAIRS"):
+    for name in ("BLOCK", "KEEP_PART", "KEEP_PARTS", "PAIR_SLOTS"):
         monkeypatch.setattr(bpe, name, 7)
     small = bpe.Codec(bpe.read_ranks(RANKS), PATTERN)
     for text in ("----====----" * 9, "ababaabbabab" * 20, " ".join(words(6, 200)), "antidisestablishmentarianism" * 5):
@@ -347,3 +347,19 @@ def test_rollup_equals_a_full_count(spark, awkward, encoding, tmp_path):
             got[r["source"], r["lang"], r["tokenizer"], "t"] = r["n_tokens"]
         assert got == dict(expected)
         assert {r["batch"] for r in table.commits().collect()} == {"one", "two", "three", "nothing"}
+
+
+@pytest.mark.parametrize("n, bits", [(0, 1 << 20), (500, 1 << 20), (70_000, 1 << 15)])
+def test_the_bitmap_passes_every_wanted_row_and_few_others(spark, monkeypatch, n, bits):
+    monkeypatch.setattr(token_rollup, "BITMAP_MOST", bits)
+    monkeypatch.setattr(token_rollup, "BITMAP_LEAST", min(bits, 1 << 20))
+    rows = spark.range(100_000).selectExpr("id as doc_id", "'x' as bitmap_at").unionByName(
+        spark.createDataFrame([(None, "x")], "doc_id long, bitmap_at string"))
+    ids = spark.range(n).selectExpr("id * 3 as doc")
+    got = token_rollup.likely(rows.drop("bitmap_at"), "doc_id", ids, "doc")
+    assert got.columns == ["doc_id"]
+    passed = {r["doc_id"] for r in got.collect()}
+    wanted = {k * 3 for k in range(n) if k * 3 < 100_000}
+    assert wanted <= passed and None not in passed
+    if bits == 1 << 20:
+        assert len(passed) <= len(wanted) * 1.1 + 100

@@ -31,10 +31,8 @@ BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 @query
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text, and their decoding."""
-    encode = bpe.encoder(spark, BPE_RANKS, public_tokenizers.PATTERN)
-    decode = bpe.decoder(spark, BPE_RANKS, public_tokenizers.PATTERN)
-    out = read(spark, sf_dir, "documents").select("doc_id", encode("text").alias("ids"))
-    out = out.select("doc_id", "ids", decode("ids").alias("decoded"))
+    both = bpe.round_trip(spark, BPE_RANKS, public_tokenizers.PATTERN)
+    out = read(spark, sf_dir, "documents").select("doc_id", both("text").alias("both")).select("doc_id", "both.*")
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                       F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
                       F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -134,9 +132,11 @@ def op5_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     gone = token_rollup.deletes(counts.join(toxic, "doc", "left_semi"))
     rollup.commit("toxic", gone)
     rollup.commit("toxic", gone)                           # a batch sent twice counts once
-    poor = labels.where("quality = 0 and toxic = 0").select("doc_id").distinct()
-    old = counts.join(poor.withColumnRenamed("doc_id", "doc"), "doc", "left_semi")
-    new = token_rollup.counted(docs.join(poor, "doc_id", "left_semi"), second, "byte_bpe_multi_50k")
+    poor = labels.where("quality = 0 and toxic = 0").select(F.col("doc_id").alias("doc")).distinct()
+    old = counts.join(poor, "doc", "left_semi")
+    # texts are only scanned: a bitmap keeps most others from being counted anew, the exact join is on counts
+    new = token_rollup.counted(token_rollup.likely(docs, "doc_id", poor, "doc"), second, "byte_bpe_multi_50k")
+    new = written(new.join(poor, "doc", "left_semi"), "recounts")
     rollup.commit("recount", token_rollup.revisions(old, new))
     return rollup.totals()
 
