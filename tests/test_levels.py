@@ -233,3 +233,15 @@ def test_one_reconstruction_model_per_key(spark):
     assert np.allclose(one["mse"], 0, atol=1e-12) and len(one) == 1200
     none = monitors.reconstruction_error(spark.createDataFrame(pdf), ["a", "b"], k=1, train="k <> 'up' and is_train", keys=["k"])
     assert none.filter("k = 'up' and mse is not null").count() == 0 and none.count() == 1200
+
+
+def test_models_on_rows_scaled_once_equal_those_scaled_each(spark):
+    from tidebar.operators import features
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(300, 4))
+    pdf = pd.DataFrame({"symbol": "A", "bar_idx": range(300), "Label": (x[:, 0] > 0).astype(int), "w": list(map(list, x))})
+    d = features.as_vector(spark.createDataFrame(pdf), "w")
+    start = models.scaled(d)
+    for kind, params in (("LOGISTIC", {"maxIter": 5}), ("LATENT_FOREST", {"components": 2, "numTrees": 3, "maxDepth": 2})):
+        a, b = (models.score(models.fit(d, kind, 4, s, **params), d).orderBy("bar_idx").collect() for s in (None, start))
+        assert a == b
