@@ -218,3 +218,18 @@ def test_connected_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (5, 4), (200, 201)]
     got = {r["node"]: r["component"] for r in components.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{k: 100 for k in range(100, 160)}, 200: 200, 201: 200}
+
+
+@pytest.mark.parametrize("shard_words", [100_000, 200])
+def test_two_texts_of_one_id_are_told_apart_over_many_shards(spark, monkeypatch, shard_words):
+    monkeypatch.setattr(substring_dedup, "SHARD_WORDS", shard_words)
+    rng, pool, rows = random.Random(6), words(40, 500), []
+    for k in range(600):
+        own = []
+        for _ in range(rng.randrange(1, 4)):
+            at = rng.randrange(400)
+            own += pool[at:at + rng.randrange(5, 60)] if rng.random() < 0.7 else words(5000 + k, 15, 4000)
+        rows.append((k % 150, " ".join(own)))
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length=12)
+    expected = kept_words(rows, 12)
+    assert {(r["doc_id"], r["text"]): r["kept_words"] for r in got.collect()} == expected

@@ -37,11 +37,12 @@ QUERY_WORDS = 400_000
 
 
 def segments(docs: DataFrame, doc_id: str, text: str, length: int = LENGTH) -> DataFrame:
-    """One row per run of windows with the same minimiser: anchor, seg (hash of the words), doc, start, n windows."""
+    """One row per run of windows with the same minimiser: anchor, seg (hash of the words), doc, text_key, start, n windows.
+    A row of the corpus is a document id and a text: two texts of one id are told apart everywhere."""
     def scan(batches):
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for first, end, data, offsets in W.text_slices(batch.column(1)):
+            ids, keys = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for first, end, data, offsets in W.text_slices(batch.column(2)):
                 starts, ends, index = W.word_bounds(data, offsets)
                 hashes = W.word_hashes(data, starts, ends)
                 out = []
@@ -53,17 +54,18 @@ def segments(docs: DataFrame, doc_id: str, text: str, length: int = LENGTH) -> D
                     at = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
                     n = np.diff(np.r_[at, len(low)])
                     seg = W.sequence_hash(own, at, at + n + (length - 1))
-                    out.append((low[at], seg, np.full(len(at), ids[first + i]), at, n))
+                    out.append((low[at], seg, np.full(len(at), ids[first + i]), np.full(len(at), keys[first + i]), at, n))
                 if out:
-                    anchor, seg, doc, at, n = (np.concatenate(x) for x in zip(*out))
+                    anchor, seg, doc, key, at, n = (np.concatenate(x) for x in zip(*out))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(W.signed(anchor)), pa.array(W.signed(seg)), pa.array(doc.astype(np.int64)),
-                         pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))],
-                        names=["anchor", "seg", "doc", "start", "n"])
+                         pa.array(key.astype(np.int64)), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))],
+                        names=["anchor", "seg", "doc", "text_key", "start", "n"])
 
-    source = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
+    source = docs.select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(text).alias("text_key"),
+                         F.col(text).cast("string").alias("text"))
     return source.where("doc is not null and text is not null").mapInArrow(
-        scan, "anchor long, seg long, doc long, start int, n int")
+        scan, "anchor long, seg long, doc long, text_key long, start int, n int")
 
 
 def candidates(rows: DataFrame) -> DataFrame:
@@ -71,20 +73,21 @@ def candidates(rows: DataFrame) -> DataFrame:
     met = (rows.groupBy("anchor")
            .agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min("seg").alias("a"), F.max("seg").alias("b"))
            .where("lo < hi").select("anchor", "lo", (F.col("a") != F.col("b")).alias("mixed")))
-    found = written(rows.join(met, "anchor"), "segments")
-    plain = found.where("not mixed").select("doc", "start", "n", F.col("lo").alias("owner"), F.lit(False).alias("split"))
-    mixed = found.where("mixed").select("anchor", "seg", "doc", "start", "n")
+    # written, so that the join is one of two plain tables, whose hot keys are split over tasks
+    found = written(rows.join(written(met, "anchors-met"), "anchor"), "segments")
+    plain = found.where("not mixed").select("doc", "text_key", "start", "n", F.col("lo").alias("owner"), F.lit(False).alias("split"))
+    mixed = found.where("mixed").select("anchor", "seg", "doc", "text_key", "start", "n")
     kinds = mixed.groupBy("anchor", "seg").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
-    kinds = mixed.join(kinds, ["anchor", "seg"])
+    kinds = mixed.join(written(kinds, "kinds"), ["anchor", "seg"])
     alone = F.col("lo") == F.col("hi")
-    kinds = kinds.select("doc", "start", "n", F.when(~alone, F.col("lo")).alias("owner"),
+    kinds = kinds.select("doc", "text_key", "start", "n", F.when(~alone, F.col("lo")).alias("owner"),
                          (F.col("doc") == F.col("lo")).alias("split"))
     return plain.unionByName(kinds)
 
 
 def pieces(docs: DataFrame, cands: DataFrame, doc_id: str, text: str, length: int = LENGTH) -> DataFrame:
     """The words of each document under candidate windows, one row per maximal passage, with its segments."""
-    by_doc = cands.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", "n", "owner", "split")))
+    by_doc = cands.groupBy("doc", "text_key").agg(F.sort_array(F.collect_list(F.struct("start", "n", "owner", "split")))
                                       .alias("segs"))
     source = docs.select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(text).alias("text_key"),
                          F.col(text).cast("string").alias("text"))
@@ -117,7 +120,7 @@ def pieces(docs: DataFrame, cands: DataFrame, doc_id: str, text: str, length: in
                      pa.array(rows["start"], pa.int32()), pa.array(rows["words"], pa.string()),
                      pa.array(rows["segs"], kind)], names=list(rows))
 
-    return source.join(by_doc, "doc").select("doc", "text_key", "text", "segs").mapInArrow(
+    return source.join(by_doc, ["doc", "text_key"]).select("doc", "text_key", "text", "segs").mapInArrow(
         cut, f"doc long, text_key long, start int, words string, segs {seg}")
 
 
@@ -125,8 +128,8 @@ def window_owners(passages: DataFrame, length: int = LENGTH) -> DataFrame:
     """For segments taken apart: doc, at (window start) and owner of each window that stands in several documents."""
     def windows(batches):
         for batch in batches:
-            docs, starts, segs = (batch.column(k).to_pylist() for k in (0, 1, 3))
-            for first, end, data, offsets in W.text_slices(batch.column(2)):
+            docs, keys, starts, segs = (batch.column(k).to_pylist() for k in (0, 1, 2, 4))
+            for first, end, data, offsets in W.text_slices(batch.column(3)):
                 begin, stop, index = W.word_bounds(data, offsets)
                 hashes = W.word_hashes(data, begin, stop)
                 out = []
@@ -136,21 +139,22 @@ def window_owners(passages: DataFrame, length: int = LENGTH) -> DataFrame:
                         if s["split"]:
                             some = own[s["start"]:s["start"] + s["n"]]
                             at = np.arange(len(some)) + s["start"] + starts[i]
-                            out.append((some, np.full(len(some), docs[i], np.int64), at))
+                            out.append((some, np.full(len(some), docs[i], np.int64), np.full(len(some), keys[i], np.int64), at))
                 if out:
-                    h, doc, at = (np.concatenate(x) for x in zip(*out))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(W.signed(h)), pa.array(doc), pa.array(at.astype(np.int32))], names=["w", "doc", "at"])
+                    h, doc, key, at = (np.concatenate(x) for x in zip(*out))
+                    yield pa.RecordBatch.from_arrays([pa.array(W.signed(h)), pa.array(doc), pa.array(key),
+                                                      pa.array(at.astype(np.int32))], names=["w", "doc", "text_key", "at"])
 
-    rows = passages.where(F.exists("segs", lambda s: s["split"])).select("doc", "start", "words", "segs").mapInArrow(
-        windows, "w long, doc long, at int")
+    rows = passages.where(F.exists("segs", lambda s: s["split"])).select("doc", "text_key", "start", "words", "segs").mapInArrow(
+        windows, "w long, doc long, text_key long, at int")
+    rows = written(rows, "windows")
     owners = rows.groupBy("w").agg(F.min("doc").alias("owner"), F.max("doc").alias("hi")).where("owner < hi").drop("hi")
-    return rows.join(owners, "w").select("doc", "at", "owner")
+    return rows.join(written(owners, "owners"), "w").select("doc", "text_key", "at", "owner")
 
 
 def routed(passages: DataFrame, owned: DataFrame, length: int = LENGTH) -> DataFrame:
     """Reference passages (owner = doc) and query passages (owner < doc), as runs of windows with one owner."""
-    by_doc = owned.groupBy("doc").agg(F.collect_list(F.struct("at", "owner")).alias("single"))
+    by_doc = owned.groupBy("doc", "text_key").agg(F.collect_list(F.struct("at", "owner")).alias("single"))
 
     def runs(batches):
         for batch in batches:
@@ -181,7 +185,7 @@ def routed(passages: DataFrame, owned: DataFrame, length: int = LENGTH) -> DataF
                      pa.array(rows["text_key"], pa.int64()), pa.array(rows["start"], pa.int32()),
                      pa.array(rows["words"], pa.string())], names=list(rows))
 
-    return passages.join(by_doc, "doc", "left").select("doc", "text_key", "start", "words", "segs", "single").mapInArrow(
+    return passages.join(by_doc, ["doc", "text_key"], "left").select("doc", "text_key", "start", "words", "segs", "single").mapInArrow(
         runs, "owner long, doc long, text_key long, start int, words string")
 
 
@@ -304,7 +308,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     left = docs.select(carried(docs, *made).alias("row"), F.col(text).cast("string").alias("value"), F.col(doc_id).cast("long").alias("doc"),
                        F.xxhash64(text).alias("text_key"))
     joined = left.join(spans, ["doc", "text_key"], "left")
-    kept = F.arrow_udf(_without(), "struct<n_words:long,n_removed:long,kept_words:string,kept_text:string>")
+    kept = F.arrow_udf(_without(), "struct<n_words:long,n_removed:long,kept_words:string,kept_text:string>").asNondeterministic()
     out = joined.select("row", kept(F.coalesce("value", F.lit("")), "spans").alias("cut"))
     return out.select("row.*", "cut.*")
 
