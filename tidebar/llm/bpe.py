@@ -27,8 +27,8 @@ from tidebar.llm.tables import bounded_batches
 
 BLOCK = 1 << 16           # bytes of a part whose token lists are held together
 KEEP_PART = 48            # longest part whose ids are kept for its next occurrence
-KEEP_PARTS = 60_000       # parts kept by a worker, and as many of the table before: some 24 MB
-KEEP_PAIRS = 100_000      # answers on token pairs kept by a worker: some 11 MB
+KEEP_PARTS = 200_000      # parts kept by a worker, and as many of the table before: some 80 MB
+PAIR_SLOTS = 2_097_143    # answers on token pairs kept by a worker, 8 bytes each; a pair replaces another of its slot
 
 
 def read_ranks(path: str) -> bytes:
@@ -71,7 +71,7 @@ class Codec:
             self.automaton.add_word(token.decode("latin-1"), (len(token), rank))
         self.automaton.make_automaton()
         self.parts = Parts(self.part)
-        self.pairs: dict[int, bool] = {}      # left * span + right -> answer
+        self.pairs = array("q", [-1]) * PAIR_SLOTS      # 2 * (left * span + right) + answer
         self.span = max(self.tokens) + 1
         self.shorter = {}                     # the next shorter token that begins with the same bytes
         for token, rank in self.ranks.items():
@@ -92,9 +92,9 @@ class Codec:
     def compatible(self, left: int, right: int) -> bool:
         """Whether merging the bytes of both tokens gives just these two; the answer is kept in `pairs`."""
         a, b = self.tokens[left], self.tokens[right]
-        if len(self.pairs) >= KEEP_PAIRS:
-            self.pairs.clear()
-        self.pairs[left * self.span + right] = answer = self.merged(a + b) == [a, b]
+        answer = self.merged(a + b) == [a, b]
+        pair = left * self.span + right
+        self.pairs[pair % PAIR_SLOTS] = 2 * pair + answer
         return answer
 
     def part(self, data: bytes) -> list[int]:
@@ -116,10 +116,9 @@ class Codec:
                 if alive[at + length]:
                     if last is None:
                         break
-                    good = pairs.get(last * span + token)
-                    if good is None:
-                        good = compatible(last, token)
-                    if good:
+                    pair = last * span + token
+                    kept = pairs[pair % PAIR_SLOTS]
+                    if kept & 1 if kept >> 1 == pair else compatible(last, token):
                         break
                 option = shorter[token]
             if option is not None:
