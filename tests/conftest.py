@@ -36,6 +36,7 @@ def walk(seed, n, drift, sigma, start, symbol="AAA", vol=(0.3, 0.8), spread=0.00
         "tick_volume": rng.integers(1000, 5000, n), "EGARCH_Vol": rng.uniform(*vol, n)})
 
 
+# Seeds, lengths, drifts, deviations and starts of the frames below.
 @pytest.fixture(scope="session")
 def bull():
     return walk(42, 200, 0.005, 0.002, 1.10)

@@ -237,6 +237,7 @@ def _universe(spark, sf):
 
 SQL_UNIVERSE = (f"uni AS (SELECT list_extract({list(NAMES)!r}, CAST(o_custkey%{len(NAMES)}+1 AS BIGINT)) AS symbol, "
                 "count(*) AS n_orders FROM orders GROUP BY 1)")
+# The class words, banks and tickers of `features` and `screen`, repeated for an independent check.
 _FX = ["EUR", "USD", "GBP", "JPY", "AUD", "NZD", "CAD", "CHF", "MXN", "NOK", "SEK", "SGD"]
 
 

@@ -30,7 +30,7 @@ TAU_STAR, TAU_MIN, TAU_MAX = -1.61, -18.83, 2.74
 SMALL_P = (2.1659, 1.4412, 3.8269e-2)
 LARGE_P = (1.7339, 0.93202, -0.12745, -1.0368e-2)
 
-# Columns that are levels, regimes or volumes: never differenced.
+# Columns that are levels, regimes or volumes, never differenced.
 PROTECTED = ("time", "MACD", "MACD_Signal", "MACD_Hist", "RSI", "ATR", "EGARCH_Vol", "TPM", "EMBI",
              "VIX_close", "tick_volume", "real_volume", "spread")
 PRICES = ("open", "high", "low", "close")
