@@ -151,3 +151,17 @@ def test_a_cluster_needs_a_shared_folder():
         session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context)
         with pytest.raises(ValueError):
             shared_dir(session)
+
+
+def test_extraction_takes_every_year(spark, tmp_path):
+    from tidebar import catalog
+    run = catalog.load().QUERIES["s3_chunked_extraction"]
+    days = [datetime(1998, 1, 1), datetime(1998, 12, 31), datetime(1999, 6, 1), datetime(1999, 6, 1), datetime(2000, 1, 1), datetime(2000, 12, 31), None]
+
+    def counted(name, days):
+        (spark.createDataFrame([("A", "F", d) for d in days], "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz")
+         .write.parquet(str(tmp_path / name / "lineitem.parquet")))
+        return {(r.symbol, r.time): r.n_rows for r in run(spark, str(tmp_path / name)).collect()}
+    assert counted("years", days) == {("AF", d.date()): days.count(d) for d in days if d}
+    assert counted("one_year", days[:2]) == {("AF", d.date()): 1 for d in days[:2]}
+    assert counted("none", [None]) == {}
