@@ -245,3 +245,29 @@ def test_models_on_rows_scaled_once_equal_those_scaled_each(spark):
     for kind, params in (("LOGISTIC", {"maxIter": 5}), ("LATENT_FOREST", {"components": 2, "numTrees": 3, "maxDepth": 2})):
         a, b = (models.score(models.fit(d, kind, 4, s, **params), d).orderBy("bar_idx").collect() for s in (None, start))
         assert a == b
+
+
+def test_partitions_of_training_rows_go_by_cores_and_bytes(spark, long_walk, monkeypatch):
+    """Every pass of a learner sends something per partition, so the session's shuffle partitions must not set them."""
+    cores, was = spark.sparkContext.defaultParallelism, spark.conf.get("spark.sql.shuffle.partitions")
+    d = spark.createDataFrame(long_walk)
+    spark.conf.set("spark.sql.shuffle.partitions", "61")
+    try:
+        from tidebar.operators import residual_model
+        frame = residual_model.matrix(d, "close", ["tick_volume"])
+        assert frame.rdd.getNumPartitions() == cores and frame.count() == len(long_walk) - 2 * 60
+        monkeypatch.setattr(models, "FIT_BYTES", 1 << 20)
+        assert models.dealt(d, len(long_walk), 120, "symbol", "bar_idx").rdd.getNumPartitions() == 13          # 12.8 MB of vectors
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
+def test_search_scales_a_fold_once(spark, monkeypatch):
+    from tidebar.operators import features
+    x = np.random.default_rng(8).normal(size=(200, 4))
+    pdf = pd.DataFrame({"symbol": "A", "bar_idx": range(200), "n_bars": 200, "Label": (x[:, 0] > 0).astype(int), "w": list(map(list, x))})
+    seen, scaled = [], models.scaled
+    monkeypatch.setattr(models, "scaled", lambda train: seen.append(1) or scaled(train))
+    found = models.search(features.as_vector(spark.createDataFrame(pdf), "w"), "LOGISTIC", 4, {"maxIter": [5, 20], "regParam": [0.0, 1.0]},
+                          trials=3, idx="bar_idx", n="n_bars", purge=5, embargo=2)
+    assert found.count() == 9 and len(seen) == 3

@@ -33,11 +33,12 @@ def labelled_features(spark, sf):
 
 def windows(spark, sf, lags=LAGS):
     """Training frame: vector of the lags, label, train flag; materialised once for many fits."""
-    d = features.train_split(features.as_vector(features.lag_windows(labelled_features(spark, sf), COLS, look_back=lags)))
+    rows = cut(labelled_features(spark, sf))
+    d = features.train_split(features.as_vector(features.lag_windows(rows, COLS, look_back=lags)))
     n_train = F.floor(F.col("n_bars") * 4 / 5)
     d = d.select("symbol", "bar_idx", "n_bars", "Label", "is_train", "features",
                  (F.col("bar_idx") - n_train).alias("test_idx"))
-    return cut(series.spread(d, "symbol", "bar_idx"))           # even tasks for the fits, whatever the symbol
+    return cut(models.dealt(d, rows.count(), lags * len(COLS), "symbol", "bar_idx"))   # even tasks for the fits, whatever the symbol
 
 
 @query("w18_lag_windows", ctes("bars") + f"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
@@ -20,6 +21,7 @@ from tidebar.session import cut
 
 SEED = 42
 BOUND = 10.0
+FIT_BYTES = 64 << 20       # vectors of one task of a fit
 
 # Search grids per model family.  Depths end at 30, the most a tree here can have (the published list goes
 # on to "unlimited"); trees stop by rows of a leaf, as there is no minimum for a split; a perceptron has no dropout.
@@ -68,6 +70,16 @@ def clip_vector(df: DataFrame, col: str, out: str, bound: float = BOUND) -> Data
         vector_to_array(col), lambda x: F.greatest(dbl(-bound), F.least(dbl(bound), x)))))
 
 
+def dealt(df: DataFrame, rows: int, n_inputs: int, *cols: str) -> DataFrame:
+    """Hash-partition (at most `rows`) vectors for fits: a task per core, more only where bytes ask for it.
+
+    Each pass of a learner sends a gradient or the histograms of its nodes per partition, so partitions must not follow the
+    session's shuffle partitions, which grow with other tables.
+    """
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(rows * n_inputs * 8 / FIT_BYTES))
+    return df.repartition(parts, *cols)
+
+
 class Fitted:
     """A scaler model and a classifier model with the clip of +-10 between them."""
 
@@ -139,20 +151,22 @@ def search(train: DataFrame, kind: str, n_inputs: int, grid: dict | None = None,
     Every trial is proposed from the scores of those before it (`surrogate.propose`).  The folds of a trial are fitted
     side by side, each a distributed job; with `prune` they run one after another, and a trial whose mean falls under the
     median of earlier trials at the same fold ends there.  `fixed` parameters are not searched.  `train` is fitted many
-    times, so its folds are materialised once.
+    times, so its folds are materialised once, and their training rows are scaled once for all trials.
     """
     grid = grid or GRIDS[kind]
-    roles = cut(purged_folds(train, n_splits=n_splits, purge=purge, embargo=embargo, idx=idx, n=n))
+    roles = purged_folds(train, n_splits=n_splits, purge=purge, embargo=embargo, idx=idx, n=n)
+    roles = cut(roles.select("fold", "role", "Label", "features"))
     sizes = {(r["fold"], r["role"]): r["count"] for r in roles.groupBy("fold", "role").count().collect()}   # folds x 2
     usable = [f for f in range(n_splits) if sizes.get((f, "train")) and sizes.get((f, "val"))]
     history: list[tuple[dict, float]] = []
     by_fold: list[list[float]] = []
     rows: list[tuple] = []
+    part = lambda fold, role: roles.filter((F.col("fold") == fold) & (F.col("role") == role))
+    starts = {fold: scaled(part(fold, "train")) for fold in usable}
 
     def run(params, fold):
-        part = roles.filter(F.col("fold") == fold)
-        model = fit(part.filter("role = 'train'"), kind, n_inputs, **params, **(fixed or {}))
-        return float(class_report(model.transform(part.filter("role = 'val'")), []).first()[metric])
+        model = fit(part(fold, "train"), kind, n_inputs, starts[fold], **params, **(fixed or {}))
+        return float(class_report(model.transform(part(fold, "val")), []).first()[metric])
 
     for trial in range(trials if usable else 0):
         params = surrogate.propose(grid, history, SEED)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 from tidebar.functions.expr import dbl
 from tidebar.operators import arma, features, models
 from tidebar.operators.indicators import WEIGHT_EPS
-from tidebar.operators.series import KEYS, in_blocks, lagged, spread
+from tidebar.operators.series import KEYS, in_blocks, lagged
 from tidebar.session import cut
 
 INVERTIBLE = 0.98        # a moving-average term beyond this has no usable one-sided filter
@@ -67,19 +67,26 @@ def residuals(df: DataFrame, col: str, filters: DataFrame, out: str = "resid", k
     return d.drop("_k", "_f", "_m")
 
 
+def filtered(df: DataFrame, col: str, keys: Sequence[str] = KEYS, num: int = 4, den: int = 5, **orders) -> DataFrame:
+    """`df` with is_train and the residual `resid` of `col`, written once: what any number of matrices start from."""
+    d = df.withColumn("is_train", F.col("bar_idx") * den < F.col("n_bars") * num)
+    return cut(residuals(d, col, fit_filters(d, col, keys=keys, **orders), keys=keys))
+
+
 def matrix(df: DataFrame, col: str, exogenous: Sequence[str] = (), look_back: int = features.LOOK_BACK,
-           keys: Sequence[str] = KEYS, num: int = 4, den: int = 5, **orders) -> DataFrame:
-    """Training frame: features, Label (does `col` rise), is_train, test_idx; written once.  `df`: dense bar_idx, n_bars."""
+           keys: Sequence[str] = KEYS, num: int = 4, den: int = 5, start: DataFrame | None = None, **orders) -> DataFrame:
+    """Training frame: features, Label (does `col` rise), is_train, test_idx; written once.  `df`: dense bar_idx, n_bars.
+    Goes on from `start` where given, as `filtered` gave it for the same rows and split."""
     keys = list(keys)
-    d = df.withColumn("is_train", F.col("bar_idx") * den < F.col("n_bars") * num)
-    d = residuals(d, col, fit_filters(d, col, keys=keys, **orders), keys=keys)
+    d = filtered(df, col, keys, num, den, **orders) if start is None else start
+    rows = d.count()
     if exogenous:
         d = lagged(d, list(exogenous), 1, keys=keys)
     d = arma.direction(d, col, "Label", keys=keys)
     d = features.as_vector(features.lag_windows(d, ["resid", *exogenous], "Label", look_back, keys))
     first_test = F.ceil(F.col("n_bars") * num / den).cast("long")
     d = d.select(*keys, "bar_idx", "n_bars", "Label", "is_train", "features", (F.col("bar_idx") - first_test).alias("test_idx"))
-    return cut(spread(d, *keys, "bar_idx"))
+    return cut(models.dealt(d, rows, look_back * (1 + len(exogenous)), *keys, "bar_idx"))
 
 
 def walk_forward(frame: DataFrame, n_inputs: int, step: int = 60, kind: str = "NET", **params) -> DataFrame:
