@@ -271,3 +271,15 @@ def test_search_scales_a_fold_once(spark, monkeypatch):
     found = models.search(features.as_vector(spark.createDataFrame(pdf), "w"), "LOGISTIC", 4, {"maxIter": [5, 20], "regParam": [0.0, 1.0]},
                           trials=3, idx="bar_idx", n="n_bars", purge=5, embargo=2)
     assert found.count() == 9 and len(seen) == 3
+
+
+def test_matrices_from_one_filter_equal_those_filtered_each(spark, clean, monkeypatch):
+    from tidebar.operators import residual_model
+    d = spark.createDataFrame(clean)
+    seen, fit_filters = [], residual_model.fit_filters
+    monkeypatch.setattr(residual_model, "fit_filters", lambda *a, **kw: seen.append(1) or fit_filters(*a, **kw))
+    start = residual_model.filtered(d, "close")
+    for cols in ((), ("tick_volume", "high")):
+        a, b = (residual_model.matrix(d, "close", cols, start=s).orderBy("bar_idx").collect() for s in (None, start))
+        assert a == b and len(a) == len(clean) - 60 and len(a[0].features) == 60 * (1 + len(cols))
+    assert len(seen) == 3

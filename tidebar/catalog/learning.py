@@ -229,23 +229,26 @@ UNION ALL SELECT symbol, 'RESIDUAL_NET', bank, count(*), CAST(sum("Label") AS BI
 def _(spark, sf):
     """Six models on six banks over all symbols; the test report per cell, and the run summary upserted twice."""
     base = feature_table(spark, sf)
+    n_rows = base.count()
     frames = {}
     for bank, cols in features.banks("other").items():
         cols = [c for c in cols if c in base.columns]
         d = features.train_split(features.as_vector(features.lag_windows(base, cols, look_back=LAGS)))
-        d = cut(series.spread(d.select("symbol", "bar_idx", "Label", "is_train", "features"), "symbol", "bar_idx"))
+        d = d.select("symbol", "bar_idx", "Label", "is_train", "features")
+        d = cut(models.dealt(d, n_rows, LAGS * len(cols), "symbol", "bar_idx"))
         frames[bank] = d, cols, models.scaled(d.filter("is_train"))
     diffed = cut(series.with_bar_idx(fracdiff.frac_diff(_macro_bars(spark, sf), 0.4, "close").filter("close_FFD is not null")))
     diffed = cut(indicators.add_indicators(diffed))
     for c in DIFFED:
         diffed = fracdiff.frac_diff(diffed, 0.4, c)
     diffed = cut(diffed.fillna(0.0, [f"{c}_FFD" for c in DIFFED]).fillna(0.0, ["EGARCH_Vol"]))
+    residual = residual_model.filtered(diffed, "close_FFD")      # the same for every bank
 
     def cell(job):
         bank, kind, params = job
         if kind == "RESIDUAL_NET":
             cols = frames[bank][1]
-            frame, start = residual_model.matrix(diffed, "close_FFD", cols), None
+            frame, start = residual_model.matrix(diffed, "close_FFD", cols, start=residual), None
             n_in = LAGS * (1 + len(cols))
         else:
             frame, start, n_in = frames[bank][0], frames[bank][2], LAGS * len(frames[bank][1])
